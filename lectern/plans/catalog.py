@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from lectern.plans import document_queries  # noqa: F401
+from lectern.plans import document_queries, search_queries  # noqa: F401
 from lectern.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
