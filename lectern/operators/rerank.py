@@ -23,40 +23,41 @@ def bigrams(tokens: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _edge_stripped_words(text: Column) -> Column:
+    """Lower-cased words between spaces and tabs without edge punctuation, in one pass."""
+    edge = r"(?<![^\p{Zs}\t])\p{P}+|\p{P}+(?![^\p{Zs}\t])"
+    return F.split(F.regexp_replace(F.lower(text), edge, ""), T.SPACE_CHAR)
+
+
 def rerank_features(query: Column, text: Column) -> Column:
     """struct of the six text features of a (query, text) pair."""
 
-    def features(q, d):
-        wanted = F.array_distinct(q)
-        shared = F.size(F.array_intersect(wanted, d))
-        asked = F.size(wanted)
-        pairs = bigrams(q)
-        at = F.array_compact(F.transform(T.space_words(text), lambda w, i: F.when(
-            F.array_contains(q, T.strip_punctuation(w)), i)))
-
-        def assemble(at):
-            hits, first, last = F.size(at), F.get(at, F.lit(0)), F.element_at(at, -1)
+    def features(q, d, wanted):
+        at = F.array_compact(F.transform(
+            _edge_stripped_words(text), lambda w, i: F.when(F.array_contains(wanted, w), i)))
+        counts = F.struct(
+            F.size(F.array_intersect(wanted, d)).alias("shared"), F.size(wanted).alias("asked"),
+            bigrams(q).alias("pairs"), at.alias("at"),
+        )
+
+        def assemble(c):
+            hits, first = F.size(c["at"]), F.get(c["at"], F.lit(0))
+            last = F.get(c["at"], hits - 1)
             return F.struct(
-                T.ratio(shared, F.greatest(asked, F.lit(1))).alias("overlap"),
-                T.ratio(F.size(F.array_intersect(pairs, bigrams(d))),
-                        F.greatest(F.size(pairs), F.lit(1))).alias("bigram"),
+                T.ratio(c["shared"], F.greatest(c["asked"], F.lit(1))).alias("overlap"),
+                T.ratio(F.size(F.array_intersect(c["pairs"], bigrams(d))),
+                        F.greatest(F.size(c["pairs"]), F.lit(1))).alias("bigram"),
                 F.when(hits >= 2, hits / (last - first + 1)).when(hits == 1, 0.5)
                 .otherwise(0.0).alias("density"),
-                T.ratio(shared, asked).alias("coverage"),
+                T.ratio(c["shared"], c["asked"]).alias("coverage"),
                 F.when(hits > 0, 1 / (1 + first / 50)).otherwise(0.0).alias("position"),
                 (1 / (1 + F.size(d) / 500)).alias("length"),
             )
 
-        return F.when(F.size(at) > 0, T.let(at, assemble)).otherwise(
-            T.let(F.array().cast("array<int>"), lambda e: F.struct(
-                T.ratio(shared, F.greatest(asked, F.lit(1))).alias("overlap"),
-                T.ratio(F.size(F.array_intersect(pairs, bigrams(d))),
-                        F.greatest(F.size(pairs), F.lit(1))).alias("bigram"),
-                F.lit(0.0).alias("density"), T.ratio(shared, asked).alias("coverage"),
-                F.lit(0.0).alias("position"), (1 / (1 + F.size(d) / 500)).alias("length"),
-            )))
+        return T.let(counts, assemble)
 
-    return T.let(T.tokens(query), lambda q: T.let(T.tokens(text), lambda d: features(q, d)))
+    return T.let(T.tokens(query), lambda q: T.let(T.tokens(text), lambda d: T.let(
+        F.array_distinct(q), lambda wanted: features(q, d, wanted))))
 
 
 def rerank_score(base: Column, features: Column) -> Column:

@@ -190,16 +190,13 @@ def _(spark, sf):
         F.col("doc_id").alias("vec_id"), F.round(V.cosine(F.col("qe"), F.col("embedding")), 6).alias("cosine"))
 
 
-@query("pairwise_similarity", sql="""WITH p AS (SELECT label, vec_id AS left_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS right_id FROM embeddings)
-SELECT left_id, right_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-FROM p JOIN embeddings a ON a.vec_id = left_id JOIN embeddings b ON b.vec_id = right_id""")
+@query("pairwise_similarity", sql="""SELECT a.vec_id AS left_id, b.vec_id AS right_id,
+  round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def _(spark, sf):
-    # neighbours by number within a label; numbers are matched by equality, not sorted per label
-    from pyspark.sql import Window
-    w = Window.partitionBy("label").orderBy("doc_id")
+    # every vector with the next one by number
     pairs = corpus(spark, sf).select(
-        F.col("doc_id").alias("left_id"), F.lead("doc_id").over(w).alias("right_id")
-    ).filter("right_id is not null")
+        F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id"))
     return R.pairwise_similarity(pairs, corpus(spark, sf)).withColumn(
         "similarity", F.round("similarity", 6))
 
@@ -397,11 +394,12 @@ def _(spark, sf):
     return R.eval_retrieval(asked, found).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("term_overlap", sql=f"""WITH p AS (SELECT doc_id, text, {q.sentences('text')}[1] AS query FROM documents),
-w AS (SELECT doc_id, {q.words('lower(query)')} AS qw, list_reverse({q.words('lower(text)')})[1:200] AS dw FROM p)
+@query("term_overlap", sql=f"""WITH p AS (SELECT doc_id, {q.sentences('text')} AS s FROM documents),
+w AS (SELECT doc_id, {q.words('lower(s[1])')} AS qw, {q.words("lower(array_to_string(s[2:], ''))")} AS dw FROM p)
 SELECT doc_id, round(coalesce(len(list_filter(qw, lambda x: list_contains(dw, x))) / nullif(len(qw), 0), 0), 6) AS overlap FROM w""")
 def _(spark, sf):
-    # the opening sentence against the document's last 200 words
-    tail = F.array_join(F.slice(F.reverse(T.words(F.lower("text"))), 1, 200), " ")
-    return documents(spark, sf).select("doc_id", F.round(
-        R.term_overlap(F.get(T.sentences(F.col("text")), F.lit(0)), tail), 6).alias("overlap"))
+    # the opening sentence against the rest of its document
+    cut = documents(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    rest = F.array_join(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), "")
+    return cut.select("doc_id", F.round(
+        R.term_overlap(F.get("s", F.lit(0)), rest), 6).alias("overlap"))
