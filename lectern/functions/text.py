@@ -16,6 +16,9 @@ SENTENCE_END = r"([.!?][\"')]*[ \t\n\r]+|\n+)"
 #: Single space-like characters, newline excluded.
 SPACE_CHAR = r"[\p{Zs}\t]"
 MARK = "\u0001"
+WHITESPACE = " \t\n\x0b\f\r"
+#: Tab and the Unicode space separators.
+SPACES = "\t \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def let(value: Column, body) -> Column:
@@ -48,7 +51,12 @@ def strip_punctuation(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim whitespace and newlines."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def trim_spaces(text: Column) -> Column:
+    """Trim spaces and tabs, leave newlines."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def sentences(text: Column) -> Column:

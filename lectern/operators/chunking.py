@@ -66,12 +66,13 @@ def split_at_sentence(text: Column, target: int, min_words: int) -> Column:
     return T.let(T.sentences(text), cut)
 
 
-def _sentence_ranges(elements: Column, flat: Column, target: int, min_words: int) -> Column:
+def _sentence_ranges(
+    elements: Column, nested: Column, flat: Column, target: int, min_words: int
+) -> Column:
     """Fold the elements into chunk ranges over the document's sentence list."""
-    steps = F.transform(elements, lambda e: F.struct(
+    steps = F.transform(elements, lambda e, i: F.struct(
         e["type"].alias("type"), e["text"].alias("text"), e["page"].alias("page"),
-        F.when(e["type"].isin(HEADINGS), 0)
-        .otherwise(F.size(T.sentences(F.concat(e["text"], F.lit("\n\n"))))).alias("n"),
+        F.size(F.get(nested, i)).alias("n"),
         F.when(e["type"].isin(HEADINGS), 0).otherwise(T.word_count(e["text"])).alias("words"),
     ))
     counts = F.transform(flat, T.word_count)
@@ -150,13 +151,13 @@ def _sentence_ranges(elements: Column, flat: Column, target: int, min_words: int
 def chunk_array(elements: Column, target: int = K.TARGET_WORDS) -> Column:
     """array<struct> of chunks of one document, from its ordered elements."""
     target, min_words, _ = sizes(target)
-    flat = F.flatten(F.transform(elements, lambda e: F.when(
+    nested = F.transform(elements, lambda e: F.when(
         e["type"].isin(HEADINGS), F.array().cast("array<string>")
-    ).otherwise(T.sentences(F.concat(e["text"], F.lit("\n\n"))))))
+    ).otherwise(T.sentences(F.concat(e["text"], F.lit("\n\n")))))
 
-    def cut(flat):
+    def cut(nested, flat):
         return F.transform(
-            _sentence_ranges(elements, flat, target, min_words),
+            _sentence_ranges(elements, nested, flat, target, min_words),
             lambda r: F.struct(
                 T.strip(F.array_join(
                     F.slice(flat, r["first"] + 1, r["last"] - r["first"]), ""
@@ -167,21 +168,19 @@ def chunk_array(elements: Column, target: int = K.TARGET_WORDS) -> Column:
             ),
         )
 
-    return T.let(flat, cut)
+    return T.let(nested, lambda n: T.let(F.flatten(n), lambda flat: cut(n, flat)))
 
 
 def finalize_chunks(chunks: DataFrame) -> DataFrame:
-    """Id, trimmed text and counts; the chunk's number is its end index."""
-    body = T.strip(F.col("text"))
+    """Id and counts of trimmed chunk texts; the chunk's number is its end index."""
     return chunks.select(
         "doc_id",
         F.col("end_index").alias("chunk_idx"),
         F.concat_ws("_", F.replace(F.col("source"), F.lit(" "), F.lit("_")),
                     F.col("end_index").cast("string")).alias("id"),
-        body.alias("text"), "source", "page", "section", "chapter",
-        "start_index", "end_index",
-        T.sentence_count(body).alias("sentence_count"),
-        T.word_count(body).alias("word_count"),
+        "text", "source", "page", "section", "chapter", "start_index", "end_index",
+        T.sentence_count(F.col("text")).alias("sentence_count"),
+        T.word_count(F.col("text")).alias("word_count"),
         F.lit(None).cast("string").alias("preceding_context"),
         F.lit(None).cast("string").alias("following_context"),
     )
@@ -302,13 +301,11 @@ def pack_paragraphs(docs: DataFrame, target: int = 150) -> DataFrame:
     )
 
 
-def head_sentences(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(T.sentences(text), 1, n), "")
-
-
-def tail_sentences(text: Column, n: int) -> Column:
-    return T.let(T.sentences(text), lambda s: F.array_join(
-        F.slice(s, F.greatest(F.size(s) - n, F.lit(0)) + 1, n), ""
+def edge_sentences(text: Column, n: int) -> Column:
+    """struct(head, tail): the first and the last ``n`` sentences."""
+    return T.let(T.sentences(text), lambda s: F.struct(
+        F.array_join(F.slice(s, 1, n), "").alias("head"),
+        F.array_join(F.slice(s, F.greatest(F.size(s) - n, F.lit(0)) + 1, n), "").alias("tail"),
     ))
 
 
@@ -320,15 +317,12 @@ def context_overlap(chunks: DataFrame, n: int = K.OVERLAP_SENTENCES) -> DataFram
     """
     w = Window.partitionBy("doc_id").orderBy("chunk_idx")
     cols = [c for c in chunks.columns if c not in ("preceding_context", "following_context")]
-    return (
-        chunks
-        .withColumn("_tail", tail_sentences(F.col("text"), n))
-        .withColumn("_head", head_sentences(F.col("text"), n))
-        .select(
-            *cols,
-            F.coalesce(F.lag("_tail").over(w), "preceding_context").alias("preceding_context"),
-            F.coalesce(F.lead("_head").over(w), "following_context").alias("following_context"),
-        )
+    edges = chunks.withColumn("_e", edge_sentences(F.col("text"), n))
+    before, after = F.lag("_e").over(w), F.lead("_e").over(w)
+    return edges.select(
+        *cols,
+        F.coalesce(before["tail"], "preceding_context").alias("preceding_context"),
+        F.coalesce(after["head"], "following_context").alias("following_context"),
     )
 
 
@@ -344,27 +338,22 @@ def merge_small_chunks(chunks: DataFrame, min_words: int) -> DataFrame:
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
     marked = chunks.withColumn("_island", island).withColumn("_n", F.count("*").over(whole))
-    kept = [c for c in chunks.columns if c in CHUNK_COLUMNS]
-    row = F.struct("chunk_idx", *[c for c in kept if c not in ("doc_id", "chunk_idx")])
-    parts = marked.groupBy("doc_id", "_island", "_n").agg(
-        F.array_sort(F.collect_list(row)).alias("p")
-    )
-    first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
-    text = F.array_join(F.transform("p", lambda r: r["text"]), "\n\n")
-
-    def first_known(field):
-        return F.get(F.filter(F.transform("p", lambda r: r[field]), lambda v: v.isNotNull()), F.lit(0))
-
-    merged = parts.select(
-        "doc_id", first["chunk_idx"].alias("chunk_idx"), first["id"].alias("id"),
-        text.alias("text"), first["source"].alias("source"), first["page"].alias("page"),
-        first_known("section").alias("section"), first_known("chapter").alias("chapter"),
-        first["start_index"].alias("start_index"), last["end_index"].alias("end_index"),
-        F.aggregate("p", F.lit(0), lambda a, r: a + r["sentence_count"]).alias("sentence_count"),
-        F.when(F.size("p") == 1, first["word_count"]).otherwise(T.word_count(text))
-        .alias("word_count"),
-        first["preceding_context"].alias("preceding_context"),
-        last["following_context"].alias("following_context"), "_n",
+    at = F.col("chunk_idx")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_idx", "text")))
+    first = F.struct("id", "source", "page", "start_index", "preceding_context")
+    last = F.struct("end_index", "following_context")
+    merged = marked.groupBy("doc_id", "_island", "_n").agg(
+        F.min("chunk_idx").alias("chunk_idx"),
+        F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n").alias("text"),
+        F.min_by(first, at).alias("_first"), F.max_by(last, at).alias("_last"),
+        F.min_by("section", F.when(F.col("section").isNotNull(), at)).alias("section"),
+        F.min_by("chapter", F.when(F.col("chapter").isNotNull(), at)).alias("chapter"),
+        F.sum("sentence_count").cast("int").alias("sentence_count"),
+    ).select(
+        "doc_id", "chunk_idx", "_first.id", "text", "_first.source", "_first.page", "section",
+        "chapter", "_first.start_index", "_last.end_index", "sentence_count",
+        T.word_count(F.col("text")).alias("word_count"),
+        "_first.preceding_context", "_last.following_context", "_n",
     )
     return merged.filter((F.col("word_count") >= min_words // 2) | (F.col("_n") == 1)).drop("_n")
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
-from lectern.operators.structure import trim_spaces
 
 NUMERIC_ONLY = r"^[\p{N}\s.-]*$"
 
@@ -43,20 +42,24 @@ def contains_text(df: DataFrame, needle: str, col: str = "text") -> DataFrame:
 
 def drop_reason(text: Column, words: Column) -> Column:
     """Why a chunk is not content, or null when it is."""
-    lines = F.split(text, "\n")
-    lower = F.lower(text)
-    toc_lines = F.size(F.filter(lines, lambda x: x.rlike(K.TOC_LINE)))
-    index_lines = F.size(F.filter(lines, lambda x: x.rlike(K.INDEX_LINE)))
-    front = count_of([has(lower, p) for p in K.FRONT_MATTER_PHRASES])
-    cites = count_of([text.rlike(p) for p in K.CITATION_PATTERNS])
-    return (
-        F.when(words < 30, "short")
-        .when(toc_lines > 3, "toc_lines")
-        .when(front >= 2, "front_matter")
-        .when(index_lines > 5, "index_lines")
-        .when((words < 100) & (cites >= 3), "citations")
-        .when(lower.startswith("contents") | has(lower, "table of contents"), "contents")
-    )
+
+    def judge(t):
+        text, lower = t["text"], t["lower"]
+        lines = F.split(text, "\n")
+        toc_lines = F.size(F.filter(lines, lambda x: x.rlike(K.TOC_LINE)))
+        index_lines = F.size(F.filter(lines, lambda x: x.rlike(K.INDEX_LINE)))
+        front = count_of([has(lower, p) for p in K.FRONT_MATTER_PHRASES])
+        cites = count_of([text.rlike(p) for p in K.CITATION_PATTERNS])
+        return (
+            F.when(toc_lines > 3, "toc_lines")
+            .when(front >= 2, "front_matter")
+            .when(index_lines > 5, "index_lines")
+            .when((words < 100) & (cites >= 3), "citations")
+            .when(lower.startswith("contents") | has(lower, "table of contents"), "contents")
+        )
+
+    both = F.struct(text.alias("text"), F.lower(text).alias("lower"))
+    return F.when(words < 30, "short").otherwise(T.let(both, judge))
 
 
 def with_drop_reason(chunks: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def drop_zero_scores(scored: DataFrame) -> DataFrame:
 
 def clean_metadata(value: Column) -> Column:
     """Heading without trailing footnote digits; null when numeric or a citation."""
-    bare = trim_spaces(F.regexp_replace(value, r"\p{N}+$", ""))
+    bare = T.trim_spaces(F.regexp_replace(value, r"\p{N}+$", ""))
     citation = has(bare, "Press,") | (has(bare, "University") & has(bare, ","))
     return F.when(~bare.rlike(NUMERIC_ONLY) & ~citation, bare)
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
-from lectern.operators.structure import is_title_case, trim_spaces
+from lectern.operators.structure import is_title_case
 
 
 def _top_lines(text: Column, n: int) -> Column:
-    return F.transform(F.slice(F.split(text, "\n"), 1, n), trim_spaces)
+    return F.transform(F.slice(F.split(text, "\n"), 1, n), T.trim_spaces)
 
 
 def _first_known(values: Column) -> Column:
@@ -29,7 +29,7 @@ def infer_chapter(text: Column) -> Column:
         parts = F.split(line, ":")
         last_word = F.regexp_extract(line, r"([^\p{Nd}. ]*)$", 1)
         return (
-            F.when(named & (F.size(parts) > 1), trim_spaces(F.get(parts, F.lit(1))))
+            F.when(named & (F.size(parts) > 1), T.trim_spaces(F.get(parts, F.lit(1))))
             .when(named, line)
             .when(line.rlike(K.NUMBERED_CHAPTER) & (last_word != ""), last_word)
         )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as K
 from lectern.functions import text as T
 from lectern.operators.filters import prefilter_obvious
-from lectern.operators.structure import trim_spaces
 
 MCQ_JSON = "question string, options array<string>, correctIndex int, explanation string"
 OPEN_JSON = "question string, idealAnswer string, keyPoints array<string>"
@@ -54,10 +53,10 @@ def _decode_mcq(raw: Column) -> Column:
 
 def clean_option_label(option: Column) -> Column:
     """Strip ``A)``, ``B.``, ``c:``, ``A )`` and ``(D)`` from the front of an option."""
-    bare = trim_spaces(option)
+    bare = T.trim_spaces(option)
     for pattern in K.OPTION_LABELS:
         bare = F.regexp_replace(bare, pattern, "")
-    return trim_spaces(bare)
+    return T.trim_spaces(bare)
 
 
 def shuffled_options(options: Column, correct: Column, seed: str, key: Column) -> Column:
@@ -107,7 +106,7 @@ def parse_mcq(replies: DataFrame, key: str, seed: str = "options") -> DataFrame:
     def row(c):
         mixed = shuffled_options(c["options"], c["index"], seed, F.col(key))
         return T.let(mixed, lambda m: F.struct(
-            trim_spaces(c["question"]).alias("question"), m["options"].alias("options"),
+            T.trim_spaces(c["question"]).alias("question"), m["options"].alias("options"),
             m["correct_index"].alias("correct_index"),
             F.coalesce(c["explanation"], F.lit(K.DEFAULT_EXPLANATION)).alias("explanation"),
         ))

@@ -35,8 +35,9 @@ def bm25(
 ) -> DataFrame:
     """(query_id, doc_id, score) of the documents sharing a term with the query.
 
-    All other documents score 0.  No broadcast is forced: the planner broadcasts the
-    term side while its measured size allows and otherwise sort-merges, with hot terms split by
+    All other documents score 0.  The weighted query terms are written first: their file size is
+    known then, so the planner broadcasts them within its threshold, leaving the postings where
+    they are and reading only their buckets.  A larger set is sort-merged, with hot terms split by
     adaptive skew handling.
     """
     n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
@@ -49,6 +50,7 @@ def bm25(
     if index.buckets:
         weighted = weighted.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
         keys = ["bucket", "term"]
+    weighted = materialize(weighted, "query-terms")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     impact = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
     hits = index.postings.join(weighted, keys)

@@ -9,12 +9,6 @@ from lectern.functions import text as T
 
 SOFT_JOIN = "\u0001"
 HARD_BREAK = "\u0002"
-EDGE_SPACE = r"^[\p{Zs}\t]+|[\p{Zs}\t]+$"
-
-
-def trim_spaces(text: Column) -> Column:
-    """Trim spaces and tabs, leave newlines."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
 
 
 def is_paragraph_start(line: Column, prev: Column) -> Column:
@@ -44,7 +38,7 @@ def unwrap_lines(text: Column) -> Column:
         joined = F.replace(joined, F.lit(SOFT_JOIN), F.lit(" "))
         return F.replace(F.substring(joined, 2, 2**31 - 1), F.lit(HARD_BREAK), F.lit("\n\n"))
 
-    return T.let(F.transform(F.split(text, "\n"), trim_spaces), glue)
+    return T.let(F.transform(F.split(text, "\n"), T.trim_spaces), glue)
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -70,10 +64,10 @@ def markdown_elements(text: Column) -> Column:
             F.when(level == 0, "paragraph").when(level == 1, "chapter")
             .when(level == 2, "section").otherwise("subsection")
         )
-        body = trim_spaces(F.regexp_replace(line, r"^#+", ""))
+        body = T.trim_spaces(F.regexp_replace(line, r"^#+", ""))
         return element(kind, body, F.lit(None), level)
 
-    lines = F.array_remove(F.transform(F.split(text, "\n"), trim_spaces), "")
+    lines = F.array_remove(F.transform(F.split(text, "\n"), T.trim_spaces), "")
     return F.transform(lines, to_element)
 
 

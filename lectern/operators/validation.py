@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as K
 from lectern.functions import text as T
 from lectern.operators.filters import any_of, count_of, has
-from lectern.operators.structure import trim_spaces
 
 
 def classify_option_type(option: Column) -> Column:
     """year, number, name or phrase."""
-    bare = trim_spaces(option)
+    bare = T.trim_spaces(option)
     found = T.words(bare)
     name = (F.size(found) <= 4) & F.forall(found, T.starts_upper)
     number = bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")

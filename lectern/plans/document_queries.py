@@ -152,7 +152,7 @@ def _(spark, sf):
     def count_starts(lines):
         return F.size(F.filter(lines, lambda line, i: S.is_paragraph_start(
             line, F.coalesce(F.get(lines, i - 1), F.lit("")))))
-    lines = F.transform(F.split("text", "\n"), S.trim_spaces)
+    lines = F.transform(F.split("text", "\n"), T.trim_spaces)
     return wrapped_documents(spark, sf).select(
         "doc_id", F.size(F.split("text", "\n")).alias("lines"), T.let(lines, count_starts).alias("starts")
     )
