@@ -21,7 +21,7 @@ from lectern.plans.document_queries import (
 from lectern.plans.registry import query
 from lectern.plans.search_queries import ASK_SQL, RANK, TOK_SQL, bm25_sql, corpus, text_queries
 from lectern.plans.training_queries import (
-    EX_SQL, LOG_SQL, PROGRESS_SQL, activity, examples, log_lines,
+    EARLY_SQL, EX_SQL, PROGRESS_SQL, activity, examples, log_lines,
 )
 from lectern.sources import files as IO
 from lectern.sources.tables import checkpoint_folder, read_table
@@ -266,7 +266,7 @@ def _(spark, sf):
                     F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
-@query("stream_early_stopping")
+@query("stream_early_stopping", sql=EARLY_SQL)
 def _(spark, sf):
     folder = scratch(spark, "stopping")
     log = TR.parse_training_log(log_lines(spark, sf)).select("run_id", "iteration", "valid_loss")

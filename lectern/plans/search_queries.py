@@ -352,7 +352,37 @@ def _(spark, sf):
                           corpus(spark, sf), 5)
 
 
-@query("multi_hop")
+def _first_of_sql(src: str, out: str, hop: int, seen: str | None) -> str:
+    """New contexts of a hop: the first of a (source, opening) pair, unless seen before."""
+    new = f"""AND NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.query_id = f.query_id AND s.source = f.source AND s.head = f.head)""" if seen else ""
+    return f"""{out} AS MATERIALIZED (SELECT query_id, {hop} AS hop, rank, doc_id, source, head, context FROM (
+  SELECT r.query_id, r.rank, r.doc_id, l.source, l.text[1:50] AS head, l.context,
+    row_number() OVER (PARTITION BY r.query_id, l.source, l.text[1:50] ORDER BY r.rank) AS first
+  FROM {src} r JOIN labelled l USING (doc_id)) f WHERE first = 1 {new})"""
+
+
+MULTI_HOP_SQL = f"""{ASK_SQL}, {TOK_SQL}, {LABELLED_SQL}, {EXPAND_SQL.format('asked')},
+asked0 AS (SELECT query_id, expanded AS query FROM xp), {bm25_sql('asked0', 'bm0')}, {hybrid_sql('asked0', 'h0', 10, False, 'bm0')},
+hits0 AS (SELECT query_id, query, doc_id, text, score FROM h0 JOIN asked USING (query_id) JOIN documents USING (doc_id)),
+{rerank_sql('hits0', 'r0', 5)}, {_first_of_sql('r0', 'c0', 0, None)},
+{followup_sql('asked', 'c0', 'fu')},
+asked1 AS (SELECT query_id, followup AS query FROM fu WHERE followup <> query), {bm25_sql('asked1', 'bm1')}, {hybrid_sql('asked1', 'h1', 10, False, 'bm1')},
+hits1 AS (SELECT query_id, query, doc_id, text, score FROM h1 JOIN asked1 USING (query_id) JOIN documents USING (doc_id)),
+{rerank_sql('hits1', 'r1', 5)}, {_first_of_sql('r1', 'c1', 1, 'c0')},
+found AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1),
+few AS (SELECT query_id, query, expanded FROM xp WHERE (SELECT count(*) FROM found f WHERE f.query_id = xp.query_id) < 5),
+fv AS (SELECT query_id, list_filter([query, CASE WHEN expanded <> query THEN expanded END,
+  CASE WHEN NOT regexp_matches(lower(query), '^(what|how|why|when)') THEN 'what is ' || query END,
+  CASE WHEN NOT regexp_matches(lower(query), '^(what|how|why|when)') THEN 'how does ' || query END], lambda x: x IS NOT NULL) AS v FROM few),
+va AS (SELECT query_id AS base, unnest(v) AS query, unnest(range(len(v))) AS n FROM fv),
+askedv AS (SELECT base || ':' || n AS query_id, base, n, query FROM va WHERE n > 0), {bm25_sql('askedv', 'bmv')}, {hybrid_sql('askedv', 'hv', 5, False, 'bmv')},
+rv AS (SELECT base AS query_id, n * 1000 + rank AS rank, doc_id FROM hv JOIN askedv USING (query_id)),
+{_first_of_sql('rv', 'cv', 2, 'found')},
+every AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS pos FROM (SELECT * FROM found UNION ALL SELECT * FROM cv))
+SELECT query_id, pos, hop::BIGINT AS hop, doc_id, source, context FROM every WHERE hop < 2 OR pos <= 10"""
+
+
+@query("multi_hop", sql="WITH " + MULTI_HOP_SQL)
 def _(spark, sf):
     return RR.multi_hop(text_queries(spark, sf), text_index(spark, sf), labelled_documents(spark, sf))
 

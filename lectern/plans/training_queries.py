@@ -149,7 +149,7 @@ def _(spark, sf):
     return R.parse_training_log(log_lines(spark, sf)).select("event_id", "iteration", "train_loss", "valid_loss")
 
 
-@query("early_stopping", sql=f"""WITH RECURSIVE {LOG_SQL},
+EARLY_SQL = f"""WITH RECURSIVE {LOG_SQL},
 v AS (SELECT run_id, iteration, valid_loss, row_number() OVER (PARTITION BY run_id ORDER BY iteration) AS n FROM parsed WHERE valid_loss IS NOT NULL),
 fold AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 'Infinity'::DOUBLE AS best, 0::BIGINT AS patience, 0::BIGINT AS best_iteration, NULL::BIGINT AS stopped_at FROM v
   UNION ALL SELECT f.run_id, v.n, CASE WHEN v.valid_loss < f.best - 0.001 THEN v.valid_loss ELSE f.best END,
@@ -158,7 +158,10 @@ fold AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 'Infinity'::DOUBLE AS best, 0::
     CASE WHEN NOT v.valid_loss < f.best - 0.001 AND f.patience + 1 >= 5 THEN v.iteration END
   FROM fold f JOIN v ON v.run_id = f.run_id AND v.n = f.n + 1 WHERE f.stopped_at IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC) AS last FROM fold)
-SELECT run_id, best AS best_loss, best_iteration, patience AS patience_counter, stopped_at FROM r WHERE last = 1""")
+SELECT run_id, best AS best_loss, best_iteration, patience AS patience_counter, stopped_at FROM r WHERE last = 1"""
+
+
+@query("early_stopping", sql=EARLY_SQL)
 def _(spark, sf):
     return R.early_stopping(R.parse_training_log(log_lines(spark, sf)))
 
