@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,13 @@ def corpus_stats(doc_terms: DataFrame) -> DataFrame:
     )
 
 
+def read_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Written postings; the schema is given, so an empty corpus reads as an empty table."""
+    doc_id = spark.read.parquet(f"{folder}/doc_terms").schema["doc_id"].dataType.simpleString()
+    schema = f"term string, doc_id {doc_id}, tf int, dl int, bucket int"
+    return spark.read.schema(schema).parquet(f"{folder}/postings")
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Tables of a written index.  ``buckets`` is 0 when the postings are not bucketed."""
@@ -63,8 +71,6 @@ class TextIndex:
         Postings are range-partitioned by (bucket, term, doc_id): a term held by
         a large share of the documents spreads over several tasks and files.
         """
-        import uuid
-
         spark = docs.sparkSession
         folder = folder or f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
         document_terms(docs).write.mode("overwrite").parquet(f"{folder}/doc_terms")
@@ -75,15 +81,14 @@ class TextIndex:
             .sortWithinPartitions("bucket", "term", "doc_id")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         )
-        postings = spark.read.parquet(f"{folder}/postings")
-        term_frequencies(postings).write.mode("overwrite").parquet(f"{folder}/terms")
+        term_frequencies(read_postings(spark, folder)).write.mode("overwrite").parquet(f"{folder}/terms")
         return TextIndex.load(spark, folder, buckets)
 
     @staticmethod
     def load(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> TextIndex:
         doc_terms = spark.read.parquet(f"{folder}/doc_terms")
         return TextIndex(
-            spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"),
+            read_postings(spark, folder), spark.read.parquet(f"{folder}/terms"),
             doc_terms.select("doc_id", "dl"), corpus_stats(doc_terms.select("dl")), buckets,
         )
 
