@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as K
 from lectern.functions import prompts as P
 from lectern.functions import text as T
+from lectern.operators.ranking import ranked
 
 GENERATION_SCHEMA = "prompt_id string, attempt int, seq int, raw string"
 
@@ -124,8 +125,8 @@ def discussion_history(preambles: DataFrame, turns: DataFrame, asked: DataFrame)
                         role.alias("role"), "content")
     new = asked.select("conv_id", F.lit(2**62).alias("at"), F.lit("user").alias("role"), "content")
     every = system.unionByName(past).unionByName(new)
-    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("at")) - 1
-    return every.select("conv_id", pos.alias("pos"), "role", "content")
+    numbered = ranked(every, "conv_id", ["at"], F.floor(F.col("at") / 4096), "pos")
+    return numbered.select("conv_id", (F.col("pos") - 1).alias("pos"), "role", "content")
 
 
 def generation_throughput(log: DataFrame, by: str = "generation_id") -> DataFrame:

@@ -81,6 +81,7 @@ class TextIndex:
             .sortWithinPartitions("bucket", "term", "doc_id")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         )
+        corpus_stats(doc_terms.select("dl")).write.mode("overwrite").parquet(f"{folder}/stats")
         term_frequencies(read_postings(spark, folder)).write.mode("overwrite").parquet(f"{folder}/terms")
         return TextIndex.load(spark, folder, buckets)
 
@@ -89,7 +90,7 @@ class TextIndex:
         doc_terms = spark.read.parquet(f"{folder}/doc_terms")
         return TextIndex(
             read_postings(spark, folder), spark.read.parquet(f"{folder}/terms"),
-            doc_terms.select("doc_id", "dl"), corpus_stats(doc_terms.select("dl")), buckets,
+            doc_terms.select("doc_id", "dl"), spark.read.parquet(f"{folder}/stats"), buckets,
         )
 
     @staticmethod

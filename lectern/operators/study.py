@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ranking import ranked
 
 LETTERS = ["A", "B", "C", "D"]
 
@@ -84,6 +85,10 @@ def topic_completion(topics: DataFrame, by: str) -> DataFrame:
 
 
 def shuffle_cards(cards: DataFrame, seed: str, by: str, key: str) -> DataFrame:
-    """Add ``pos``: a repeatable random order of the cards of each set."""
-    w = Window.partitionBy(by).orderBy(T.seeded_hash(seed, F.col(key)), key)
-    return cards.withColumn("pos", F.row_number().over(w) - 1)
+    """Add ``pos``: a repeatable random order of the cards of each set.
+
+    The order is by hash, whose leading digits cut a large set into even parts.
+    """
+    hashed = cards.withColumn("_h", T.seeded_hash(seed, F.col(key)))
+    placed = ranked(hashed, by, ["_h", key], F.substring("_h", 1, 2), "pos")
+    return placed.withColumn("pos", F.col("pos") - 1).drop("_h")

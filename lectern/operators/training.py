@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
+from lectern.operators.ranking import ranked
 
 
 def assign_difficulty(chunks: DataFrame, seed: str, key: str = "id") -> DataFrame:
@@ -172,24 +173,24 @@ def parse_training_log(lines: DataFrame, col: str = "line") -> DataFrame:
     })
 
 
-def _stop_state(best, patience, best_iteration, stopped):
-    return F.struct(
-        best.alias("best"), patience.alias("patience"), best_iteration.alias("best_iteration"),
-        stopped.alias("stopped_at"))
-
-
 def early_stopping(
     log: DataFrame, patience: int = K.EARLY_STOP_PATIENCE, delta: float = K.EARLY_STOP_DELTA
 ) -> DataFrame:
     """Per run: best loss, its iteration, the patience counter and the stopping iteration.
 
     The best moves only when a loss beats it by more than ``delta``, so this is a fold
-    over the run's validation reports in order, not a running minimum.  ``log`` has
-    (run_id, iteration, valid_loss); the run's two numbers per report are all that is
-    gathered.
+    over the run's validation reports in order, not a running minimum.  Until it stops, every
+    ``patience`` reports lower the best by more than ``delta``; the first and the
+    smallest loss therefore bound the reports that can matter, and only those are gathered
+    per run, however long its log is.  ``log`` has (run_id, iteration, valid_loss).
     """
-    reports = log.filter("valid_loss is not null").groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("iteration", "valid_loss"))).alias("r"))
+    seen = log.select("run_id", "iteration", "valid_loss").filter("valid_loss is not null")
+    fall = F.min_by("valid_loss", "iteration") - F.min("valid_loss")
+    reach = seen.groupBy("run_id").agg(
+        ((F.floor(fall / delta) + 3) * patience).alias("_reach"))
+    placed = ranked(seen, "run_id", ["iteration"], F.floor(F.col("iteration") / 65536), "_at")
+    reports = placed.join(reach, "run_id").filter(F.col("_at") <= F.col("_reach")).groupBy(
+        "run_id").agg(F.array_sort(F.collect_list(F.struct("iteration", "valid_loss"))).alias("r"))
     zero = F.struct(
         F.lit(float("inf")), F.lit(0), F.lit(0), F.lit(None)
     ).cast("struct<best:double,patience:int,best_iteration:bigint,stopped_at:bigint>")

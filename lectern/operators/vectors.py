@@ -1,7 +1,7 @@
 """Exact vector similarity.
 
 The query batch is small beside the corpus, so it travels to the corpus: up to
-``MAX_QUERIES`` query vectors are shipped with the task function, each task
+``MAX_QUERIES`` query vectors of ``MAX_NUMBERS`` numbers are shipped with the task function, each task
 multiplies its Arrow batches by them and keeps only its best ``k`` per query.
 Nothing but k rows per query and task is shuffled.  A larger query set goes
 the other way: queries and corpus are cut into hashed blocks and every block pair
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 MAX_QUERIES = 2048
+#: Most numbers in a shipped block (32 MB as doubles), whatever the dimension.
+MAX_NUMBERS = 4_000_000
 SPLIT_ROWS = 50_000
 #: Scores are compared after rounding to this many digits, so equal vectors tie by id.
 DIGITS = 9
@@ -107,7 +109,8 @@ def _run(queries, corpus, work, schema, max_queries, split_rows) -> DataFrame:
     queries = queries.select("query_id", "embedding")
     corpus = corpus.select("doc_id", "embedding")
     head = queries.limit(max_queries + 1).collect()
-    if len(head) <= max_queries:
+    numbers_held = sum(len(r[1] or ()) for r in head)
+    if len(head) <= max_queries and numbers_held <= MAX_NUMBERS:
         block = QueryBlock([r[0] for r in head], [r[1] for r in head])
 
         def part(batches):
@@ -116,7 +119,8 @@ def _run(queries, corpus, work, schema, max_queries, split_rows) -> DataFrame:
 
         return corpus.mapInPandas(part, schema)
 
-    blocks = math.ceil(queries.count() / max_queries)
+    widest = max(len(r[1] or ()) for r in head) or 1
+    blocks = math.ceil(queries.count() / min(max_queries, max(1, MAX_NUMBERS // widest)))
     splits = max(1, math.ceil(corpus.count() / split_rows))
 
     def numbers(n):

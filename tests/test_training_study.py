@@ -87,6 +87,24 @@ def test_early_stopping_is_a_fold(spark):
         assert tuple(r)[1:] == brute_stop(runs[r["run_id"]]), r
 
 
+def test_early_stopping_on_one_long_run(spark):
+    rng = random.Random(4)
+    losses = [round(2 + rng.uniform(0, 1) + 1000 / (i + 1), 4) for i in range(5000)]
+    df = spark.createDataFrame([(1, i * 50, x) for i, x in enumerate(losses, 1)], "run_id int, iteration int, valid_loss double")
+    best, at, left, stop = brute_stop(losses)
+    assert tuple(R.early_stopping(df).first())[1:] == (best, at * 50, left, stop * 50 if stop else None)
+
+
+def test_ranks_over_parts_equal_plain_ranks(spark):
+    from lectern.operators.ranking import ranked
+    rows = [("hot" if i % 3 else f"g{i % 7}", (i * 37) % 1000) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = ranked(df, "g", ["v"], F.floor(F.col("v") / 50), "r").collect()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r["v"], r["r"]) for r in got if r["g"] == g)
+        assert [r for _, r in mine] == list(range(1, len(mine) + 1))
+
+
 def test_progress_percent(spark):
     df = spark.createDataFrame([(5, 10), (5, 0)], "iteration int, total_iterations int")
     assert [r["percent_complete"] for r in R.training_progress(df).collect()] == [50.0, 0.0]
