@@ -99,8 +99,8 @@ def hybrid_search(
     the best k of either side, then every lexical match that could still reach the k-th
     candidate given the best cosine left.  The result equals scoring all pairs.
     """
-    queries = queries.select(
-        "query_id", "query", *(["embedding"] if "embedding" in queries.columns else []))
+    columns = [c for c in ("query_id", "query", "embedding") if c in queries.columns]
+    queries = materialize(queries.select(*columns), "queries")
     lexical = materialize(bm25(queries, index), "bm25")
     n = index.stats.select("n").scalar()
     ranges = lexical.groupBy("query_id").agg(
@@ -110,7 +110,7 @@ def hybrid_search(
     use_vectors = use_hybrid and corpus is not None and "embedding" in queries.columns
     ids = index.lengths.select("doc_id")
     # with equal scores the smallest ids win, so they are candidates for every query
-    fillers = {r[0] for r in ids.orderBy("doc_id").limit(k).collect()}
+    fillers = {r[0] for r in ids.orderBy("doc_id").limit(k).collect()}  # k ids
     per_query = queries.select("query_id").join(ranges, "query_id", "left")
 
     if use_vectors:
@@ -129,7 +129,6 @@ def hybrid_search(
             F.greatest(F.min("score"), at_zero).alias("kth_e"))
         per_query = per_query.join(dense_ranges, "query_id", "left").join(kth, "query_id", "left")
     else:
-        best = None
         per_query = per_query.select("*", *[
             F.lit(0.0).alias(c) for c in ("lo_e", "hi_e", "kth_e")])
     per_query = materialize(per_query.fillna(
@@ -146,24 +145,32 @@ def hybrid_search(
         return pairs.join(per_query, "query_id").select(
             "query_id", "doc_id", ((1 - weight) * norm_b + weight * norm_e).alias("score"))
 
-    seeds = top_k(lexical, k).select("query_id", "doc_id")
-    if best is not None:
-        seeds = seeds.unionByName(best.select("query_id", "doc_id"))
+    if use_vectors:
+        seeds = top_k(lexical, k).select("query_id", "doc_id").unionByName(
+            best.select("query_id", "doc_id"))
+    else:
+        # the blend rises with BM25 alone: its best k, and what rounds to the same, suffice
+        kth = top_k(lexical, k).groupBy("query_id").agg(F.min("score").alias("kth_b"))
+        seeds = lexical.join(kth, "query_id").filter(
+            F.col("score") >= F.col("kth_b") - 1e-6).select("query_id", "doc_id")
     if fillers:
         seeds = seeds.unionByName(queries.select(
             "query_id", F.explode(F.array(*[F.lit(i) for i in sorted(fillers)])).alias("doc_id")))
-    seeds = seeds.distinct().join(lexical, ["query_id", "doc_id"], "left")
+    # pairs are written before they are scored, so the planner knows how few they are
+    seeds = materialize(
+        seeds.distinct().join(lexical, ["query_id", "doc_id"], "left"), "seed-pairs")
+    if not use_vectors:
+        return top_k(scored(seeds), k)
     first = materialize(scored(seeds), "seeds")
     bar = top_k(first, k).groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score")).alias("bar"))
     reach = (1 - weight) * norm_b + weight * _scaled(
         F.col("kth_e"), F.col("lo_e"), F.col("hi_e"))
-    rest = (
+    rest = materialize(
         lexical.join(per_query, "query_id").join(bar, "query_id", "left")
         .filter(F.col("bar").isNull() | (reach >= F.col("bar") - 1e-9))
         .select("query_id", "doc_id", "score")
-        .join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    )
+        .join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), "rest-pairs")
     return top_k(first.unionByName(scored(rest)), k)
 
 

@@ -171,10 +171,12 @@ def best_candidates(
 def pair_similarity(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add ``similarity`` to (query_id, doc_id) pairs; a missing vector scores 0.
 
-    Meant for pruned pairs: a small pair side is broadcast by the planner and the
-    vectors stay where they are.
+    Pass pruned pairs as a written table: the corpus is joined with their ids first, so while their
+    size allows it the pairs are broadcast and the vectors are only scanned.
     """
+    ids = pairs.select("query_id", "doc_id")
     q = queries.select("query_id", F.col("embedding").alias("_q"))
     d = corpus.select("doc_id", F.col("embedding").alias("_d"))
-    joined = pairs.join(q, "query_id", "left").join(d, "doc_id", "left")
-    return joined.withColumn("similarity", F.round(cosine(F.col("_q"), F.col("_d")), DIGITS)).drop("_q", "_d")
+    found = d.join(ids, "doc_id").join(q, "query_id").select(
+        "query_id", "doc_id", F.round(cosine(F.col("_q"), F.col("_d")), DIGITS).alias("similarity"))
+    return pairs.join(found, ["query_id", "doc_id"], "left").fillna(0.0, ["similarity"])
