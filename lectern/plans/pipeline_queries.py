@@ -24,7 +24,7 @@ from lectern.plans.training_queries import (
     EARLY_SQL, EX_SQL, PROGRESS_SQL, activity, examples, log_lines,
 )
 from lectern.sources import files as IO
-from lectern.sources.tables import checkpoint_folder, read_table
+from lectern.sources.tables import checkpoint_folder, materialize, read_table
 from lectern.streaming import jobs
 
 
@@ -236,6 +236,7 @@ def as_stream(table: DataFrame, key: str, parts: int = 4) -> DataFrame:
     """The table cut into files by ``key`` and read back as a stream, one file per batch."""
     spark = table.sparkSession
     folder = scratch(spark, "stream")
+    table = materialize(table, "stream-input")
     cuts = table.select(F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     for i in range(parts):
         low = F.lit(True) if i == 0 else F.col(key) > cuts[i - 1]
