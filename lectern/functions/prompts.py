@@ -67,6 +67,11 @@ GUIDES = {
     "medium": "Level medium: ask why or how, so that the answer links two ideas.",
     "hard": "Level hard: ask for an implication, contrast or synthesis beyond the wording.",
 }
+ANSWER_SYSTEM = (
+    "You answer questions from the context given. Where it is silent, say so and add what is "
+    "generally known. Be short and exact."
+)
+ANSWER_CONTEXT = "Answer from this context:\n\n{context}\n\n---"
 MCQ_TUTOR = (
     "You tutor a student who has just answered a quiz question.\n\nQuestion: {question}\n"
     "Student's answer: {given} ({verdict})\nCorrect answer: {correct}\nExplanation: {explanation}\n"

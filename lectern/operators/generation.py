@@ -78,6 +78,17 @@ def build_prompts(
     }).drop("examples")
 
 
+def answer_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Prompts for (query_id, query) with the context string of each, when it has one."""
+    given = queries.select("query_id", "query").join(
+        contexts.select("query_id", "context"), "query_id", "left")
+    intro = F.when(F.coalesce("context", F.lit("")) != "", P.render(
+        P.ANSWER_CONTEXT, context=F.col("context"))).otherwise("")
+    return given.select(
+        F.col("query_id").cast("string").alias("prompt_id"), F.lit(P.ANSWER_SYSTEM).alias("system"),
+        F.concat(intro, F.lit("\nQuestion: "), F.col("query")).alias("user"))
+
+
 def generate(
     prompts: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ) -> DataFrame:

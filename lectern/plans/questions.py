@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import constants as K
+from lectern.functions import text as T
 from lectern.operators import generation as G
 from lectern.operators import parsing as X
 from lectern.operators import training as R
 from lectern.operators import validation as V
+from lectern.sources.files import write_training_jsonl
 from lectern.sources.tables import materialize
 
 
@@ -35,6 +38,57 @@ def make_questions(
     return best.withColumn("difficulty", F.lit(difficulty)).withColumnRenamed("prompt_id", "chunk_id")
 
 
+def make_open_questions(
+    chunks: DataFrame, fn: Callable, difficulty: str, count: int | None = None, seed: str = "open"
+) -> DataFrame:
+    """Open questions with ideal answers, at most one per chunk (id, source, text)."""
+    picked = chunks if count is None else G.sample_chunks(chunks, count, seed)
+    prompts = G.build_prompts(picked, "open", F.lit(difficulty)).withColumn("prompt_id", F.col("id"))
+    replies = materialize(G.generate(prompts, fn), "replies")
+    first = replies.groupBy("prompt_id").agg(F.min_by("raw", F.struct("attempt", "seq")).alias("raw"))
+    sourced = first.join(picked.select(F.col("id").alias("prompt_id"), "source", "text"), "prompt_id")
+    return X.parse_open_ended(sourced).withColumnRenamed("prompt_id", "chunk_id")
+
+
+def make_flashcards(
+    chunks: DataFrame, fn: Callable, count: int, seed: str = "cards", sampled: int = 3
+) -> DataFrame:
+    """Cards from up to three sampled chunks in one prompt; all carry the first one's source."""
+    picked = G.sample_chunks(chunks, sampled, seed)
+    place = F.struct(T.seeded_hash(seed, F.col("id")).alias("h"), "id")
+    parts = F.array_sort(F.collect_list(F.struct(place.alias("at"), "text")))
+    batch = picked.agg(
+        F.min_by("source", place).alias("source"),
+        F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"),
+        F.count("*").alias("n"),
+    ).filter("n > 0").select(F.lit("cards").alias("id"), "source", "text")
+    prompts = G.build_prompts(batch, "flashcard", count=count).withColumn("prompt_id", F.col("id"))
+    replies = materialize(G.generate(prompts, fn), "replies")
+    return X.parse_flashcards(replies.join(
+        batch.select(F.col("id").alias("prompt_id"), "source"), "prompt_id"
+    ).select("source", "raw"))
+
+
+def make_role_tag_set(
+    chunks: DataFrame, fn: Callable, per_difficulty: int, folder: str,
+    ratio: float = 0.1, seed: str = "roles",
+) -> DataFrame:
+    """Questions of every difficulty as role-tag lines, split and written under ``folder``.
+
+    ``chunks`` is (id, doc_id, chunk_idx, source, text).  Returns (id, split, text).
+    """
+    sets = {
+        d: make_questions(chunks, fn, d, per_difficulty, seed=f"{seed}-{d}").drop("difficulty")
+        for d in K.DIFFICULTIES
+    }
+    every = R.attach_chunk(R.union_difficulties(sets), chunks)
+    lines = materialize(R.format_role_tags(every).select(
+        F.concat_ws("-", "difficulty", "chunk_id").alias("id"), F.col("line").alias("text")), "lines")
+    split = materialize(R.valid_first_split(lines, ratio, seed), "split")
+    write_training_jsonl(split, folder)
+    return split
+
+
 def make_training_set(
     chunks: DataFrame, fn: Callable, ratio: float = 0.8, seed: str = "train"
 ) -> DataFrame:

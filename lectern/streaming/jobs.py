@@ -121,7 +121,15 @@ def stream_early_stopping(
     patience: int = K.EARLY_STOP_PATIENCE, delta: float = K.EARLY_STOP_DELTA,
 ) -> StreamingQuery:
     """Early stopping over a stream of (run_id, iteration, valid_loss), in order per run."""
-    log.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
+    conf = log.sparkSession.conf
+    before = conf.get(STATE_PROVIDER, None)
     states = log.filter("valid_loss is not null").groupBy("run_id").transformWithStateInPandas(
         EarlyStopping(patience, delta), EarlyStopping.OUTPUT, "update", "none")
-    return latest_table(states, folder, "update")
+    conf.set(STATE_PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
+    try:
+        return latest_table(states, folder, "update")
+    finally:
+        if before is None:
+            conf.unset(STATE_PROVIDER)
+        else:
+            conf.set(STATE_PROVIDER, before)

@@ -254,3 +254,55 @@ def test_throughput_guards_zero_time(spark):
     df = spark.createDataFrame([(1, 5, 0.0), (2, 4, 1.0), (2, 9, 3.0)], "generation_id int, tokens int, elapsed double")
     got = {r["generation_id"]: r["tokens_per_second"] for r in G.generation_throughput(df).collect()}
     assert got == {1: 0.0, 2: 3.0}
+
+
+def cards(batches):
+    for pdf in batches:
+        raw = ['[{"question": "Q%d", "answer": "A"}, {"question": "R", "answer": "B"}]' % u.count("passage") for u in pdf["user"]]
+        yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": 0, "seq": 0, "raw": raw})
+
+
+def test_flashcards_come_from_three_sampled_chunks(spark):
+    chunks = spark.createDataFrame([(str(i), f"s{i}", f"passage {i}") for i in range(9)], "id string, source string, text string")
+    got = questions.make_flashcards(chunks, cards, 2).collect()
+    first = G.sample_chunks(chunks, 3, "cards").collect()[0]["source"]
+    assert [(r["pos"], r["question"]) for r in got] == [(0, "Q3"), (1, "R")] and {r["source"] for r in got} == {first}
+    assert questions.make_flashcards(chunks.filter("false"), cards, 2).count() == 0
+
+
+def essays(batches):
+    for pdf in batches:
+        raw = ['{"question": "Explain it.", "idealAnswer": "It is so."}' if int(p) % 2 else "none" for p in pdf["prompt_id"]]
+        yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": 0, "seq": 0, "raw": raw})
+
+
+def test_open_questions_keep_their_context(spark):
+    chunks = spark.createDataFrame([(str(i), "s", f"passage {i}") for i in range(6)], "id string, source string, text string")
+    got = questions.make_open_questions(chunks, essays, "hard").collect()
+    assert sorted((r["chunk_id"], r["context"]) for r in got) == [("1", "passage 1"), ("3", "passage 3"), ("5", "passage 5")]
+
+
+def test_role_tag_set_is_written_split(spark):
+    import tempfile
+    from lectern.sources import files as IO
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    chunks = spark.createDataFrame([(str(i), i, 0, f"s{i % 2}", "text") for i in range(8)], "id string, doc_id bigint, chunk_idx int, source string, text string")
+    made = questions.make_role_tag_set(chunks, stub, 4, folder)
+    assert made.count() == 12 and made.filter("split = 'valid'").count() == 1
+    train = IO.read_training_jsonl(spark, folder + "/train.jsonl").collect()
+    assert len(train) == 11 and all("<|assistant|>" in r["text"] for r in train)
+
+
+def quote(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": 0, "seq": 0, "raw": [" " + u[:40] + " " for u in pdf["user"]]})
+
+
+@pytest.mark.parametrize("hops", [1, 2])
+def test_answers_use_the_context_found(spark, hops):
+    from lectern.operators import index as I
+    from lectern.plans import ask
+    docs = spark.createDataFrame([(1, "s", "Harbour lights guide ships home."), (2, "t", "Bread needs yeast.")], "doc_id bigint, source string, text string")
+    q = spark.createDataFrame([(1, "harbour lights"), (2, "yeast bread")], "query_id int, query string")
+    got = {r["query_id"]: r["answer"] for r in ask.answer(q, quote, I.TextIndex.build(docs, buckets=2), docs, k=1, hops=hops).collect()}
+    assert got[1].startswith("Answer from this context:\n\nHarbour") and got[2].startswith("Answer from this context:\n\nBread")
