@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import constants as K
 from lectern.operators import metadata as M
 from lectern.operators import retrieval as R
 from lectern.operators import training as TR
@@ -18,10 +19,11 @@ from lectern.plans import sqltext as q
 from lectern.plans.document_queries import (
     DROP_SQL, FOLD_SQL, LINE_CHUNKS_SQL, TARGET, documents, line_chunks, marked_documents,
 )
+from lectern.plans.question_queries import DECODE_SQL, MCQ_SQL, SCORE_SQL, VALID_SQL, render_sql
 from lectern.plans.registry import query
 from lectern.plans.search_queries import ASK_SQL, RANK, TOK_SQL, bm25_sql, corpus, text_queries
 from lectern.plans.training_queries import (
-    EARLY_SQL, EX_SQL, PROGRESS_SQL, activity, examples, log_lines,
+    ANSWER_SQL, EARLY_SQL, EX_SQL, NORM, PROGRESS_SQL, activity, examples, log_lines,
 )
 from lectern.sources import files as IO
 from lectern.sources.tables import checkpoint_folder, materialize, read_table
@@ -115,18 +117,44 @@ def passages(spark, sf) -> DataFrame:
     return documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "source", "text")
 
 
-@query("make_questions")
-def _(spark, sf):
-    made = questions.make_questions(passages(spark, sf), stub_model, "medium")
-    return made.withColumn("options", F.array_join("options", "|"))
+STUB_SQL = r"""cut AS (SELECT doc_id, source, text, list_filter(list_transform(regexp_split_to_array(text[1:800], '\s+'), lambda x: trim(x, '.,;|"\')),
+  lambda y: length(y) > 1) AS w0 FROM documents),
+stub AS (SELECT doc_id, source, text, CASE WHEN len(w0) > 0 THEN w0 ELSE ['none'] END AS w, unnest(range(5)) AS seq FROM cut),
+replies AS (SELECT doc_id, source, text, seq // 3 AS attempt, seq, doc_id || ':' || (seq // 3) || ':' || seq AS reply_id, json_object(
+  'question', CASE WHEN seq > 0 THEN 'What of ' ELSE 'the author says ' END || array_to_string(list_transform(range(8), lambda i: w[(seq + i) % len(w) + 1]), ' ') || '?',
+  'options', list_transform(range(4), lambda i: w[(seq + 3 * i) % len(w) + 1]),
+  'correctIndex', seq % 4, 'explanation', 'It stands in the content given.')::VARCHAR AS raw FROM stub)"""
 
 
-@query("make_training_set")
+@query("make_questions", sql=f"""WITH {STUB_SQL}, {MCQ_SQL}, {VALID_SQL}, {SCORE_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN self_containment >= 4 THEN 0 ELSE 1 END,
+  CASE WHEN self_containment >= 4 THEN 0 ELSE -pref END, attempt, seq) AS rn FROM scored WHERE is_valid AND self_containment >= 2)
+SELECT doc_id::VARCHAR AS chunk_id, attempt, seq, source, question, array_to_string(options, '|') AS options, correct_index, explanation,
+  self_containment, 'medium' AS difficulty FROM r WHERE rn = 1""")
+def _(spark, sf):
+    made = questions.make_questions(passages(spark, sf), stub_model, "medium")
+    return made.withColumn("options", F.array_join("options", "|")).drop("reply_id")
+
+
+@query("make_training_set", sql=f"""WITH {STUB_SQL}, {DECODE_SQL},
+first AS (SELECT *, doc_id || '-' || question[1:20] AS id FROM dec WHERE seq = 0 AND len(options) = 4 AND len(list_distinct(options)) = 4
+  AND idx BETWEEN 0 AND 3 AND length(question) > 20),
+uniq AS (SELECT *, row_number() OVER (PARTITION BY {NORM.format('question')} ORDER BY id) AS copy FROM first),
+ranks AS (SELECT *, row_number() OVER (ORDER BY md5('train' || id), id) AS rn, count(*) OVER () AS n, idx AS correct_index,
+  [{q.in_list(K.DIFFICULTIES)}][{q.bucket('train', 'doc_id', 3)} + 1] AS difficulty FROM uniq WHERE copy = 1)
+SELECT id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'valid' END AS split,
+  '<|im_start|>system' || chr(10) || {q.quote(K.CHATML_SYSTEM)} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
+  || {render_sql(K.CHATML_USER, difficulty='lower(difficulty)')} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {ANSWER_SQL} || '<|im_end|>' AS text FROM ranks""")
 def _(spark, sf):
     return questions.make_training_set(passages(spark, sf), stub_model)
 
 
-@query("summarize_documents")
+@query("summarize_documents", sql=rf"""WITH {PROCESS_SQL},
+fl AS (SELECT *, list_filter(lines, lambda x: x <> '') AS full_lines FROM mrg),
+asked AS (SELECT * FROM fl WHERE word_count >= 50 AND NOT (((contains(low, 'table of contents') OR starts_with(low, 'contents')) AND
+  len(list_filter(full_lines, lambda x: regexp_matches(x, '\p{{N}}') AND length(x) < 60)) / greatest(1, len(full_lines)) > 0.8)
+  OR ((contains(low, 'isbn') OR contains(low, 'library of congress')) AND length(text) < 500)))
+SELECT doc_id, chunk_idx, text[1:1500] AS text, section, chapter, {q.word_count('text[1:1500]')} AS word_count FROM asked""")
 def _(spark, sf):
     done = ingest.summarize_documents(marked_documents(spark, sf), stub_summaries, TARGET)
     return done.select("doc_id", "chunk_idx", "text", "section", "chapter", "word_count")
