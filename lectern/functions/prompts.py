@@ -143,6 +143,79 @@ GOLD_EXAMPLES = [
      ["They could not weigh bodies", "They measured only heat",
       "They required perfect vacuum", "They were too slow to time free fall"], 3,
      "Slower motion was needed because water clocks could not time free fall."),
+    ("easy", "The Rosetta Stone was found in Egypt in 1799 and carries one decree in three scripts.",
+     "In which year was the Rosetta Stone found in Egypt?", ["1815", "1799", "1822", "1750"], 1,
+     "The stone was found in 1799."),
+    ("easy", "Iron melts at about 1538 degrees Celsius under normal pressure.",
+     "At about what temperature in degrees Celsius does iron melt?",
+     ["961", "660", "1538", "3422"], 2, "Iron melts at about 1538 degrees Celsius."),
+    ("easy", "Wangari Maathai founded the Green Belt Movement in Kenya in 1977.",
+     "Who founded the Green Belt Movement in Kenya in 1977?",
+     ["Ellen Johnson Sirleaf", "Miriam Makeba", "Graça Machel", "Wangari Maathai"], 3,
+     "Wangari Maathai founded the movement."),
+    ("easy", "The capital of Mongolia, Ulaanbaatar, lies on the Tuul River.",
+     "On which river does the Mongolian capital Ulaanbaatar lie?",
+     ["Tuul", "Selenga", "Onon", "Kherlen"], 0, "Ulaanbaatar lies on the Tuul."),
+    ("easy", "A sonnet has fourteen lines, commonly in iambic pentameter in English.",
+     "How many lines does a sonnet have?", ["Twelve", "Fourteen", "Sixteen", "Ten"], 1,
+     "A sonnet has fourteen lines."),
+    ("easy", "Igneous rock forms when molten rock cools and hardens.",
+     "Which kind of rock forms when molten rock cools?",
+     ["Sedimentary", "Metamorphic", "Igneous", "Organic"], 2, "Cooling melt gives igneous rock."),
+    ("medium", "Because Venice had little land, its merchants put their wealth into ships and glass rather than fields.",
+     "Why did Venetian merchants invest in ships and glass rather than fields?",
+     ["Venice had little land", "Law forbade farming", "Glass paid all taxes", "Ships needed no crews"], 0,
+     "Scarce land turned capital to trade and craft."),
+    ("medium", "A vaccine shows the immune system a harmless part of a germ, so memory cells stand ready for the real one.",
+     "How does a vaccine prepare the body for a later infection?",
+     ["It kills germs in the blood", "It leaves memory cells for the germ",
+      "It thickens the skin barrier", "It lowers body temperature"], 1,
+     "Memory cells formed by the harmless part respond faster."),
+    ("medium", "Standard gauges let wagons of different lines run through, which cut the cost of reloading freight.",
+     "How did a standard track gauge lower the cost of rail freight?",
+     ["It needed less coal", "It made trains shorter", "It spared the reloading of wagons", "It raised ticket prices"], 2,
+     "Through wagons made reloading at line borders needless."),
+    ("medium", "Owls hunt by night with uneven ear openings, which let them place a sound in height as well as direction.",
+     "Why do uneven ear openings help owls to hunt in the dark?",
+     ["They block the wind", "They warm the head", "They hide the ears", "They place sounds in height"], 3,
+     "The difference between the ears tells how high a sound lies."),
+    ("medium", "Terraces on steep Andean slopes slowed runoff, so soil and water stayed where maize could use them.",
+     "How did Andean terraces make steep slopes fit for maize?",
+     ["They slowed runoff and kept soil", "They melted mountain ice",
+      "They shaded young plants", "They drew water from wells"], 0, "Slower runoff keeps soil and water in place."),
+    ("medium", "Inflation outran wages in the German cities of 1923, so workers asked to be paid daily.",
+     "Why did workers in German cities ask for daily pay in 1923?",
+     ["Banks had closed for good", "Money lost value within days",
+      "Factories moved abroad", "Taxes fell due each night"], 1, "Pay lost its value if it was held."),
+    ("hard", "Semmelweis lowered deaths by hand washing before germs were known, yet colleagues rejected a rule without a theory.",
+     "What does the rejection of Ignaz Semmelweis suggest about how medicine accepted evidence?",
+     ["Results alone were not enough without a theory", "Statistics were seen as final",
+      "Hand washing was thought costly", "Hospitals lacked written records"], 0,
+     "His numbers were clear, but no accepted theory explained them."),
+    ("hard", "When Britain paid for dead cobras in Delhi, people bred them; ending the bounty set them free.",
+     "Which general risk of incentives does the Delhi cobra bounty illustrate?",
+     ["Rewards are always too small", "A measure can be met while its aim is defeated",
+      "Animals cannot be counted", "Cities need no rules"], 1, "The payment rewarded breeding, not fewer snakes."),
+    ("hard", "Borges imagined a map as large as the land it shows, and so of no use.",
+     "What does the full-size map imagined by Jorge Luis Borges imply about models?",
+     ["Models must be secret", "Models age faster than land",
+      "A model is useful because it leaves things out", "Larger models cost less"], 2,
+     "Without omission a map gains nothing over the land."),
+    ("hard", "Darwin's finches differ in beaks by island, though one ancestor had reached the archipelago.",
+     "What does the variety of beaks among Galápagos finches imply about their common ancestor?",
+     ["It had several beaks", "It came from every island",
+      "It never left the coast", "Its descendants adapted to different foods"], 3,
+     "Different foods on the islands favoured different beaks."),
+    ("hard", "Arrow proved that no ranked voting rule can meet a short list of fair demands at once.",
+     "What does the theorem of Kenneth Arrow imply for the search for a perfect voting rule?",
+     ["Some fair demand must be given up", "Only majority rule is fair",
+      "Voters should not rank candidates", "Small groups vote at random"], 0,
+     "The demands cannot all hold together."),
+    ("hard", "Concrete used by Roman builders hardened further in sea water, while modern concrete decays there.",
+     "Which assumption about material progress does Roman marine concrete question?",
+     ["That all stone is alike", "That newer materials last longer in every use",
+      "That lime needs no water", "That harbours need timber"], 1,
+     "An older recipe outlasts a newer one in the sea."),
 ]
 
 

@@ -22,11 +22,15 @@ def sample_chunks(chunks: DataFrame, n: int, seed: str, key: str = "id") -> Data
 
 
 def gold_examples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(P.GOLD_EXAMPLES)],
-        "example_id int, difficulty string, text string, question string, "
-        "options array<string>, correct_index int, explanation string",
-    )
+    """The worked examples as a table, built in the JVM from literals."""
+    names = ["difficulty", "text", "question", "options", "correct_index", "explanation"]
+    rows = [
+        F.struct(F.lit(i).alias("example_id"), *[
+            (F.array(*[F.lit(o) for o in v]) if n == "options" else F.lit(v)).alias(n)
+            for n, v in zip(names, row)])
+        for i, row in enumerate(P.GOLD_EXAMPLES)
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def few_shot_blocks(examples: DataFrame, n: int = 3, seed: str = "gold") -> DataFrame:
