@@ -137,7 +137,13 @@ def format_context(text: Column, section: Column, chapter: Column) -> Column:
     return F.concat(label(section), label(chapter), text)
 
 
-def _with_text(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def with_text(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results with the text of their document and of their query.
+
+    The results are written first: they are few and their size is known then, so the planner
+    sends them to the chunks and does not shuffle the chunk texts.
+    """
+    results = materialize(results, "results")
     cols = [c for c in ("doc_id", "text", "source", "section", "chapter") if c in chunks.columns]
     return results.join(chunks.select(*cols), "doc_id").join(
         queries.select("query_id", "query"), "query_id")
@@ -156,7 +162,7 @@ def rag_context(
 ) -> DataFrame:
     """One context string per query: hybrid search for 2k, rerank to k, format, join."""
     found = R.hybrid_search(queries, index, corpus, 2 * k)
-    ranked = rerank(_with_text(found, chunks, queries), k)
+    ranked = rerank(with_text(found, chunks, queries), k)
     ranked = ranked.withColumn("context", _labelled(ranked))
     parts = F.array_sort(F.collect_list(F.struct("rank", "context")))
     return ranked.groupBy("query_id").agg(
@@ -181,7 +187,7 @@ def multi_hop(
 
     def search(asked: DataFrame, size: int) -> DataFrame:
         hits = R.hybrid_search(asked.select("query_id", "query"), index, None, size)
-        return _with_text(hits, chunks, asked)
+        return with_text(hits, chunks, asked)
 
     def fresh(results: DataFrame, hop: int, seen: DataFrame | None) -> DataFrame:
         """New results in order; the first of a (source, opening) pair stays."""

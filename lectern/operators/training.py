@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as K
 from lectern.functions import text as T
 from lectern.operators.ranking import ranked
+from lectern.sources.tables import materialize
 
 
 def assign_difficulty(chunks: DataFrame, seed: str, key: str = "id") -> DataFrame:
@@ -124,11 +125,14 @@ def format_role_tags(questions: DataFrame) -> DataFrame:
 def attach_chunk(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the text of the first chunk (doc_id, chunk_idx) of the question's source.
 
-    Questions without one are dropped.
+    Questions without one are dropped.  The first chunks are found by their numbers alone and
+    written; only their texts are then fetched, so no text is sorted or gathered per source.
     """
-    first = chunks.groupBy("source").agg(
-        F.min_by("text", F.struct("doc_id", "chunk_idx")).alias("chunk_text"))
-    return questions.join(first, "source")
+    first = chunks.groupBy("source").agg(F.min(F.struct("doc_id", "chunk_idx")).alias("m"))
+    first = materialize(first.select("source", "m.doc_id", "m.chunk_idx"), "first-chunks")
+    texts = chunks.join(first, ["source", "doc_id", "chunk_idx"]).select(
+        "source", F.col("text").alias("chunk_text"))
+    return questions.join(texts, "source")
 
 
 def line_is_valid(line: Column) -> Column:

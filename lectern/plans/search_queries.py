@@ -249,7 +249,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r""")
 def _(spark, sf):
     asked = text_queries(spark, sf)
     hits = R.keyword_search(asked, text_index(spark, sf), 20).drop("rank")
-    hits = hits.join(documents(spark, sf).select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    hits = RR.with_text(hits, documents(spark, sf).select("doc_id", "text"), asked)
     return RR.rerank(hits, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -320,7 +320,7 @@ SELECT query_id, followup FROM fu""")
 def _(spark, sf):
     asked = text_queries(spark, sf)
     hits = R.keyword_search(asked, text_index(spark, sf), 5)
-    ctx = hits.join(documents(spark, sf), "doc_id").select("query_id", F.col("text").alias("context"))
+    ctx = RR.with_text(hits, documents(spark, sf), asked).select("query_id", F.col("text").alias("context"))
     return RR.followup_queries(asked, ctx).select("query_id", "followup")
 
 
