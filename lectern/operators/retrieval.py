@@ -131,8 +131,9 @@ def hybrid_search(
     else:
         per_query = per_query.select("*", *[
             F.lit(0.0).alias(c) for c in ("lo_e", "hi_e", "kth_e")])
-    per_query = materialize(per_query.fillna(
-        0.0, ["hi_b", "lo_b", "lo_e", "hi_e", "kth_e"]), "ranges")
+    per_query = per_query.fillna(0.0, ["hi_b", "lo_b", "lo_e", "hi_e", "kth_e"])
+    if use_vectors:  # read three times below
+        per_query = materialize(per_query, "ranges")
 
     norm_b = _scaled(F.coalesce("score", F.lit(0.0)), F.col("lo_b"), F.col("hi_b"))
     norm_e = _scaled(F.col("similarity"), F.col("lo_e"), F.col("hi_e"))
@@ -156,11 +157,11 @@ def hybrid_search(
     if fillers:
         seeds = seeds.unionByName(queries.select(
             "query_id", F.explode(F.array(*[F.lit(i) for i in sorted(fillers)])).alias("doc_id")))
-    # pairs are written before they are scored, so the planner knows how few they are
-    seeds = materialize(
-        seeds.distinct().join(lexical, ["query_id", "doc_id"], "left"), "seed-pairs")
+    seeds = seeds.distinct().join(lexical, ["query_id", "doc_id"], "left")
     if not use_vectors:
         return top_k(scored(seeds), k)
+    # pairs are written before they are scored, so the planner knows how few they are
+    seeds = materialize(seeds, "seed-pairs")
     first = materialize(scored(seeds), "seeds")
     bar = top_k(first, k).groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score")).alias("bar"))
