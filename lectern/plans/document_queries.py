@@ -21,7 +21,7 @@ NL = q.NL
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents", "doc_id")
+    return read_table(spark, sf, "documents")
 
 
 # --- derived inputs, spelled once per engine ---------------------------------

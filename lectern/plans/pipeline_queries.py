@@ -286,7 +286,7 @@ def _(spark, sf):
   round(CASE WHEN max(event_id) > 0 THEN count(*) / (max(event_id) / 10) ELSE 0 END, 6) AS tokens_per_second FROM events GROUP BY user_id""")
 def _(spark, sf):
     folder = scratch(spark, "throughput")
-    ev = read_table(spark, sf, "events", "user_id")
+    ev = read_table(spark, sf, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     log = ev.select(F.col("user_id").alias("generation_id"), n.alias("tokens"), "event_id", (F.col("event_id") / 10).alias("elapsed"))
     jobs.stream_throughput(as_stream(log, "event_id"), folder).awaitTermination()

@@ -432,7 +432,7 @@ al AS (SELECT * FROM pre UNION ALL SELECT conv_id, turn, CASE WHEN role = 'user'
   UNION ALL SELECT conv_id, 1000000, 'user', 'And then? ' || question FROM first)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at_) - 1 AS pos, role, content FROM al""")
 def _(spark, sf):
-    turns = read_table(spark, sf, "conversations", "conv_id")
+    turns = read_table(spark, sf, "conversations")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.count("*").alias("n"))
     answer = (F.col("conv_id") % 5).cast("int")
     asked = first.select(
@@ -451,7 +451,7 @@ SELECT generation_id, max(tokens) AS tokens, round(max(elapsed), 6) AS elapsed,
   round(CASE WHEN max(elapsed) > 0 THEN max(tokens) / max(elapsed) ELSE 0 END, 6) AS tokens_per_second FROM g GROUP BY generation_id""")
 def _(spark, sf):
     # every event of a user stands for one token of that user's generation
-    ev = read_table(spark, sf, "events", "user_id").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    ev = read_table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     start = ev.groupBy("user_id").agg(F.min("t").alias("t0"), F.count("*").alias("n"))
     log = ev.join(start, "user_id").select(
         F.col("user_id").alias("generation_id"), F.col("n").alias("tokens"), (F.col("t") - F.col("t0")).alias("elapsed"))

@@ -33,7 +33,7 @@ def text_queries(spark, sf) -> DataFrame:
 
 
 def corpus(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "embeddings", "vec_id").select(
+    return read_table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 

@@ -126,7 +126,7 @@ def _(spark, sf):
 
 def log_lines(spark, sf) -> DataFrame:
     """A report line per event; clicks report validation, other types training."""
-    ev = read_table(spark, sf, "events", "user_id")
+    ev = read_table(spark, sf, "events")
     value = F.format_string("%.2f", "value")
     line = (
         F.when(F.col("event_type") == "click", F.concat(
@@ -250,4 +250,4 @@ def _(spark, sf):
 
 @query("shuffle_cards", sql="SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5('c1' || turn), turn) - 1 AS pos FROM conversations")
 def _(spark, sf):
-    return S.shuffle_cards(read_table(spark, sf, "conversations", "conv_id"), "c1", "conv_id", "turn").select("conv_id", "turn", "pos")
+    return S.shuffle_cards(read_table(spark, sf, "conversations"), "c1", "conv_id", "turn").select("conv_id", "turn", "pos")

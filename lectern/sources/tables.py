@@ -8,18 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """A Parquet table.  With ``key``, spread it when the files give fewer tasks than cores.
-
-    Small inputs arrive as one row group, hence one task.  Large ones have
-    more splits than cores and are left as they are, without a shuffle.  The spread is by
-    hash of ``key``, so later windows and groupings on that key need no exchange.
-    """
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table as its files split it: one plan at every size."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -47,3 +38,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The written intermediate tables of one call, all under one shared folder.
+
+    ``keep`` writes a table and reads it back, ``forget`` deletes one that later steps
+    replaced, ``drop`` deletes the folder once the caller has stored its result.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, name: str) -> None:
+        self._delete(f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
