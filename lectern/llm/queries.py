@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import lectern
-from lectern.llm import exact_dedup, sharding
+from lectern.llm import exact_dedup, pieces, sharding, token_counts
 from lectern.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(lectern)
@@ -17,6 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -43,6 +51,25 @@ def op3(spark, sf):
     return exact_dedup.exact_dedup(read_table(spark, sf, "documents"))
 
 
+@query("op6_token_counts")
+def op6(spark, sf):
+    return token_counts.token_counts(
+        read_table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf):
+    return piece_digests(pieces.encode_pieces(
+        read_table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model")))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op10_byte_shards")
 def op10(spark, sf):
     return sharding.byte_shards(read_table(spark, sf, "documents"))
