@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lectern
-from lectern.llm import exact_dedup, pieces, sharding, token_counts
+from lectern.llm import exact_dedup, mixing, pieces, secrets, sharding, token_counts, toxicity
 from lectern.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(lectern)
@@ -35,6 +35,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def op2(spark, sf):
+    return toxicity.toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query("op3_exact_dedup", r"""
 with t as (
   select doc_id, length(coalesce(text, '')) n,
@@ -51,6 +56,17 @@ def op3(spark, sf):
     return exact_dedup.exact_dedup(read_table(spark, sf, "documents"))
 
 
+@query("op4_source_mix")
+def op4(spark, sf):
+    mixed = mixing.mix_sources(read_table(spark, sf, "documents"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
+@query("op5_secrets")
+def op5(spark, sf):
+    return secrets.secret_report(secrets.find_secrets(read_table(spark, sf, "documents")))
+
+
 @query("op6_token_counts")
 def op6(spark, sf):
     return token_counts.token_counts(
