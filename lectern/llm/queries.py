@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lectern
-from lectern.llm import exact_dedup, mixing, pieces, secrets, sharding, token_counts, toxicity
+from lectern.llm import exact_dedup, mixing, ngram_join, pieces, secrets, sharding, token_counts, toxicity
 from lectern.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(lectern)
@@ -73,6 +73,12 @@ def op6(spark, sf):
         read_table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+@query("op8_ngram_join")
+def op8(spark, sf):
+    joined = ngram_join.ngram_join(read_table(spark, sf, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "kept")
+
+
 @query("op9_sentencepiece")
 def op9(spark, sf):
     return piece_digests(pieces.encode_pieces(
