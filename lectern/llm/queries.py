@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lectern
-from lectern.llm import exact_dedup, mixing, ngram_join, pieces, secrets, sharding, token_counts, toxicity
+from lectern.llm import (
+    embedding_dedup,
+    exact_dedup,
+    mixing,
+    ngram_join,
+    pieces,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from lectern.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(lectern)
@@ -35,6 +45,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_embedding_dedup")
+def op1(spark, sf):
+    return embedding_dedup.embedding_dedup(read_table(spark, sf, "embeddings"), threshold=0.93)
+
+
 @query("op2_toxicity")
 def op2(spark, sf):
     return toxicity.toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
