@@ -19,7 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Stands for a space inside pieces (fixed by the format).
 SPACE = "▁"
@@ -29,8 +31,8 @@ NEVER = np.int64(1) << 40
 DENSE = 192
 #: Words longer than this are cut where no piece crosses.
 LONG = 64
-#: Distinct words that a task remembers.
-REMEMBERED = 1_000_000
+#: Distinct words that a task remembers, and characters it cuts up at a time.
+REMEMBERED, AT_ONCE = 400_000, 1_000_000
 #: Slots of the table of tested pairs.
 SLOTS = 1 << 20
 
@@ -402,6 +404,18 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return decode_part(v, ids).removeprefix(" ")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``AT_ONCE`` bytes of text (a longer text by itself)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > AT_ONCE:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
 def encode_pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -417,7 +431,7 @@ def encode_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, offsets, decoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
@@ -427,3 +441,18 @@ def encode_pieces(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    """Number and digest of the ids and digest of the decoded text, per row of ``encode_pieces``."""
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
