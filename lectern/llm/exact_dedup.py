@@ -72,3 +72,16 @@ def exact_dedup(
         F.col("size").alias("group_size"),
         (F.col("best.row") == F.col("winner.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that ``exact_dedup`` keeps, with all their columns."""
+    scratch = scratch or Scratch(docs.sparkSession, "drop-copies")
+    numbered = scratch.keep(docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")), "numbered")
+    told = exact_dedup(numbered.select(
+        F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), "doc.doc_id", "row").alias("doc_id"),
+        F.col("doc.text").alias("text")), scratch=scratch)
+    gone = told.filter(~F.col("kept")).select("doc_id.row")
+    return numbered.join(gone, "row", "left_anti").select("doc.*")

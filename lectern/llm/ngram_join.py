@@ -98,12 +98,11 @@ class Signer:
         return keys.view(np.int64).tolist(), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()
 
 
-def sign(docs: DataFrame, text_col: str, n: int, depth: int) -> DataFrame:
-    """``docs`` with ``sig``: digest and size of the n-gram set, tree keys, sketch."""
+def signer(n: int, depth: int):
+    """A function from a text column to digest and size of the n-gram set, tree keys and sketch."""
     kind = "digest binary, size int, keys array<long>, sketch binary"
 
-    @F.pandas_udf(kind)
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grams, signer = Grams(n), Signer(depth)
         for texts in batches:
             rows = []
@@ -113,7 +112,9 @@ def sign(docs: DataFrame, text_col: str, n: int, depth: int) -> DataFrame:
                 rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), keys, sketch))
             yield pd.DataFrame(rows, columns=["digest", "size", "keys", "sketch"])
 
-    return docs.withColumn("sig", signature(docs[f"`{text_col}`"].cast("string")))
+    # typed at run time: the annotations are texts here
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, kind)
 
 
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -125,6 +126,7 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sketches do not rule the threshold out."""
     least = threshold - SKETCH_DEVIATIONS * (threshold * (1 - threshold) / SKETCH) ** 0.5
+    _likeness.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     likeness = F.pandas_udf(_likeness, "double")
     met = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(
         reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -238,9 +240,10 @@ def ngram_join(
     scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
     depth = forest_depth(threshold, target)
     named = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
-        docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    signed = scratch.keep(sign(named, "text", n, depth).select("row", "doc", "id", "text", "sig.*"), "signed")
+        F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    text = F.col("doc")[text_col].cast("string")
+    signed = scratch.keep(named.withColumn("sig", signer(n, depth)(text)).select(
+        "row", "doc", F.col("doc")[id_col].alias("id"), "sig.*"), "signed")
     classes = scratch.keep(signed.filter("size > 0").groupBy("digest").agg(
         F.min("row").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = scratch.keep(signed.select(F.col("row").alias("rep"), "size", "keys", "sketch").join(
@@ -267,7 +270,7 @@ def ngram_join(
     members = reps.select("rep", "copies", "size").join(
         groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
     members = scratch.keep(members.select("rep", "copies", "size", "grp"), "members")
-    texts = signed.select(F.col("row").alias("rep"), "text")
+    texts = signed.select(F.col("row").alias("rep"), text.alias("text"))
     found = scratch.keep(verify(members, texts, n, threshold), "found")
     links = found.groupBy("rep").agg(F.sum("weight").alias("weight"))
     joined = components(found.select(F.col("root").alias("a"), F.col("rep").alias("b")), scratch, "joined")

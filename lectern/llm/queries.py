@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 import lectern
 from lectern.llm import (
     embedding_dedup,
     exact_dedup,
+    line_dedup,
     mixing,
     ngram_join,
     pieces,
@@ -28,13 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_file(name: str) -> str:
-    """Where a public tokenizer's file lies; installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -85,7 +79,12 @@ def op5(spark, sf):
 @query("op6_token_counts")
 def op6(spark, sf):
     return token_counts.token_counts(
-        read_table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+        read_table(spark, sf, "documents"), pieces.tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+@query("op7_line_dedup")
+def op7(spark, sf):
+    return line_dedup.line_dedup(read_table(spark, sf, "documents")).drop("row")
 
 
 @query("op8_ngram_join")
@@ -96,17 +95,13 @@ def op8(spark, sf):
 
 @query("op9_sentencepiece")
 def op9(spark, sf):
-    return piece_digests(pieces.encode_pieces(
-        read_table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model")))
-
-
-def piece_digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.piece_digests(pieces.encode_pieces(
+        read_table(spark, sf, "documents"), pieces.tokenizer_file("piece_bpe_32k.model")))
 
 
 @query("op10_byte_shards")
 def op10(spark, sf):
     return sharding.byte_shards(read_table(spark, sf, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

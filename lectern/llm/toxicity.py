@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,26 +199,21 @@ def train(
     return {f: float(x) for f, x in zip(names, w)}, bias
 
 
-def score(docs: DataFrame, weights: dict[str, float], bias: float, threshold: float = 0.3) -> DataFrame:
-    """Per row: doc_id, score, predicted; an empty or null text scores as the bias alone."""
+def score_column(weights: dict[str, float], bias: float):
+    """A function from a text column to scores; an empty or null text scores as the bias alone."""
     names = list(weights)
     vocabulary = {f: i for i, f in enumerate(names)}
     values = [weights[f] for f in names]
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features(vocabulary)
-        for batch in batches:
-            z = np.array([
-                sum(values[i] for i in sorted(features.text(t or ""))) for t in batch.column("text").to_pylist()
-            ], float) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
-                ["doc_id", "score", "predicted"])
+        for texts in batches:
+            z = np.array([sum(values[i] for i in sorted(features.text(t or ""))) for t in texts], float) + bias
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    # typed at run time: the annotations are texts here
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **training) -> DataFrame:
@@ -228,6 +224,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **train
     Null ids are scored and never learned from; repeated rows are scored each; other
     columns are not read.
     """
-    weights, bias = train(docs, labels, **training)
-    return score(docs, weights, bias, threshold).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    score = score_column(*train(docs, labels, **training))
+    scored = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **training) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    score = score_column(*train(docs, labels, **training))
+    return docs.filter(score(F.col("text").cast("string")) < threshold)
