@@ -22,24 +22,29 @@ def extract_json(raw: Column, kind: str = "{}") -> Column:
     return F.when(found != "", found)
 
 
-def _shape(json: Column) -> Column:
-    """Types of the top-level fields, as ``OBJECT<a: STRING, ...>``; null for bad JSON."""
-    return F.schema_of_variant(F.try_parse_json(json))
+def _kind(value: Column, name: str) -> Column:
+    """Type of the top-level field ``name`` of a JSON value, '' when there is none."""
+    field = F.try_variant_get(value, f"$.{name}", "variant")
+    return F.coalesce(F.schema_of_variant(field), F.lit(""))
 
 
-def _has_field(shape: Column, name: str, kind: str) -> Column:
-    return shape.rlike(rf"(^OBJECT<|, ){name}: {kind}(, |>$)")
+def _has_field(value: Column, name: str, kind: str) -> Column:
+    return _kind(value, name).rlike(f"^{kind}$")
 
 
-def _optional(shape: Column, name: str, kind: str) -> Column:
-    return ~shape.contains(f"{name}: ") | _has_field(shape, name, f"({kind}|VOID)")
+def _optional(value: Column, name: str, kind: str) -> Column:
+    return _has_field(value, name, f"({kind}|VOID)?")
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
 def _decode_mcq(raw: Column) -> Column:
     """struct or null: question and options are strings, the index a whole number."""
 
     def decode(json: Column) -> Column:
-        shape = _shape(json)
+        shape = F.try_parse_json(json)
         ok = (
             _has_field(shape, "question", "STRING")
             & _has_field(shape, "options", "ARRAY<STRING>")
@@ -152,7 +157,7 @@ def parse_open_ended(replies: DataFrame) -> DataFrame:
     """Open questions of (raw, source, text) rows; missing key points become an empty list."""
 
     def decode(json: Column) -> Column:
-        shape = _shape(json)
+        shape = F.try_parse_json(json)
         ok = (
             _has_field(shape, "question", "STRING") & _has_field(shape, "idealAnswer", "STRING")
             & _optional(shape, "keyPoints", "ARRAY<(STRING|VOID)>")
@@ -180,8 +185,9 @@ def parse_flashcards(replies: DataFrame) -> DataFrame:
 
     def decode(json: Column) -> Column:
         cards = F.from_json(json, CARDS_JSON)
-        sound = F.forall(cards, lambda c: c["question"].isNotNull() & c["answer"].isNotNull())
-        return F.when(F.try_parse_json(json).isNotNull() & sound, cards)
+        each = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
+        sound = F.forall(each, lambda c: _has_field(c, "question", "STRING") & _has_field(c, "answer", "STRING"))
+        return F.when(F.coalesce(sound, F.lit(False)), cards)
 
     found = replies.withColumn("_c", T.let(extract_json(F.col("raw"), "[]"), decode))
     keep = [c for c in replies.columns if c != "raw"]
@@ -196,14 +202,14 @@ def parse_summary(raw: Column, text: Column, chapter: Column, section: Column) -
     """
 
     def decode(json: Column) -> Column:
-        shape = F.coalesce(_shape(json), F.lit(""))
+        shape = F.try_parse_json(json)
         read = F.from_json(json, "type string, summary string, chapter string, section string")
 
         def field(name):
             value = F.when(_has_field(shape, name, "STRING"), read[name])
             return value
 
-        readable = shape.startswith("OBJECT")
+        readable = _is_object(shape)
         return F.struct(
             F.lower(F.coalesce(F.when(readable, field("type")), F.lit("content"))).alias("type"),
             F.coalesce(F.nullif(field("summary"), F.lit("")), text).alias("summary"),
@@ -220,9 +226,9 @@ def parse_classification(raw: Column, chapter: Column, section: Column) -> Colum
     """struct(type, chapter, section, quality); unreadable replies count as content at 0.7."""
 
     def decode(json: Column) -> Column:
-        shape = F.coalesce(_shape(json), F.lit(""))
+        shape = F.try_parse_json(json)
         read = F.from_json(json, "type string, chapter string, section string, quality double")
-        readable = shape.startswith("OBJECT")
+        readable = _is_object(shape)
 
         def field(name):
             return F.when(_has_field(shape, name, "STRING"), read[name])

@@ -190,7 +190,7 @@ def test_few_shot_examples_are_well_formed(spark):
                      V.validate_question(F.col("question"), F.col("options"), F.col("correct_index")).alias("v"))
     assert ok.filter("r is not null or not v.is_valid").count() == 0
     blocks = G.few_shot_blocks(gold, 2).collect()
-    assert len(blocks) == 3 and all("Example 2:" in b["examples"] and "Example 3:" not in b["examples"] for b in blocks)
+    assert len(blocks) == 3 and all("Sample 2" in b["examples"] and "Sample 3" not in b["examples"] for b in blocks)
 
 
 def test_prompts_cut_passages_by_kind(spark):
@@ -306,3 +306,24 @@ def test_answers_use_the_context_found(spark, hops):
     q = spark.createDataFrame([(1, "harbour lights"), (2, "yeast bread")], "query_id int, query string")
     got = {r["query_id"]: r["answer"] for r in ask.answer(q, quote, I.TextIndex.build(docs, buckets=2), docs, k=1, hops=hops).collect()}
     assert got[1].startswith("Answer from this context:\n\nHarbour") and got[2].startswith("Answer from this context:\n\nBread")
+
+
+def test_only_top_level_fields_of_the_right_type_count(spark):
+    good = '"question": "Which of the rivers is the longest one?", "options": ["aa", "bb", "cc", "dd"], "correctIndex": 1'
+    raws = [
+        '{"meta": {"a": 1, "question": "s", "z": 1}, "options": ["aa", "bb", "cc", "dd"], "correctIndex": 1}',
+        "{" + good + ', "note": {"explanation": 5}}',
+        "{" + good + ', "explanation": 5}',
+        "{" + good + ', "explanation": null}',
+        '{"question": {"question": "x"}, "options": ["aa", "bb", "cc", "dd"], "correctIndex": 1}',
+    ]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    assert sorted(r["id"] for r in X.parse_mcq(df, "id").collect()) == [1, 3]
+    assert sorted(r["id"] for r in X.parse_training_mcq(df).collect()) == [1, 3]
+
+
+def test_cards_with_other_than_strings_void_the_reply(spark):
+    raws = ['[{"question": "q", "answer": "a"}]', '[{"question": 5, "answer": "a"}]',
+            '[{"question": {"a": 1}, "answer": "a"}]', '[{"question": "q", "answer": "a"}, {"answer": "b"}]']
+    df = spark.createDataFrame([(i, "s", r) for i, r in enumerate(raws)], "id int, source string, raw string")
+    assert [(r["id"], r["question"]) for r in X.parse_flashcards(df).collect()] == [(0, "q")]
