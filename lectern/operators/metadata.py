@@ -106,11 +106,15 @@ def truncated_percent(part: Column, whole: Column) -> Column:
     return F.floor(T.ratio(part, whole) * 100).cast("int")
 
 
-def processing_stats(chunks: DataFrame, merged_count: int | None = None) -> DataFrame:
-    """One row of counters over the finished chunks.
-
-    ``merged_count`` is the number of chunks before filtering; without it the
-    filtered counter is null.
+def processing_stats(
+    chunks: DataFrame, merged_count: int | None = None, elements: DataFrame | None = None,
+) -> DataFrame:
+    """One row of counters of a run.
+
+    Documents and pages are those of ``elements`` (doc_id, page), which has at least one row per
+    document that was read, also where no chunk of it was left; everything else counts the
+    finished chunks.  Without ``elements`` the chunks' own documents and pages count.
+    ``merged_count`` is the number of chunks before filtering; without it the filtered counter is null.
     """
     cols = set(chunks.columns)
 
@@ -118,14 +122,15 @@ def processing_stats(chunks: DataFrame, merged_count: int | None = None) -> Data
         return F.count_if(F.col(name)) if name in cols else F.lit(None).cast("bigint")
 
     per_doc = chunks.groupBy("doc_id").agg(
-        F.coalesce(F.max("page"), F.lit(1)).alias("pages"),
         F.count("*").alias("chunks"), F.sum("word_count").alias("words"),
         F.sum("sentence_count").alias("sentences"),
         F.count("section").alias("with_section"), F.count("page").alias("with_page"),
         flagged("was_merged").alias("merged"), flagged("was_marked").alias("marked"),
     )
+    read = (chunks if elements is None else elements).groupBy("doc_id").agg(
+        F.coalesce(F.max("page"), F.lit(1)).alias("pages"))
+    run = read.agg(F.count("*").alias("total_documents"), F.sum("pages").alias("total_pages"))
     total = per_doc.agg(
-        F.count("*").alias("total_documents"), F.sum("pages").alias("total_pages"),
         F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"),
         F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"),
         F.coalesce(F.sum("sentences"), F.lit(0)).alias("total_sentences"),
@@ -134,7 +139,7 @@ def processing_stats(chunks: DataFrame, merged_count: int | None = None) -> Data
         F.sum("merged").alias("chunks_merged_context"),
         F.sum("marked").alias("chunks_marked_continuation"),
     )
-    return total.select(
+    return run.crossJoin(total).select(  # one row each
         "*",
         T.ratio(F.col("total_words"), F.col("total_chunks")).alias("avg_chunk_length"),
         truncated_percent(F.col("chunks_with_section"), F.col("total_chunks"))

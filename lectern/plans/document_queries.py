@@ -506,15 +506,17 @@ def _(spark, sf):
 
 @query("processing_stats", sql=f"""WITH {LINE_CHUNKS_SQL},
 kept AS (SELECT * FROM line_chunks WHERE word_count >= 30),
-d AS (SELECT doc_id, coalesce(max(page), 1) AS pages FROM kept GROUP BY doc_id)
+d AS (SELECT d.doc_id, coalesce(max(page), 1) AS pages FROM documents d LEFT JOIN line_chunks l ON l.doc_id = d.doc_id GROUP BY d.doc_id)
 SELECT (SELECT count(*) FROM d) AS total_documents, (SELECT sum(pages)::BIGINT FROM d) AS total_pages,
   count(*) AS total_chunks, sum(word_count)::BIGINT AS total_words, sum(sentence_count)::BIGINT AS total_sentences,
   count(section) AS chunks_with_section, count(page) AS chunks_with_page,
   round(sum(word_count) / count(*), 6) AS avg_chunk_length,
   floor(count(section) / count(*) * 100)::BIGINT AS section_percent FROM kept""")
 def _(spark, sf):
+    lines = line_chunks(spark, sf).select("doc_id", "page")
+    read = documents(spark, sf).select("doc_id", F.lit(None).cast(lines.schema["page"].dataType).alias("page"))
     kept = line_chunks(spark, sf).filter("word_count >= 30")
-    return M.processing_stats(kept).select(
+    return M.processing_stats(kept, elements=read.union(lines)).select(
         "total_documents", "total_pages", "total_chunks", "total_words", "total_sentences",
         "chunks_with_section", "chunks_with_page",
         F.round("avg_chunk_length", 6).alias("avg_chunk_length"), "section_percent")
