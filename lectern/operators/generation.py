@@ -40,14 +40,14 @@ def few_shot_blocks(examples: DataFrame, n: int = 3, seed: str = "gold") -> Data
     picked = examples.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     options = F.concat(F.lit('["'), F.array_join("options", '", "'), F.lit('"]'))
     block = F.concat(
-        F.lit("Example "), F.col("rank").cast("string"), F.lit(':\nText: "'), F.col("text"),
-        F.lit('"\nOutput: {"question": "'), F.col("question"), F.lit('", "options": '), options,
+        F.lit("Sample "), F.col("rank").cast("string"), F.lit('\nPassage: "'), F.col("text"),
+        F.lit('"\nReply: {"question": "'), F.col("question"), F.lit('", "options": '), options,
         F.lit(', "correctIndex": '), F.col("correct_index").cast("string"),
         F.lit(', "explanation": "'), F.col("explanation"), F.lit('"}\n'),
     )
     parts = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
     return picked.groupBy("difficulty").agg(F.concat(
-        F.lit("GOLD-STANDARD EXAMPLES:\n\n"),
+        F.lit("Replies of the kind that is wanted:\n\n"),
         F.array_join(F.transform(parts, lambda p: p["block"]), "\n"),
         F.lit("\n" + P.DISTRACTOR_RULES + "\n"),
     ).alias("examples"))

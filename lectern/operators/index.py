@@ -12,8 +12,8 @@ from lectern.functions import text as T
 from lectern.operators.metadata import term_counts
 from lectern.sources.tables import checkpoint_folder
 
-#: Partition folders of the postings; a query batch reads only the buckets of its terms.
-BUCKETS = 16
+#: Postings per partition folder; their number follows from the corpus and is stored with the index.
+BUCKET_ROWS = 2_000_000
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -65,7 +65,7 @@ class TextIndex:
     buckets: int = 0
 
     @staticmethod
-    def build(docs: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> TextIndex:
+    def build(docs: DataFrame, folder: str | None = None, buckets: int | None = None) -> TextIndex:
         """Tokenize once, write the tables under ``folder`` and read them back.
 
         Postings are range-partitioned by (bucket, term, doc_id): a term held by
@@ -75,6 +75,10 @@ class TextIndex:
         folder = folder or f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
         document_terms(docs).write.mode("overwrite").parquet(f"{folder}/doc_terms")
         doc_terms = spark.read.parquet(f"{folder}/doc_terms")
+        if buckets is None:
+            held = doc_terms.agg(F.sum(F.size("terms"))).first()[0]
+            buckets = max(1, -(-(held or 0) // BUCKET_ROWS))
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/layout")
         (
             postings_of(doc_terms).withColumn("bucket", term_bucket(F.col("term"), buckets))
             .repartitionByRange("bucket", "term", "doc_id")
@@ -83,10 +87,11 @@ class TextIndex:
         )
         corpus_stats(doc_terms.select("dl")).write.mode("overwrite").parquet(f"{folder}/stats")
         term_frequencies(read_postings(spark, folder)).write.mode("overwrite").parquet(f"{folder}/terms")
-        return TextIndex.load(spark, folder, buckets)
+        return TextIndex.load(spark, folder)
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> TextIndex:
+    def load(spark: SparkSession, folder: str) -> TextIndex:
+        buckets = spark.read.parquet(f"{folder}/layout").first()["buckets"]
         doc_terms = spark.read.parquet(f"{folder}/doc_terms")
         return TextIndex(
             read_postings(spark, folder), spark.read.parquet(f"{folder}/terms"),

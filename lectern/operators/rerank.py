@@ -222,8 +222,7 @@ def multi_hop(
     extra = search(asked, k).join(asked.select("query_id", "base", "v"), "query_id").select(
         F.col("base").alias("query_id"), "doc_id", "text", "source",
         *[c for c in ("section", "chapter") if c in chunks.columns],
-        (F.col("v") * 1000 + F.col("rank")).alias("rank"))
-    # the order of a top-up row is (variant, rank); k stays below 1000
+        (F.col("v") * (k + 1) + F.col("rank")).alias("rank"))  # in the order of (variant, rank): ranks end at k
     found = found.unionByName(fresh(extra, hops, found))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "rank"))
     return found.withColumn("pos", place).filter(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
-from lectern.operators.ranking import ranked
 from lectern.sources.tables import materialize
 
 
@@ -111,10 +113,9 @@ def format_chatml(examples: DataFrame) -> DataFrame:
 def format_role_tags(questions: DataFrame) -> DataFrame:
     """Add ``line`` in the role-tag format; needs source and chunk_text (see ``attach_chunk``)."""
     user = F.concat(
-        F.lit('Create a multiple choice question from this text.\n\nText from "'), F.col("source"),
-        F.lit('":\n'), F.substring("chunk_text", 1, K.TRAINING_TEXT_CHARS),
-        F.lit('\n\nOutput JSON: {"question": "...", "options": ["A", "B", "C", "D"], '
-              '"correctIndex": 0, "explanation": "..."}'),
+        F.lit(K.ROLE_TAG_ASK + "\n\nSource: "), F.col("source"),
+        F.lit("\nPassage:\n"), F.substring("chunk_text", 1, K.TRAINING_TEXT_CHARS),
+        F.lit("\n\n" + K.ROLE_TAG_REPLY),
     )
     return questions.withColumn("line", F.concat(
         F.lit("<|system|>\n" + K.ROLE_TAG_SYSTEM + "<|end|>\n<|user|>\n"), user,
@@ -177,43 +178,64 @@ def parse_training_log(lines: DataFrame, col: str = "line") -> DataFrame:
     })
 
 
+@dataclass
+class Stopping:
+    """Best loss, its iteration, the patience counter and the stop of one run, report by report."""
+
+    best: float = float("inf")
+    patience: int = 0
+    best_iteration: int = 0
+    stopped_at: int | None = None
+
+    def report(self, iteration: int, loss: float, patience: int, delta: float) -> None:
+        """The best moves only when a loss beats it by more than ``delta``; NaN never does."""
+        if self.stopped_at is not None:
+            return
+        if loss < self.best - delta:
+            self.best, self.patience, self.best_iteration = loss, 0, iteration
+        else:
+            self.patience += 1
+            if self.patience >= patience:
+                self.stopped_at = iteration
+
+
 def early_stopping(
     log: DataFrame, patience: int = K.EARLY_STOP_PATIENCE, delta: float = K.EARLY_STOP_DELTA
 ) -> DataFrame:
     """Per run: best loss, its iteration, the patience counter and the stopping iteration.
 
-    The best moves only when a loss beats it by more than ``delta``, so this is a fold
-    over the run's validation reports in order, not a running minimum.  Until it stops, every
-    ``patience`` reports lower the best by more than ``delta``; the first and the
-    smallest loss therefore bound the reports that can matter, and only those are gathered
-    per run, however long its log is.  ``log`` has (run_id, iteration, valid_loss).
+    A fold over all validation reports of a run in the order of (iteration, loss), not a running
+    minimum.  Reports are sorted by run inside the partitions and pass through a state of
+    four numbers in batches, so a run of any length needs no more memory than another.  A fold
+    in order is one task per run.  ``log`` has (run_id, iteration, valid_loss); reports without a
+    validation loss do not count.
     """
     seen = log.select("run_id", "iteration", "valid_loss").filter("valid_loss is not null")
-    fall = F.min_by("valid_loss", "iteration") - F.min("valid_loss")
-    reach = seen.groupBy("run_id").agg(
-        ((F.floor(fall / delta) + 3) * patience).alias("_reach"))
-    placed = ranked(seen, "run_id", ["iteration"], F.floor(F.col("iteration") / 65536), "_at")
-    reports = placed.join(reach, "run_id").filter(F.col("_at") <= F.col("_reach")).groupBy(
-        "run_id").agg(F.array_sort(F.collect_list(F.struct("iteration", "valid_loss"))).alias("r"))
-    zero = F.struct(
-        F.lit(float("inf")), F.lit(0), F.lit(0), F.lit(None)
-    ).cast("struct<best:double,patience:int,best_iteration:bigint,stopped_at:bigint>")
-
-    def step(acc, r):
-        better = r["valid_loss"] < acc["best"] - delta
-        left = F.when(better, 0).otherwise(acc["patience"] + 1)
-        at = r["iteration"].cast("bigint")
-        moved = F.struct(
-            F.when(better, r["valid_loss"]).otherwise(acc["best"]).alias("best"),
-            left.alias("patience"),
-            F.when(better, at).otherwise(acc["best_iteration"]).alias("best_iteration"),
-            F.when(left >= patience, at).alias("stopped_at"),
-        )
-        return F.when(acc["stopped_at"].isNotNull(), acc).otherwise(moved)
-
-    return reports.select("run_id", F.aggregate("r", zero, step).alias("s")).select(
-        "run_id", F.col("s.best").alias("best_loss"), "s.best_iteration",
-        F.col("s.patience").alias("patience_counter"), "s.stopped_at")
+    ordered = seen.repartition("run_id").sortWithinPartitions("run_id", "iteration", "valid_loss")
+
+    def row(run, s: Stopping) -> dict:
+        return {"run_id": run, "best_loss": s.best, "best_iteration": s.best_iteration,
+                "patience_counter": s.patience, "stopped_at": s.stopped_at}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for batch in batches:
+            done = []
+            runs, at, losses = (batch[c].tolist() for c in ("run_id", "iteration", "valid_loss"))
+            for run, iteration, loss in zip(runs, at, losses):
+                if state is None or state[0] != run:
+                    if state is not None:
+                        done.append(row(*state))
+                    state = run, Stopping()
+                state[1].report(iteration, loss, patience, delta)
+            if done:
+                yield pd.DataFrame(done).astype({"stopped_at": "Int64"})
+        if state is not None:
+            yield pd.DataFrame([row(*state)]).astype({"stopped_at": "Int64"})
+
+    run_type = seen.schema["run_id"].dataType.simpleString()
+    return ordered.mapInPandas(
+        fold, f"run_id {run_type}, best_loss double, best_iteration bigint, patience_counter int, stopped_at bigint")
 
 
 def percent_complete(done: Column, total: Column) -> Column:

@@ -404,8 +404,8 @@ GOLD_SQL = "gold(example_id, difficulty, text, question, options, correct_index,
     for i, (d, t, qn, o, c, e) in enumerate(P.GOLD_EXAMPLES)) + ")"
 FEW_SQL = f"""{GOLD_SQL},
 gr AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('gold' || example_id), example_id) AS rank FROM gold),
-few AS (SELECT difficulty, 'GOLD-STANDARD EXAMPLES:' || chr(10) || chr(10) || string_agg('Example ' || rank || ':' || chr(10) || 'Text: "' || text || '"' || chr(10)
-  || 'Output: {{"question": "' || question || '", "options": [' || options || '], "correctIndex": ' || correct_index || ', "explanation": "' || explanation || '"}}' || chr(10), chr(10) ORDER BY rank)
+few AS (SELECT difficulty, 'Replies of the kind that is wanted:' || chr(10) || chr(10) || string_agg('Sample ' || rank || chr(10) || 'Passage: "' || text || '"' || chr(10)
+  || 'Reply: {{"question": "' || question || '", "options": [' || options || '], "correctIndex": ' || correct_index || ', "explanation": "' || explanation || '"}}' || chr(10), chr(10) ORDER BY rank)
   || chr(10) || {q.quote(P.DISTRACTOR_RULES)} || chr(10) AS examples FROM gr WHERE rank <= 3 GROUP BY difficulty)"""
 
 

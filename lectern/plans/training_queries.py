@@ -86,8 +86,8 @@ def _(spark, sf):
 
 
 @query("format_role_tags", sql=f"""WITH {EX_SQL}, {FIRST_SQL} SELECT id, '<|system|>' || chr(10) || '{K.ROLE_TAG_SYSTEM}<|end|>' || chr(10) || '<|user|>' || chr(10)
-  || 'Create a multiple choice question from this text.' || chr(10) || chr(10) || 'Text from "' || source || '":' || chr(10) || chunk_text[1:800] || chr(10) || chr(10)
-  || 'Output JSON: {{"question": "...", "options": ["A", "B", "C", "D"], "correctIndex": 0, "explanation": "..."}}<|end|>' || chr(10) || '<|assistant|>' || chr(10)
+  || {q.quote(K.ROLE_TAG_ASK)} || chr(10) || chr(10) || 'Source: ' || source || chr(10) || 'Passage:' || chr(10) || chunk_text[1:800] || chr(10) || chr(10)
+  || {q.quote(K.ROLE_TAG_REPLY)} || '<|end|>' || chr(10) || '<|assistant|>' || chr(10)
   || {ANSWER_SQL} || '<|end|>' AS line FROM ex JOIN fc USING (source)""")
 def _(spark, sf):
     return R.format_role_tags(with_chunks(spark, sf)).select("id", "line")

@@ -16,6 +16,7 @@ from lectern.operators import index as I
 from lectern.operators import structure as S
 from lectern.operators.generation import generation_throughput
 from lectern.operators.study import study_progress
+from lectern.operators.training import Stopping
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -96,20 +97,16 @@ class EarlyStopping(StatefulProcessor):
         self.state = handle.getValueState("early_stopping", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values("iteration")
-        best, left, at, stopped = self.state.get() or (float("inf"), 0, 0, None)
-        for iteration, loss in zip(seen["iteration"], seen["valid_loss"]):
-            if stopped is not None:
-                break
-            if loss < best - self.delta:
-                best, left, at = float(loss), 0, int(iteration)
-            else:
-                left += 1
-                stopped = int(iteration) if left >= self.patience else None
-        self.state.update((best, left, at, stopped))
+        # reports arrive in order from batch to batch; inside a batch they are put in order here
+        reports = sorted(
+            (int(i), float(x)) for part in rows for i, x in zip(part["iteration"], part["valid_loss"]))
+        run = Stopping(*(self.state.get() or ()))
+        for iteration, loss in reports:
+            run.report(iteration, loss, self.patience, self.delta)
+        self.state.update((run.best, run.patience, run.best_iteration, run.stopped_at))
         yield pd.DataFrame({
-            "run_id": [key[0]], "best_loss": [best], "best_iteration": [at],
-            "patience_counter": [left], "stopped_at": pd.array([stopped], dtype="Int64"),
+            "run_id": [key[0]], "best_loss": [run.best], "best_iteration": [run.best_iteration],
+            "patience_counter": [run.patience], "stopped_at": pd.array([run.stopped_at], dtype="Int64"),
         })
 
     def close(self) -> None:
@@ -120,7 +117,11 @@ def stream_early_stopping(
     log: DataFrame, folder: str,
     patience: int = K.EARLY_STOP_PATIENCE, delta: float = K.EARLY_STOP_DELTA,
 ) -> StreamingQuery:
-    """Early stopping over a stream of (run_id, iteration, valid_loss), in order per run."""
+    """Early stopping over a stream of (run_id, iteration, valid_loss).
+
+    A run's reports must arrive in order from one batch to the next, as a training run writes
+    them; a report that arrives after a later one counts as the newest.
+    """
     conf = log.sparkSession.conf
     before = conf.get(STATE_PROVIDER, None)
     states = log.filter("valid_loss is not null").groupBy("run_id").transformWithStateInPandas(

@@ -74,6 +74,16 @@ def test_empty_corpus_finds_nothing(spark, docs):
     assert R.keyword_search(queries(spark, "harbour"), empty).count() == 0
 
 
+def test_reloaded_index_finds_the_same(spark, docs, tmp_path):
+    q = queries(spark, "harbour ships")
+    rows = lambda ix: sorted((r["doc_id"], round(r["score"], 9)) for r in R.bm25(q, ix).collect())
+    for buckets in (None, 3, 7):
+        folder = str(tmp_path / f"index-{buckets}")
+        built = I.TextIndex.build(docs, folder, buckets=buckets)
+        assert I.TextIndex.load(spark, folder).buckets == built.buckets == (buckets or 1)
+        assert rows(I.TextIndex.load(spark, folder)) == rows(I.TextIndex.of(I.document_terms(docs)))
+
+
 def test_deleting_documents_changes_statistics(spark, docs, index):
     left = index.without(spark.createDataFrame([(0,)], "doc_id bigint"))
     assert left.stats.first()["n"] == 4

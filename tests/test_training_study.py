@@ -38,7 +38,7 @@ def test_formats_are_valid_json_with_awkward_text(spark):
     rows = [('He said "hi"\\ \n\ttab', ['a "b"', "c\\d", "e\nf", "g"], 2, "why", "Easy", "s", "body")]
     df = spark.createDataFrame(rows, "question string, options array<string>, correct_index int, explanation string, difficulty string, source string, chunk_text string")
     text = R.format_chatml(df).first()["text"]
-    assert "Create a easy difficulty" in text
+    assert "one question of easy level" in text
     answer = json.loads(text.split("<|im_start|>assistant\n")[1].removesuffix("<|im_end|>"))
     assert answer == {"question": rows[0][0], "options": rows[0][1], "correctIndex": 2, "explanation": "why"}
     line = R.format_role_tags(df).first()["line"]
@@ -161,3 +161,29 @@ def test_card_order_is_a_permutation(spark):
     df = spark.range(20).withColumn("g", F.col("id") % 2)
     got = S.shuffle_cards(df, "x", "g", "id").collect()
     assert all(sorted(r["pos"] for r in got if r["g"] == g) == list(range(10)) for g in (0, 1))
+
+
+def test_early_stopping_reads_every_report(spark):
+    nan, inf = float("nan"), float("inf")
+    falling = [10 - 0.01 * i for i in range(1, 400)]
+    runs = [[nan, *falling], [1.0, nan, 0.5, nan, 0.4], [nan] * 7, [inf, *falling], [0.9, -inf, 0.1]]
+    rows = [(r, i, x) for r, xs in enumerate(runs) for i, x in enumerate(xs, 1)]
+    got = R.early_stopping(spark.createDataFrame(rows, "run_id int, iteration int, valid_loss double"), 8)
+    for r in got.collect():
+        best, at, left, stop = float("inf"), 0, 0, None
+        for i, x in enumerate(runs[r["run_id"]], 1):
+            if x < best - 0.001:
+                best, at, left = x, i, 0
+            else:
+                left += 1
+                if left >= 8:
+                    stop = i
+                    break
+        assert tuple(r)[1:] == (best, at, left, stop), r
+
+
+def test_early_stopping_over_a_million_reports(spark):
+    n = 1_000_000
+    log = spark.range(n).selectExpr(
+        "cast(1 as int) run_id", "cast(id as int) iteration", f"cast({n} - id as double) valid_loss")
+    assert tuple(R.early_stopping(log).first()) == (1, 1.0, n - 1, 0, None)
