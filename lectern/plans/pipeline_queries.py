@@ -18,6 +18,7 @@ from lectern.plans import ingest, questions
 from lectern.plans import sqltext as q
 from lectern.plans.document_queries import (
     DROP_SQL, FOLD_SQL, LINE_CHUNKS_SQL, TARGET, documents, line_chunks, marked_documents,
+    passages, passages_sql,
 )
 from lectern.plans.question_queries import DECODE_SQL, MCQ_SQL, SCORE_SQL, VALID_SQL, render_sql
 from lectern.plans.registry import query
@@ -113,12 +114,13 @@ def stub_summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": 0, "seq": 0, "raw": raw})
 
 
-def passages(spark, sf) -> DataFrame:
-    return documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "source", "text")
+def pieces(spark, sf) -> DataFrame:
+    """Eighty words each, so that prompts hold nearly every character of the documents."""
+    return passages(spark, sf, 80).select(F.col("doc_id").cast("string").alias("id"), "source", "text")
 
 
-STUB_SQL = r"""cut AS (SELECT doc_id, source, text, list_filter(list_transform(regexp_split_to_array(text[1:800], '\s+'), lambda x: trim(x, '.,;|"\')),
-  lambda y: length(y) > 1) AS w0 FROM documents),
+STUB_SQL = rf"""cut AS (SELECT doc_id, source, text, list_filter(list_transform(regexp_split_to_array(text[1:800], '\s+'), lambda x: trim(x, '.,;|"\')),
+  lambda y: length(y) > 1) AS w0 FROM {passages_sql(80)}),
 stub AS (SELECT doc_id, source, text, CASE WHEN len(w0) > 0 THEN w0 ELSE ['none'] END AS w, unnest(range(5)) AS seq FROM cut),
 replies AS (SELECT doc_id, source, text, seq // 3 AS attempt, seq, doc_id || ':' || (seq // 3) || ':' || seq AS reply_id, json_object(
   'question', CASE WHEN seq > 0 THEN 'What of ' ELSE 'the author says ' END || array_to_string(list_transform(range(8), lambda i: w[(seq + i) % len(w) + 1]), ' ') || '?',
@@ -132,7 +134,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN self_c
 SELECT doc_id::VARCHAR AS chunk_id, attempt, seq, source, question, array_to_string(options, '|') AS options, correct_index, explanation,
   self_containment, 'medium' AS difficulty FROM r WHERE rn = 1""")
 def _(spark, sf):
-    made = questions.make_questions(passages(spark, sf), stub_model, "medium")
+    made = questions.make_questions(pieces(spark, sf), stub_model, "medium")
     return made.withColumn("options", F.array_join("options", "|")).drop("reply_id")
 
 
@@ -146,7 +148,7 @@ SELECT id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'valid' END AS split
   '<|im_start|>system' || chr(10) || {q.quote(K.CHATML_SYSTEM)} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
   || {render_sql(K.CHATML_USER, difficulty='lower(difficulty)')} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {ANSWER_SQL} || '<|im_end|>' AS text FROM ranks""")
 def _(spark, sf):
-    return questions.make_training_set(passages(spark, sf), stub_model)
+    return questions.make_training_set(pieces(spark, sf), stub_model)
 
 
 @query("summarize_documents", sql=rf"""WITH {PROCESS_SQL},

@@ -16,7 +16,7 @@ from lectern.operators import generation as G
 from lectern.operators import parsing as X
 from lectern.operators import validation as V
 from lectern.plans import sqltext as q
-from lectern.plans.document_queries import BOILER_SQL, boiler_chunks, documents
+from lectern.plans.document_queries import BOILER_SQL, boiler_chunks, documents, passages, passages_sql
 from lectern.plans.registry import query
 from lectern.sources.tables import read_table
 
@@ -28,7 +28,7 @@ SHAPES = 12
 def replies(spark, sf) -> DataFrame:
     """Five replies per document: (doc_id, attempt, seq, source, text, raw)."""
     w = T.words(F.regexp_replace("text", r"[^\p{L}\p{N} ]", " "))
-    base = documents(spark, sf).select("doc_id", "source", "text", w.alias("w")).select(
+    base = passages(spark, sf, 60).select("doc_id", "source", "text", w.alias("w")).select(
         "*", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("c"))
     n = F.pmod(F.col("doc_id") * 5 + F.col("c") * 7, F.lit(SHAPES)).cast("int")
 
@@ -66,7 +66,7 @@ def replies(spark, sf) -> DataFrame:
 
 
 REPLIES_SQL = rf"""base AS (SELECT doc_id, source, text,
-    {q.words(r"regexp_replace(text, '[^\p{L}\p{N} ]', ' ', 'g')")} AS w, unnest(range(5)) AS c FROM documents),
+    {q.words(r"regexp_replace(text, '[^\p{L}\p{N} ]', ' ', 'g')")} AS w, unnest(range(5)) AS c FROM {passages_sql(60)}),
 n AS (SELECT *, (doc_id * 5 + c * 7) % {SHAPES} AS n FROM base),
 a AS (SELECT *, CASE WHEN n = 10 THEN 'What does the author say in the text about ' WHEN c = 2 THEN 'it is ' ELSE 'What of ' END
   || CASE WHEN c = 4 THEN array_to_string(w[1:80], ' ') ELSE array_to_string(w[c + 1:c + 8], ' ') END || '?' AS ask0,
@@ -140,21 +140,21 @@ def _(spark, sf):
 LABELS = ["A) ", "b. ", "(C) ", "D : ", " a)  ", ""]
 
 
-@query("clean_option_label", sql=f"""WITH l AS (SELECT doc_id, [{q.in_list(LABELS)}][(doc_id % 6) + 1] || array_to_string({q.words('text')}[1:3], ' ') AS o FROM documents)
+@query("clean_option_label", sql=f"""WITH l AS (SELECT doc_id, [{q.in_list(LABELS)}][(doc_id % 6) + 1] || array_to_string({q.words('text')}[1:3], ' ') AS o FROM {passages_sql(3)})
 SELECT doc_id, trim({LABEL.replace('(o,', '(trim(o),', 1)}) AS option FROM l""")
 def _(spark, sf):
     label = F.get(F.array(*[F.lit(x) for x in LABELS]), (F.col("doc_id") % 6).cast("int"))
     option = F.concat(label, F.array_join(F.slice(T.words(F.col("text")), 1, 3), " "))
-    return documents(spark, sf).select("doc_id", X.clean_option_label(option).alias("option"))
+    return passages(spark, sf, 3).select("doc_id", X.clean_option_label(option).alias("option"))
 
 
-@query("shuffle_options", sql=f"""WITH w AS (SELECT doc_id, {q.words('text')}[1:4] AS w FROM documents),
+@query("shuffle_options", sql=f"""WITH w AS (SELECT doc_id, {q.words('text')}[1:4] AS w FROM {passages_sql(4)}),
 k AS (SELECT doc_id, list_sort(list_transform(w, lambda o, i: md5('mix' || doc_id || ':' || (i - 1)) || '|' || (i - 1) || '|' || o)) AS k FROM w)
 SELECT doc_id, array_to_string(list_transform(k, lambda x: x[36:]), '|') AS options,
   greatest(coalesce(list_position(list_transform(k, lambda x: x[34:34]::BIGINT), doc_id % 5), 0) - 1, 0)::BIGINT AS correct_index FROM k""")
 def _(spark, sf):
     s = X.shuffled_options(F.slice(T.words(F.col("text")), 1, 4), (F.col("doc_id") % 5).cast("int"), "mix", F.col("doc_id"))
-    return documents(spark, sf).select("doc_id", s.alias("s")).select(
+    return passages(spark, sf, 4).select("doc_id", s.alias("s")).select(
         "doc_id", F.array_join("s.options", "|").alias("options"), "s.correct_index")
 
 
@@ -188,7 +188,7 @@ SCORE_SQL = r"""scored AS (SELECT *, CASE WHEN length(question) BETWEEN 30 AND 1
 
 @query("classify_option_type", sql=f"""WITH w AS (SELECT doc_id, chunk_idx, CASE chunk_idx % 4 WHEN 0 THEN (1000 + doc_id)::VARCHAR || ' CE' WHEN 1 THEN doc_id || '.5'
   WHEN 2 THEN upper(array_to_string({q.words('text')}[1:3], ' ')) ELSE array_to_string({q.words('text')}[1:6], ' ') END AS o
-  FROM (SELECT doc_id, text, unnest(range(4)) AS chunk_idx FROM documents))
+  FROM (SELECT doc_id, text, unnest(range(4)) AS chunk_idx FROM {passages_sql(6)}))
 SELECT doc_id, chunk_idx, {TYPE_SQL} AS type FROM w""")
 def _(spark, sf):
     n = F.col("chunk_idx")
@@ -198,7 +198,7 @@ def _(spark, sf):
         .when(n == 1, F.concat(F.col("doc_id").cast("string"), F.lit(".5")))
         .when(n == 2, F.upper(F.array_join(F.slice(w, 1, 3), " "))).otherwise(F.array_join(F.slice(w, 1, 6), " "))
     )
-    return documents(spark, sf).select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("chunk_idx")).select(
+    return passages(spark, sf, 6).select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("chunk_idx")).select(
         "doc_id", "chunk_idx", V.classify_option_type(o).alias("type"))
 
 
@@ -269,12 +269,12 @@ def open_replies(spark, sf) -> DataFrame:
         F.concat(F.lit(', "keyPoints": ["'), simple_words(1, 1), F.lit('", "'), simple_words(2, 2), F.lit('"]')))
     answer = F.when(n == 3, "").otherwise(F.concat(F.lit(', "idealAnswer": "'), simple_words(3, 12), F.lit('"')))
     raw = F.concat(F.lit('Sure ```json {"question": "Explain '), simple_words(1, 6), F.lit('"'), answer, points, F.lit("} ```"))
-    return documents(spark, sf).select("doc_id", "source", "text", raw.alias("raw"))
+    return passages(spark, sf, 15).select("doc_id", "source", "text", raw.alias("raw"))
 
 
 OPEN_SQL = f"""oraw AS (SELECT doc_id, source, text, '{{"question": "Explain ' || {simple_sql(1, 6)} || '"'
   || CASE WHEN doc_id % 5 = 3 THEN '' ELSE ', "idealAnswer": "' || {simple_sql(3, 12)} || '"' END
-  || CASE doc_id % 5 WHEN 1 THEN '' WHEN 2 THEN ', "keyPoints": []' ELSE ', "keyPoints": ["' || {simple_sql(1, 1)} || '", "' || {simple_sql(2, 2)} || '"]' END || '}}' AS body FROM documents),
+  || CASE doc_id % 5 WHEN 1 THEN '' WHEN 2 THEN ', "keyPoints": []' ELSE ', "keyPoints": ["' || {simple_sql(1, 1)} || '", "' || {simple_sql(2, 2)} || '"]' END || '}}' AS body FROM {passages_sql(15)}),
 opened AS (SELECT doc_id, source, body ->> '$.question' AS question, body ->> '$.idealAnswer' AS ideal_answer,
   coalesce(array_to_string(list_transform(json_extract(body, '$.keyPoints[*]'), lambda o: o ->> '$'), '|'), '') AS key_points, text[1:500] AS context
   FROM oraw WHERE json_type(body, '$.idealAnswer') = 'VARCHAR')"""
@@ -293,7 +293,7 @@ def _(spark, sf):
     return o.select("doc_id", V.check_open_output(F.col("question"), F.col("ideal_answer")).alias("reason"))
 
 
-@query("parse_flashcards", sql=f"""WITH c AS (SELECT doc_id, source, doc_id % 4 AS n, {simple_sql(1, 4)} AS q1, {simple_sql(5, 8)} AS a1, {simple_sql(9, 12)} AS q2 FROM documents)
+@query("parse_flashcards", sql=f"""WITH c AS (SELECT doc_id, source, doc_id % 4 AS n, {simple_sql(1, 4)} AS q1, {simple_sql(5, 8)} AS a1, {simple_sql(9, 12)} AS q2 FROM {passages_sql(12)})
 SELECT doc_id, source, 0::BIGINT AS pos, q1 AS question, a1 AS answer FROM c WHERE n IN (0, 1)
 UNION ALL SELECT doc_id, source, 1, q2, 'yes' FROM c WHERE n = 0""")
 def _(spark, sf):
@@ -304,7 +304,7 @@ def _(spark, sf):
     two = F.when(n == 0, F.concat(F.lit(", "), card(simple_words(9, 12), F.lit("yes")))).when(
         n == 2, F.lit(', {"question": "alone"}')).otherwise("")
     raw = F.when(n == 3, "no cards today").otherwise(F.concat(F.lit("Cards:\n["), one, two, F.lit("]\nDone")))
-    return X.parse_flashcards(documents(spark, sf).select("doc_id", "source", raw.alias("raw")))
+    return X.parse_flashcards(passages(spark, sf, 12).select("doc_id", "source", raw.alias("raw")))
 
 
 def summary_replies(key: str = "doc_id") -> Column:
@@ -328,19 +328,19 @@ sm AS (SELECT *, CASE n WHEN 1 THEN 'toc' ELSE 'content' END AS kind,
   CASE n WHEN 6 THEN section WHEN 0 THEN NULL ELSE 'S1' END AS new_section FROM ss)"""
 
 
-@query("parse_summary", sql=f"""WITH src AS (SELECT doc_id, text, source AS chapter, lang AS section FROM documents), {SUMMARY_SQL.replace('FROM {0}', 'FROM src')}
+@query("parse_summary", sql=f"""WITH src AS (SELECT doc_id, text, source AS chapter, lang AS section FROM {passages_sql(15)}), {SUMMARY_SQL.replace('FROM {0}', 'FROM src')}
 SELECT doc_id, kind AS type, summary, new_chapter AS chapter, new_section AS section FROM sm""")
 def _(spark, sf):
     s = X.parse_summary(summary_replies(), F.col("text"), F.col("source"), F.col("lang"))
-    return documents(spark, sf).select("doc_id", s.alias("s")).select("doc_id", "s.*")
+    return passages(spark, sf, 15).select("doc_id", s.alias("s")).select("doc_id", "s.*")
 
 
-@query("parse_classification", sql=f"""WITH src AS (SELECT doc_id, text, source AS chapter, lang AS section FROM documents), {SUMMARY_SQL.replace('FROM {0}', 'FROM src')}
+@query("parse_classification", sql=f"""WITH src AS (SELECT doc_id, text, source AS chapter, lang AS section FROM {passages_sql(15)}), {SUMMARY_SQL.replace('FROM {0}', 'FROM src')}
 SELECT doc_id, kind AS type, new_chapter AS chapter, new_section AS section,
   CASE WHEN n IN (0, 6) THEN 0.7 ELSE 0.25 END::DOUBLE AS quality FROM sm""")
 def _(spark, sf):
     s = X.parse_classification(summary_replies(), F.col("source"), F.col("lang"))
-    return documents(spark, sf).select("doc_id", s.alias("s")).select("doc_id", "s.*")
+    return passages(spark, sf, 15).select("doc_id", s.alias("s")).select("doc_id", "s.*")
 
 
 @query("apply_summaries", sql=rf"""WITH {BOILER_SQL.replace('source,' + chr(10) + '  text ||', 'source, section, chapter,' + chr(10) + '  text ||')},
@@ -386,13 +386,13 @@ def prompt_sql(kind: str, examples: str = "''") -> str:
     return f"""SELECT doc_id, '{kind}' AS kind, md5({render_sql(P.SYSTEM[kind], examples=examples)}) AS system_md5, length({user}) AS user_chars, md5({user}) AS user_md5 FROM d"""
 
 
-@query("build_prompts", sql=f"WITH d AS (SELECT *, {DIFF_SQL} AS difficulty FROM documents) " + " UNION ALL ".join(
+@query("build_prompts", sql=f"WITH d AS (SELECT *, {DIFF_SQL} AS difficulty FROM {passages_sql(80)}) " + " UNION ALL ".join(
     prompt_sql(k) for k in ("mcq", "open", "flashcard", "training", "summary", "classify")))
 def _(spark, sf):
     level = level_of()
     out = None
     for kind in P.USER:
-        p = G.build_prompts(documents(spark, sf), kind, level).select(
+        p = G.build_prompts(passages(spark, sf, 80), kind, level).select(
             "doc_id", F.lit(kind).alias("kind"), F.md5("system").alias("system_md5"),
             F.length("user").alias("user_chars"), F.md5("user").alias("user_md5"))
         out = p if out is None else out.unionByName(p)
@@ -409,12 +409,12 @@ few AS (SELECT difficulty, 'Replies of the kind that is wanted:' || chr(10) || c
   || chr(10) || {q.quote(P.DISTRACTOR_RULES)} || chr(10) AS examples FROM gr WHERE rank <= 3 GROUP BY difficulty)"""
 
 
-@query("few_shot_block", sql=f"""WITH {FEW_SQL}, d AS (SELECT * FROM (SELECT *, {DIFF_SQL} AS difficulty FROM documents) JOIN few USING (difficulty))
+@query("few_shot_block", sql=f"""WITH {FEW_SQL}, d AS (SELECT * FROM (SELECT *, {DIFF_SQL} AS difficulty FROM {passages_sql(80)}) JOIN few USING (difficulty))
 {prompt_sql('mcq', 'examples')}""")
 def _(spark, sf):
     level = level_of()
     few = G.few_shot_blocks(G.gold_examples(spark))
-    return G.build_prompts(documents(spark, sf), "mcq", level, few).select(
+    return G.build_prompts(passages(spark, sf, 80), "mcq", level, few).select(
         "doc_id", F.lit("mcq").alias("kind"), F.md5("system").alias("system_md5"),
         F.length("user").alias("user_chars"), F.md5("user").alias("user_md5"))
 

@@ -12,7 +12,7 @@ from lectern.operators import rerank as RR
 from lectern.operators import retrieval as R
 from lectern.operators import vectors as V
 from lectern.plans import sqltext as q
-from lectern.plans.document_queries import documents
+from lectern.plans.document_queries import documents, passages, passages_sql
 from lectern.plans.registry import query
 from lectern.sources.tables import materialize, read_table
 
@@ -271,7 +271,7 @@ OPENERS = ["What", "find", "how", "show"]
 def short_queries(spark, sf) -> DataFrame:
     keys = F.array(*[F.lit(k) for k in KEYS])
     openers = F.array(*[F.lit(o) for o in OPENERS])
-    return documents(spark, sf).select(
+    return passages(spark, sf, 3).select(
         F.col("doc_id").alias("query_id"),
         F.concat_ws(" ", F.get(openers, (F.col("doc_id") % 4).cast("int")),
                     F.get(keys, (F.col("doc_id") % 16).cast("int")),
@@ -279,7 +279,7 @@ def short_queries(spark, sf) -> DataFrame:
 
 
 SHORT_SQL = f"""short AS (SELECT doc_id AS query_id, [{q.in_list(OPENERS)}][(doc_id % 4) + 1] || ' ' || [{q.in_list(KEYS)}][(doc_id % 16) + 1]
-  || ' ' || array_to_string({q.words('text')}[1:3], ' ') AS query FROM documents)"""
+  || ' ' || array_to_string({q.words('text')}[1:3], ' ') AS query FROM {passages_sql(3)})"""
 SYN_SQL = "syn(word, s) AS (VALUES " + ", ".join(
     f"('{w}', '{' '.join(s)}')" for w, s in K.SYNONYMS.items()) + ")"
 EXPAND_SQL = f"""{SYN_SQL}, sw AS (SELECT query_id, query, {q.words('lower(query)')} AS w FROM {{0}}),

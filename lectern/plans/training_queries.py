@@ -14,7 +14,7 @@ from lectern.functions import text as T
 from lectern.operators import study as S
 from lectern.operators import training as R
 from lectern.plans import sqltext as q
-from lectern.plans.document_queries import documents
+from lectern.plans.document_queries import documents, passages, passages_sql
 from lectern.plans.question_queries import level_of, render_sql
 from lectern.plans.registry import query
 from lectern.sources.tables import read_table
@@ -22,7 +22,7 @@ from lectern.sources.tables import read_table
 
 def examples(spark, sf) -> DataFrame:
     w = T.words(F.col("text"))
-    return documents(spark, sf).select(
+    return passages(spark, sf, 16).select(
         F.col("doc_id").alias("id"), F.array_join(F.slice(w, 1, 12), " ").alias("question"),
         F.slice(w, 13, 4).alias("options"), (F.col("doc_id") % 4).cast("int").alias("correct_index"),
         F.concat(F.lit('Found in "'), F.col("source"), F.lit('"')).alias("explanation"),
@@ -30,7 +30,7 @@ def examples(spark, sf) -> DataFrame:
 
 
 EX_SQL = f"""ex AS (SELECT doc_id AS id, array_to_string({q.words('text')}[1:12], ' ') AS question, {q.words('text')}[13:16] AS options,
-  doc_id % 4 AS correct_index, 'Found in "' || source || '"' AS explanation, [{q.in_list(K.DIFFICULTIES)}][(doc_id % 3) + 1] AS difficulty, source, text FROM documents)"""
+  doc_id % 4 AS correct_index, 'Found in "' || source || '"' AS explanation, [{q.in_list(K.DIFFICULTIES)}][(doc_id % 3) + 1] AS difficulty, source, text FROM {passages_sql(16)})"""
 NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 
 
