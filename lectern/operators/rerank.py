@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +174,8 @@ def rag_context(
 
 
 def multi_hop(
-    queries: DataFrame, index: TextIndex, chunks: DataFrame, hops: int = 2, k: int = 5
+    queries: DataFrame, index: TextIndex, chunks: DataFrame, hops: int = 2, k: int = 5,
+    corpus: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Iterated retrieval: (query_id, pos, doc_id, source, context).
 
@@ -180,13 +183,19 @@ def multi_hop(
     from what was found; a query whose follow-up brings nothing new stops.  Queries left
     with fewer than k contexts are topped up from their variants to at most 2k.  The
     loop runs a fixed number of hops, each one a few joins for all queries together.
+
+    With ``corpus`` (doc_id, embedding) every search is hybrid; ``embed`` then adds ``embedding`` to
+    (query_id, query) rows, since later hops ask in words that no given vector belongs to.
     """
+    if corpus is not None and embed is None:
+        raise ValueError("a corpus of vectors needs embed, to give rewritten queries theirs")
     key = ["query_id", "source", "head"]
     current = queries.select("query_id", "query", F.col("query").alias("now"))
     found = None
 
     def search(asked: DataFrame, size: int) -> DataFrame:
-        hits = R.hybrid_search(asked.select("query_id", "query"), index, None, size)
+        plain = asked.select("query_id", "query")
+        hits = R.hybrid_search(plain if corpus is None else embed(plain), index, corpus, size)
         return with_text(hits, chunks, asked)
 
     def fresh(results: DataFrame, hop: int, seen: DataFrame | None) -> DataFrame:

@@ -16,25 +16,38 @@ from lectern.operators import validation as V
 from lectern.sources.files import write_training_jsonl
 from lectern.sources.tables import materialize
 
+#: Attempts that one wave of asking may count.
+WAVE = 100
+
 
 def make_questions(
     chunks: DataFrame, fn: Callable, difficulty: str, count: int | None = None,
-    few_shot: int = 3, seed: str = "quiz",
+    few_shot: int = 3, seed: str = "quiz", waves: int = 2,
 ) -> DataFrame:
     """One accepted question per chunk (id, source, text): prompt, generate, parse, choose.
 
     ``fn`` may return several (attempt, seq) replies per prompt.  The replies are written
     before they are used, so a lost executor never asks the model again for finished work.
+    Prompts without an accepted question are asked once more per further wave, and only they;
+    the attempts of a wave count on from ``wave * WAVE``.
     """
     picked = chunks if count is None else G.sample_chunks(chunks, count, seed)
     examples = G.few_shot_blocks(G.gold_examples(chunks.sparkSession), few_shot)
     prompts = G.build_prompts(picked, "mcq", F.lit(difficulty), examples).withColumn(
         "prompt_id", F.col("id"))
-    replies = materialize(G.generate(prompts, fn), "replies")
-    sourced = replies.join(picked.select(F.col("id").alias("prompt_id"), "source", "text"), "prompt_id")
-    keyed = sourced.withColumn("reply_id", F.concat_ws(
-        ":", "prompt_id", F.col("attempt").cast("string"), F.col("seq").cast("string")))
-    best = V.best_of_n(X.parse_mcq(keyed, "reply_id"), "prompt_id")
+    texts = picked.select(F.col("id").cast("string").alias("prompt_id"), "source", "text")
+    best = None
+    for wave in range(waves):
+        if best is not None:
+            done = best.select("prompt_id")
+            prompts = prompts.withColumn("prompt_id", F.col("prompt_id").cast("string")).join(
+                done, "prompt_id", "left_anti")
+        replies = materialize(G.generate(prompts, fn), "replies").withColumn(
+            "attempt", F.col("attempt") + wave * WAVE)
+        keyed = replies.join(texts, "prompt_id").withColumn("reply_id", F.concat_ws(
+            ":", "prompt_id", F.col("attempt").cast("string"), F.col("seq").cast("string")))
+        accepted = V.best_of_n(X.parse_mcq(keyed, "reply_id"), "prompt_id")
+        best = materialize(accepted if best is None else best.unionByName(accepted), "accepted")
     return best.withColumn("difficulty", F.lit(difficulty)).withColumnRenamed("prompt_id", "chunk_id")
 
 

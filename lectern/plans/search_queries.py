@@ -75,13 +75,13 @@ def scaled_sql(x: str) -> str:
         f" - min({x}) OVER (PARTITION BY query_id), 0), 0.5)")
 
 
-def hybrid_sql(asked: str, out: str, k: int, vectors: bool, bm: str = "bm") -> str:
-    """CTE ``out`` scoring every (query, document) pair of ``asked``."""
+def hybrid_sql(asked: str, out: str, k: int, vectors: bool, bm: str = "bm", vector_of: str = "a.query_id") -> str:
+    """CTE ``out`` scoring every (query, document) pair of ``asked``; ``vector_of`` gives the query's vector."""
     emb = (
         "coalesce(round(list_inner_product(qe.embedding::DOUBLE[], de.embedding::DOUBLE[]), 9), 0)"
         if vectors else "0.0")
     joins = (
-        "LEFT JOIN embeddings qe ON qe.vec_id = a.query_id LEFT JOIN embeddings de ON de.vec_id = d.doc_id"
+        f"LEFT JOIN embeddings qe ON qe.vec_id = {vector_of} LEFT JOIN embeddings de ON de.vec_id = d.doc_id"
         if vectors else "")
     return f"""{out}_raw AS (SELECT a.query_id, d.doc_id, coalesce(b.score, 0) AS b, {emb} AS e
   FROM {asked} a CROSS JOIN dl d LEFT JOIN {bm} b ON b.query_id = a.query_id AND b.doc_id = d.doc_id {joins}),
@@ -361,12 +361,13 @@ def _first_of_sql(src: str, out: str, hop: int, seen: str | None) -> str:
   FROM {src} r JOIN labelled l USING (doc_id)) f WHERE first = 1 {new})"""
 
 
-MULTI_HOP_SQL = f"""{ASK_SQL}, {TOK_SQL}, {LABELLED_SQL}, {EXPAND_SQL.format('asked')},
-asked0 AS (SELECT query_id, expanded AS query FROM xp), {bm25_sql('asked0', 'bm0')}, {hybrid_sql('asked0', 'h0', 10, False, 'bm0')},
+def multi_hop_sql(*vectors) -> str:
+    return f"""{ASK_SQL}, {TOK_SQL}, {LABELLED_SQL}, {EXPAND_SQL.format('asked')},
+asked0 AS (SELECT query_id, expanded AS query FROM xp), {bm25_sql('asked0', 'bm0')}, {hybrid_sql('asked0', 'h0', 10, *vectors[:1] or [False], 'bm0', *vectors[1:])},
 hits0 AS (SELECT query_id, query, doc_id, text, score FROM h0 JOIN asked USING (query_id) JOIN documents USING (doc_id)),
 {rerank_sql('hits0', 'r0', 5)}, {_first_of_sql('r0', 'c0', 0, None)},
 {followup_sql('asked', 'c0', 'fu')},
-asked1 AS (SELECT query_id, followup AS query FROM fu WHERE followup <> query), {bm25_sql('asked1', 'bm1')}, {hybrid_sql('asked1', 'h1', 10, False, 'bm1')},
+asked1 AS (SELECT query_id, followup AS query FROM fu WHERE followup <> query), {bm25_sql('asked1', 'bm1')}, {hybrid_sql('asked1', 'h1', 10, *vectors[:1] or [False], 'bm1', *vectors[1:])},
 hits1 AS (SELECT query_id, query, doc_id, text, score FROM h1 JOIN asked1 USING (query_id) JOIN documents USING (doc_id)),
 {rerank_sql('hits1', 'r1', 5)}, {_first_of_sql('r1', 'c1', 1, 'c0')},
 found AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1),
@@ -375,18 +376,30 @@ fv AS (SELECT query_id, list_filter([query, CASE WHEN expanded <> query THEN exp
   CASE WHEN NOT regexp_matches(lower(query), '^(what|how|why|when)') THEN 'what is ' || query END,
   CASE WHEN NOT regexp_matches(lower(query), '^(what|how|why|when)') THEN 'how does ' || query END], lambda x: x IS NOT NULL) AS v FROM few),
 va AS (SELECT query_id AS base, unnest(v) AS query, unnest(range(len(v))) AS n FROM fv),
-askedv AS (SELECT base || ':' || n AS query_id, base, n, query FROM va WHERE n > 0), {bm25_sql('askedv', 'bmv')}, {hybrid_sql('askedv', 'hv', 5, False, 'bmv')},
+askedv AS (SELECT base || ':' || n AS query_id, base, n, query FROM va WHERE n > 0), {bm25_sql('askedv', 'bmv')}, {hybrid_sql('askedv', 'hv', 5, *vectors[:1] or [False], 'bmv', *vectors[1:])},
 rv AS (SELECT base AS query_id, n * 1000 + rank AS rank, doc_id FROM hv JOIN askedv USING (query_id)),
 {_first_of_sql('rv', 'cv', 2, 'found')},
 every AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS pos FROM (SELECT * FROM found UNION ALL SELECT * FROM cv))
 SELECT query_id, pos, hop::BIGINT AS hop, doc_id, source, context FROM every WHERE hop < 2 OR pos <= 10"""
 
 
-@query("multi_hop", sql="WITH " + MULTI_HOP_SQL)
+@query("multi_hop", sql="WITH " + multi_hop_sql())
 def _(spark, sf):
     return RR.multi_hop(text_queries(spark, sf), text_index(spark, sf), labelled_documents(spark, sf))
 
 
+def embed_by_length(spark, sf):
+    """Stands for an embedding model: a query gets the vector numbered by its length."""
+    given = corpus(spark, sf).select(F.col("doc_id").alias("_n"), "embedding")
+    return lambda asked: asked.join(given, F.length("query") % 400 == F.col("_n"), "left").drop("_n")
+
+
+@query("multi_hop_vectors", sql="WITH " + multi_hop_sql(True, "length(a.query) % 400"))
+def _(spark, sf):
+    return RR.multi_hop(text_queries(spark, sf), text_index(spark, sf), labelled_documents(spark, sf),
+                        corpus=corpus(spark, sf), embed=embed_by_length(spark, sf))
+
+
 # --- evaluation --------------------------------------------------------------
 
 # the first sentence of the first document of every source should find that document

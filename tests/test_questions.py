@@ -327,3 +327,34 @@ def test_cards_with_other_than_strings_void_the_reply(spark):
             '[{"question": {"a": 1}, "answer": "a"}]', '[{"question": "q", "answer": "a"}, {"answer": "b"}]']
     df = spark.createDataFrame([(i, "s", r) for i, r in enumerate(raws)], "id int, source string, raw string")
     assert [(r["id"], r["question"]) for r in X.parse_flashcards(df).collect()] == [(0, "q")]
+
+
+def test_only_failed_prompts_are_asked_again(spark, tmp_path):
+    log = str(tmp_path)
+
+    def moody(batches):
+        import json as J
+        import os
+        import uuid
+
+        for pdf in batches:
+            rows = []
+            for pid in pdf["prompt_id"]:
+                wave = sum(f.startswith(f"{pid}-") for f in os.listdir(log))
+                open(f"{log}/{pid}-{uuid.uuid4().hex}", "w").close()
+                good = J.dumps({"question": f"Which of the harbours did Ada Lovelace visit in year {pid}?",
+                                "options": ["Dover", "Calais", "Ostend", "Bergen"], "correctIndex": 0})
+                rows.append((pid, 0, 0, "no reply" if pid in "13" and not wave else good))
+            yield pd.DataFrame(rows, columns=["prompt_id", "attempt", "seq", "raw"])
+
+    chunks = spark.createDataFrame([(str(i), "s", "text") for i in range(5)], "id string, source string, text string")
+    made = {r["chunk_id"]: r["attempt"] for r in questions.make_questions(chunks.coalesce(1), moody, "easy").collect()}
+    assert made == {"0": 0, "1": 100, "2": 0, "3": 100, "4": 0}
+    import os
+    assert sorted(f.split("-")[0] for f in os.listdir(log)) == ["0", "1", "1", "2", "3", "3", "4"]
+
+
+def test_hops_over_vectors_need_an_embedding_hook(spark):
+    from lectern.operators import rerank as RR
+    with pytest.raises(ValueError):
+        RR.multi_hop(None, None, None, corpus=spark.range(1))
