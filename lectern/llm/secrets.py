@@ -25,9 +25,9 @@ BASE = (
 )
 #: Weak parts: (kind, role, pattern).
 WEAK = (
-    ("id", "id", r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}"),
+    ("id", "id", r"(?<![A-Za-z0-9_])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}"),
     ("key", "secret", r"[A-Za-z0-9+/_-]{32,}"),
-    ("endpoint", "endpoint", r"\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}"),
+    ("endpoint", "endpoint", r"(?<![A-Za-z0-9_])(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}"),
 )
 #: Roles of base spans as complementary parts.
 BASE_ROLES = {"assign": "secret", "access": "id", "hex": "secret"}
@@ -149,8 +149,10 @@ def find_secrets(
 
 def secret_report(found: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans that ``find_secrets`` returns."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{ORDER[k]}")
-              for k in range(len(BASE))]
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{ORDER[k]}")
+
+    counts = [count(k) for k in range(len(BASE))]
     return found.select(
         "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
