@@ -17,8 +17,13 @@ GENERATION_SCHEMA = "prompt_id string, attempt int, seq int, raw string"
 
 
 def sample_chunks(chunks: DataFrame, n: int, seed: str, key: str = "id") -> DataFrame:
-    """Repeatable random sample of at most ``n`` rows."""
-    return chunks.orderBy(T.seeded_hash(seed, F.col(key)), key).limit(n)
+    """Repeatable random sample of at most ``n`` rows with distinct keys, in the drawn order.
+
+    The draw looks at keys alone; texts are fetched for the ``n`` keys drawn.
+    """
+    drawn = chunks.select(key).distinct().orderBy(T.seeded_hash(seed, F.col(key)), key).limit(n)
+    picked = chunks.join(drawn, key, "left_semi")
+    return picked.orderBy(T.seeded_hash(seed, F.col(key)), key).limit(n)
 
 
 def gold_examples(spark: SparkSession) -> DataFrame:

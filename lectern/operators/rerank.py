@@ -76,8 +76,7 @@ def rerank(results: DataFrame, k: int = 5) -> DataFrame:
     Few bytes but much work per row: the rows are spread over all cores, whatever their
     query, instead of following the small exchange that found them.
     """
-    cores = results.sparkSession.sparkContext.defaultParallelism
-    f = results.repartition(cores, "query_id", "doc_id").withColumn("_f", rerank_features(F.col("query"), F.col("text")))
+    f = results.repartition("query_id", "doc_id").withColumn("_f", rerank_features(F.col("query"), F.col("text")))
     rescored = f.withColumn("score", rerank_score(F.col("score"), F.col("_f"))).drop("_f")
     return R.top_k(rescored.drop("rank"), k)
 

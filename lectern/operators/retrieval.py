@@ -37,7 +37,7 @@ def bm25(
 
     All other documents score 0.  The weighted query terms are written first: their file size is
     known then, so the planner broadcasts them within its threshold, leaving the postings where
-    they are and reading only their buckets.  A larger set is sort-merged, with hot terms split by
+    they are.  A larger set is sort-merged, with hot terms split by
     adaptive skew handling.
     """
     n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()

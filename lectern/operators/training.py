@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,31 +29,33 @@ def normalized_question(question: Column) -> Column:
 def dedup_questions(examples: DataFrame, key: str = "id") -> DataFrame:
     """First example by ``key`` of every normalised question.
 
-    Groups are formed on a digest of the text and reduced map-side, so a group of
-    copies of any size arrives as one row per task.
+    Groups are formed on two hashes of the text and their smallest key is found map-side; whole
+    rows are fetched for those keys alone.  ``key`` tells the examples apart.
     """
     norm = normalized_question(F.col("question"))
-    first = examples.groupBy(F.sha2(norm, 256).alias("_n")).agg(F.min_by(
-        F.struct(*examples.columns), key).alias("_r"))
-    return first.select("_r.*")
+    hashed = examples.withColumns({"_a": F.xxhash64(norm), "_b": F.xxhash64(F.lit(1), norm)})
+    first = hashed.groupBy("_a", "_b").agg(F.min(key).alias(key))
+    return hashed.join(first, ["_a", "_b", key], "left_semi").drop("_a", "_b")
 
 
-def _order_cut(df: DataFrame, seed: str, key: str, size: int) -> DataFrame:
-    """Rows of the ``size`` smallest (hash, key) pairs flagged ``_head``, exactly, without
-    a global rank: the boundary is found by counting hash prefixes."""
+def _order_cut(df: DataFrame, seed: str, key: str, size: Callable[[int], int]) -> DataFrame:
+    """Rows of the ``size(n)`` smallest (hash, key) pairs flagged ``_head``, exactly, without
+    a global rank: the boundary is found by counting hash prefixes of the written keys."""
     h = T.seeded_hash(seed, F.col(key))
     hashed = df.withColumn("_h", h)
+    keys = materialize(hashed.select("_h", key), "order")
+    size = size(keys.count())
     if size <= 0:
         return hashed.withColumn("_head", F.lit(False))
     prefix = F.substring("_h", 1, 4)
-    counts = hashed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"))
+    counts = keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("p"))
     # at most 65,536 prefixes, whatever the number of rows
     edge = counts.withColumn("upto", upto).filter(F.col("upto") >= size).orderBy("p").first()
     if edge is None:
         return hashed.withColumn("_head", F.lit(True))
     before = edge["upto"] - edge["n"]
-    inside = hashed.filter(prefix == edge["p"]).select("_h", key)
+    inside = keys.filter(prefix == edge["p"])
     last = inside.orderBy("_h", key).limit(size - before).agg(
         F.max(F.struct("_h", key)).alias("m")).first()["m"]
     at = F.struct(F.col("_h"), F.col(key))
@@ -65,8 +67,7 @@ def train_valid_split(
     examples: DataFrame, ratio: float = 0.8, seed: str = "split", key: str = "id"
 ) -> DataFrame:
     """Add ``split``: the first int(n * ratio) rows in seeded order are ``train``."""
-    size = int(examples.count() * ratio)
-    cut = _order_cut(examples, seed, key, size)
+    cut = _order_cut(examples, seed, key, lambda n: int(n * ratio))
     return cut.withColumn("split", F.when(F.col("_head"), "train").otherwise("valid")).drop("_h", "_head")
 
 
@@ -74,8 +75,7 @@ def valid_first_split(
     examples: DataFrame, ratio: float = 0.1, seed: str = "split", key: str = "id"
 ) -> DataFrame:
     """Add ``split``: the first max(1, int(n * ratio)) rows in seeded order are ``valid``."""
-    size = max(1, int(examples.count() * ratio))
-    cut = _order_cut(examples, seed, key, size)
+    cut = _order_cut(examples, seed, key, lambda n: max(1, int(n * ratio)))
     return cut.withColumn("split", F.when(F.col("_head"), "valid").otherwise("train")).drop("_h", "_head")
 
 

@@ -164,18 +164,18 @@ def _(spark, sf):
 
 # --- files -------------------------------------------------------------------
 
-@query("read_corpus", sql="""SELECT 'part-' || (doc_id % 10) AS folder, count(*) AS docs,
+@query("read_corpus", sql="""SELECT 'part-' || (doc_id // 100) AS folder, count(*) AS docs,
   sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY ALL""")
 def _(spark, sf):
-    # documents written as text files under ten folders, one per line, and read back by whole files
+    # documents written as text files, a hundred numbers to a folder, and read back by whole files
     folder = scratch(spark, "corpus")
     one_line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace("text", F.lit("\n"), F.lit("\u0001")))
     documents(spark, sf).select(
-        one_line.alias("value"), F.concat(F.lit("part-"), (F.col("doc_id") % 10).cast("string")).alias("g")
+        one_line.alias("value"), F.concat(F.lit("part-"), F.floor(F.col("doc_id") / 100).cast("string")).alias("g")
     ).write.partitionBy("g").text(folder)
     line = IO.read_corpus(spark, folder).select(F.explode(F.array_remove(F.split("text", "\n"), "")).alias("line"))
     number = F.substring_index("line", "\t", 1).cast("bigint")
-    return line.groupBy(F.concat(F.lit("part-"), (number % 10).cast("string")).alias("folder")).agg(
+    return line.groupBy(F.concat(F.lit("part-"), F.floor(number / 100).cast("string")).alias("folder")).agg(
         F.count("*").alias("docs"), F.sum(F.size(F.split("line", "\u0001"))).alias("lines"))
 
 
@@ -205,13 +205,13 @@ def _(spark, sf):
     return IO.read_embeddings(spark, folder).select("doc_id", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"))
 
 
-@query("read_study_sets", sql=f"""WITH {EX_SQL} SELECT id::VARCHAR AS question_id, source || '/' || (id % 50) AS quiz_id, question, array_to_string(options, '|') AS options, correct_index, '2024-05-01 10:00:00' AS created FROM ex""")
+@query("read_study_sets", sql=f"""WITH {EX_SQL} SELECT id::VARCHAR AS question_id, source || '/' || (id // 50) AS quiz_id, question, array_to_string(options, '|') AS options, correct_index, '2024-05-01 10:00:00' AS created FROM ex""")
 def _(spark, sf):
     folder = scratch(spark, "sets")
     ex = examples(spark, sf)
     one = F.struct(F.col("id").cast("string").alias("id"), "question", "options",
                    F.col("correct_index").alias("correctIndex"), "source", "explanation")
-    quiz = F.concat("source", F.lit("/"), (F.col("id") % 50).cast("string"))
+    quiz = F.concat("source", F.lit("/"), F.floor(F.col("id") / 50).cast("string"))
     ex.groupBy(quiz.alias("id")).agg(F.collect_list(one).alias("questions")).select(
         "id", F.col("id").alias("name"), F.lit("easy").alias("difficulty"), "questions",
         F.lit("2024-05-01T10:00:00Z").alias("createdAt")).write.json(folder)

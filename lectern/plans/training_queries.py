@@ -235,8 +235,8 @@ def _(spark, sf):
   (SELECT count(DISTINCT source) FROM documents) AS card_sets, (SELECT count(*) FROM documents) AS total_cards FROM conversations""")
 def _(spark, sf):
     quizzes = read_table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("questions"))
-    # a set's cards are kept per part of a source, so no source is gathered whole
-    parts = documents(spark, sf).groupBy("source", (F.col("doc_id") % 64).alias("part")).agg(F.collect_list("doc_id").alias("cards"))
+    # a set's cards are kept in parts of 64 at most, so no source is gathered whole
+    parts = documents(spark, sf).groupBy("source", F.floor(F.col("doc_id") / 64).alias("part")).agg(F.collect_list("doc_id").alias("cards"))
     sets = parts.groupBy("source").agg(F.sum(F.size("cards")).alias("n"))
     over = S.library_overview(quizzes, parts)
     return over.select("quiz_sets", "total_questions", sets.agg(F.count("*").alias("c")).scalar().alias("card_sets"), "total_cards")
