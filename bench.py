@@ -15,7 +15,7 @@ import time
 from pyspark.sql import SparkSession
 
 HEADLINE = [
-    "semantic_chunks", "process_documents", "key_terms", "filter_noncontent", "dedup_questions",
+    "semantic_chunks", "pack_paragraphs", "paragraph_chunks", "process_documents", "key_terms", "filter_noncontent", "dedup_questions",
     "index_build", "bm25", "keyword_search", "knn", "knn_all_queries", "hybrid_search", "rerank",
     "rag_context", "multi_hop", "parse_mcq", "best_of_n", "format_chatml", "train_valid_split",
     "early_stopping", "grade_quiz", "study_progress",
