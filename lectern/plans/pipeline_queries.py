@@ -309,7 +309,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = scratch(spark, "ingest")
     jobs.stream_ingest(as_stream(marked_documents(spark, sf), "doc_id"), folder, TARGET).awaitTermination()
-    return spark.read.parquet(f"{folder}/chunks").select("doc_id", "chunk_idx", "text", "section", "chapter", "word_count")
+    return jobs.ingested_chunks(spark, folder).select("doc_id", "chunk_idx", "text", "section", "chapter", "word_count")
 
 
 @query("stream_ingest_search", sql=f"""WITH {ASK_SQL}, {TOK_SQL}, {bm25_sql('asked')}

@@ -22,7 +22,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def latest_table(results: DataFrame, folder: str, mode: str = "complete") -> StreamingQuery:
+#: Default trigger: work off what has arrived, then stop.  A query that stays up takes another
+#: one, such as {"processingTime": "10 seconds"}.
+ONCE = {"availableNow": True}
+
+
+def latest_table(
+    results: DataFrame, folder: str, mode: str = "complete", trigger: dict | None = None,
+) -> StreamingQuery:
     """Keep the current state of an aggregating stream under ``folder``.
 
     Each batch goes to a folder of its number, written by the executors; re-running a batch
@@ -34,7 +41,7 @@ def latest_table(results: DataFrame, folder: str, mode: str = "complete") -> Str
 
     return (
         results.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{folder}/progress").trigger(**(trigger or ONCE)).start()
     )
 
 
@@ -48,37 +55,52 @@ def read_latest(spark: SparkSession, folder: str, key: str | None = None) -> Dat
         F.max_by(F.struct(*cols), "batch").alias("r")).select("r.*")
 
 
-def stream_study_progress(activity: DataFrame, folder: str) -> StreamingQuery:
+def stream_study_progress(activity: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """Progress counters kept current; only users changed by a batch are written."""
-    return latest_table(study_progress(activity), folder, "update")
+    return latest_table(study_progress(activity), folder, "update", trigger)
 
 
-def stream_throughput(log: DataFrame, folder: str) -> StreamingQuery:
-    return latest_table(generation_throughput(log), folder, "update")
+def stream_throughput(log: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    return latest_table(generation_throughput(log), folder, "update", trigger)
 
 
-def stream_ingest(docs: DataFrame, folder: str, target: int = K.TARGET_WORDS) -> StreamingQuery:
+def stream_ingest(
+    docs: DataFrame, folder: str, target: int = K.TARGET_WORDS, trigger: dict | None = None,
+) -> StreamingQuery:
     """Chunk arriving (doc_id, source, text) documents and extend chunk and index tables.
 
     df, N and the average length are aggregated from the tables when the index is read,
-    so a batch never rewrites what earlier ones stored.
+    so a batch never rewrites what earlier ones stored.  A document that arrives again replaces
+    its earlier rows when the tables are read; of two arrivals in one batch either may stay.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.dropDuplicates(["doc_id"]).persist()  # read twice below
         els = batch.select("doc_id", "source", S.markdown_elements(F.col("text")).alias("elements"))
         chunks = C.context_overlap(C.semantic_chunks(els, target))
         chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
         terms = I.document_terms(batch)
         terms.write.mode("overwrite").parquet(f"{folder}/doc_terms/batch={batch_id}")
+        batch.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{folder}/progress").trigger(**(trigger or ONCE)).start()
     )
 
 
+def _newest(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Rows of the last batch in which their document arrived."""
+    last = spark.read.parquet(f"{folder}/doc_terms").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/{table}").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
+def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _newest(spark, folder, "chunks")
+
+
 def ingested_index(spark: SparkSession, folder: str) -> I.TextIndex:
-    return I.TextIndex.of(spark.read.parquet(f"{folder}/doc_terms").drop("batch"))
+    return I.TextIndex.of(_newest(spark, folder, "doc_terms"))
 
 
 class EarlyStopping(StatefulProcessor):
@@ -116,6 +138,7 @@ class EarlyStopping(StatefulProcessor):
 def stream_early_stopping(
     log: DataFrame, folder: str,
     patience: int = K.EARLY_STOP_PATIENCE, delta: float = K.EARLY_STOP_DELTA,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Early stopping over a stream of (run_id, iteration, valid_loss).
 
@@ -128,7 +151,7 @@ def stream_early_stopping(
         EarlyStopping(patience, delta), EarlyStopping.OUTPUT, "update", "none")
     conf.set(STATE_PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
     try:
-        return latest_table(states, folder, "update")
+        return latest_table(states, folder, "update", trigger)
     finally:
         if before is None:
             conf.unset(STATE_PROVIDER)

@@ -125,3 +125,23 @@ def test_stream_corpus(spark, folder):
     put(folder + "/docs", "b.pdf", "x")
     jobs.latest_table(IO.stream_corpus(spark, folder + "/docs"), folder, "append").awaitTermination()
     assert [(r["source"], r["text"]) for r in spark.read.parquet(folder + "/table").collect()] == [("a.md", "# T\nbody")]
+
+
+def test_document_that_arrives_again_replaces_itself(spark, folder):
+    from lectern.operators import index as I
+    from lectern.operators import retrieval as R
+
+    old = [(i, "s", f"harbour lights number {i}. Ships come home.") for i in range(6)]
+    new = [(i, "s", f"bakery bread number {i}. Yeast rises.") for i in range(3)]
+    schema = "doc_id bigint, source string, text string"
+    spark.createDataFrame(old, schema).coalesce(1).write.parquet(f"{folder}/again")
+    live = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/again")
+    jobs.stream_ingest(live(), f"{folder}/kept").awaitTermination()
+    spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{folder}/again")
+    jobs.stream_ingest(live(), f"{folder}/kept", trigger={"availableNow": True}).awaitTermination()
+    now = spark.createDataFrame(new + old[3:], schema)
+    index = jobs.ingested_index(spark, f"{folder}/kept")
+    q = spark.createDataFrame([(1, "harbour"), (2, "bread yeast")], "query_id int, query string")
+    rows = lambda ix: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in R.bm25(q, ix).collect())
+    assert index.stats.first()["n"] == 6
+    assert rows(index) == rows(I.TextIndex.of(I.document_terms(now)))
