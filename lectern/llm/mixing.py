@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 #: Rows per part in which a source is put in order.
-PART_ROWS = 50_000
+PART_ROWS = 4_000
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
@@ -98,9 +98,10 @@ def mix_sources(
     column = {c: F.col(f"_c{i}") for i, c in enumerate(names)}
     text = F.coalesce(column[text_col], F.lit(""))
     source = column[source_col].cast("string")
-    key = F.xxhash64(F.lit(seed), column[id_col], F.xxhash64(text))
+    key = F.xxhash64(F.lit(seed), column[id_col], F.xxhash64(text))  # spreads null ids too
     rows = held.select(
         "*", F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_source"), key.alias("_key"),
+        F.xxhash64(text).alias("_tie"),
         F.greatest(F.octet_length(text), F.lit(1)).cast("long").alias("_bytes"))
     sizes = rows.groupBy("_source").agg(F.count("*").alias("n"), F.sum("_bytes").alias("b"))
     known = sorted(sizes.collect())  # one row per source
@@ -125,7 +126,7 @@ def mix_sources(
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = cut.groupBy("_source", "_part").agg(F.sum("_bytes").alias("b")).select(
         "_source", "_part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_source", "_part").orderBy("_key", column[id_col], text).rowsBetween(
+    inside = Window.partitionBy("_source", "_part").orderBy("_key", column[id_col], "_tie").rowsBetween(
         Window.unboundedPreceding, -1)
     at = cut.withColumn("_in", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(
         ahead, ["_source", "_part"]).withColumn("_at", F.col("_in") + F.col("_ahead"))
