@@ -1,6 +1,7 @@
 """A training corpus from documents: clean, distinct, mixed and encoded.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  Its result
+is to be written before the next stage is called: that one deletes the tables this one worked with.
 """
 
 from __future__ import annotations
@@ -11,6 +12,17 @@ from lectern.llm import exact_dedup, mixing, ngram_join, pieces, toxicity
 from lectern.sources.tables import Scratch, read_table
 
 
+_tables: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A folder for the tables of a stage; those of the stage before are no longer read."""
+    while _tables:
+        _tables.pop().drop()
+    _tables.append(Scratch(spark, name))
+    return _tables[-1]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
@@ -18,21 +30,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(docs, _scratch(spark, "stage-exact"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles tie together at 0.8 or more."""
-    return ngram_join.ngram_join(docs, threshold=0.8, n=5).filter("kept").select("doc.*")
+    joined = ngram_join.ngram_join(docs, threshold=0.8, n=5, scratch=_scratch(spark, "stage-near"))
+    return joined.filter("kept").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order in which the sources are to be read."""
+    _scratch(spark, "stage-mix")
     return mixing.in_order(mixing.mix_sources(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text they decode to, as counts and digests per document."""
+    _scratch(spark, "stage-encode")
     return pieces.piece_digests(pieces.encode_pieces(docs, pieces.tokenizer_file("piece_bpe_32k.model")))
 
 
@@ -54,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            scratch.forget(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
