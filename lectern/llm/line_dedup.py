@@ -38,21 +38,26 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line that is not blank: digests and one key per band."""
+    """One row per distinct line that is not blank: id, digests and one key per band.
+
+    Ids are smaller the more often a line occurs (by powers of two).  Variants of a line mostly
+    resemble the line they come from, which is the one met most often, more than each other.
+    """
     stretches = F.regexp_extract_all(
         "line", F.lit(f"(?s)(?=(.{{1,{STRETCH + WIDTH - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
     cut = lines.filter("line <> ''").select(*CLASS, F.posexplode(stretches).alias("at", "part"))
     starts = F.length("part") - (WIDTH - 1)
     cut = cut.withColumn("starts", F.when((F.col("at") == 0) & (starts < 1), 1).otherwise(starts))
-    spots = cut.filter("starts > 0").select(*CLASS, "part", F.explode(F.sequence(F.lit(1), "starts")).alias("i"))
-    h = spots.select(*CLASS, F.hash(F.substring(F.col("part"), F.col("i"), F.lit(WIDTH))).alias("h"))
+    spots = cut.filter("starts > 0").select(*CLASS, "at", "part", F.explode(F.sequence(F.lit(1), "starts")).alias("i"))
+    h = spots.select(*CLASS, ((F.col("at") == 0) & (F.col("i") == 1)).cast("int").alias("line"), F.hash(F.substring(F.col("part"), F.col("i"), F.lit(WIDTH))).alias("h"))
     minima = []
     for j, mask in enumerate(_MASKS):
         turned = F.shiftleft("h", j).bitwiseOR(F.shiftrightunsigned("h", 32 - j)) if j else F.col("h")
         minima.append(F.min(turned.bitwiseXOR(F.lit(mask))).alias(f"m{j}"))
     bands = [F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return h.groupBy(*CLASS).agg(*minima).select(
-        F.monotonically_increasing_id().alias("id"), *CLASS, F.array(*bands).alias("keys"))
+    often = F.lit(31) - F.floor(F.log2(F.col("lines"))).cast("long")
+    return h.groupBy(*CLASS).agg(F.sum("line").alias("lines"), *minima).select(
+        (F.monotonically_increasing_id() + often * F.lit(2 ** 58)).alias("id"), *CLASS, F.array(*bands).alias("keys"))
 
 
 def shingles(line: Column) -> Column:
