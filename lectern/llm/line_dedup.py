@@ -1,7 +1,11 @@
 """Near-duplicate lines by MinHash over character shingles.
 
-Lines are compared by their sets of ``WIDTH``-character shingles.  Every distinct line gets a signature of minima
-over rotated and masked shingle hashes, computed as plain aggregates over exploded shingles.  Bands
+Lines are compared by their sets of character shingles, ``width`` characters each.  One character changed
+inside a line touches ``width`` shingles of either side, so at threshold 0.8 it is caught when the line has
+9 * width distinct shingles, which takes 10 * width - 1 characters: 49 at width 5 (the registered query),
+79 at width 8 (the default), where a shorter line with one changed character counts as another line.
+Every distinct line gets a signature of minima over rotated and masked shingle hashes, computed as
+plain aggregates over exploded shingles.  Bands
 of the signature put similar lines under one key.  Lines under a key are first verified
 against the smallest of them, so a key of any size gives as many pairs as it has lines; pairs
 among the rest are formed only between lines that are not yet in one component.  A union-find over
@@ -18,12 +22,16 @@ from pyspark.sql import functions as F
 from lectern.llm.graph import components
 from lectern.sources.tables import Scratch
 
+#: Shingle width of a call that names none.
 WIDTH = 8
 #: Bands of ROWS minima each: at similarity 0.8 some band agrees with a chance of 99.7 %.
 BANDS, ROWS = 8, 3
+#: The same chance for shingles of 5 characters and less.  Unrelated lines share more of these (up to a tenth
+#: at 5), so a band takes more minima to keep them apart.
+NARROW_BANDS, NARROW_ROWS = 15, 5
 #: Lines are cut into stretches, so that finding a shingle never walks far.
 STRETCH = 64
-_MASKS = [random.Random(5 + j).randrange(-2 ** 31, 2 ** 31) for j in range(BANDS * ROWS)]
+_MASKS = [random.Random(5 + j).randrange(-2 ** 31, 2 ** 31) for j in range(max(BANDS * ROWS, NARROW_BANDS * NARROW_ROWS))]
 CLASS = ["d1", "d2"]
 
 
@@ -37,38 +45,39 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                       F.xxhash64(F.lit(1), line).alias("d2"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per distinct line that is not blank: id, digests and one key per band.
 
     Ids are smaller the more often a line occurs (by powers of two).  Variants of a line mostly
     resemble the line they come from, which is the one met most often, more than each other.
     """
     stretches = F.regexp_extract_all(
-        "line", F.lit(f"(?s)(?=(.{{1,{STRETCH + WIDTH - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+        "line", F.lit(f"(?s)(?=(.{{1,{STRETCH + width - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
     cut = lines.filter("line <> ''").select(*CLASS, F.posexplode(stretches).alias("at", "part"))
-    starts = F.length("part") - (WIDTH - 1)
+    starts = F.length("part") - (width - 1)
     cut = cut.withColumn("starts", F.when((F.col("at") == 0) & (starts < 1), 1).otherwise(starts))
     spots = cut.filter("starts > 0").select(*CLASS, "at", "part", F.explode(F.sequence(F.lit(1), "starts")).alias("i"))
-    h = spots.select(*CLASS, ((F.col("at") == 0) & (F.col("i") == 1)).cast("int").alias("line"), F.hash(F.substring(F.col("part"), F.col("i"), F.lit(WIDTH))).alias("h"))
+    h = spots.select(*CLASS, ((F.col("at") == 0) & (F.col("i") == 1)).cast("int").alias("line"), F.hash(F.substring(F.col("part"), F.col("i"), F.lit(width))).alias("h"))
+    n, rows = (NARROW_BANDS, NARROW_ROWS) if width <= 5 else (BANDS, ROWS)
     minima = []
-    for j, mask in enumerate(_MASKS):
+    for j, mask in enumerate(_MASKS[:n * rows]):
         turned = F.shiftleft("h", j).bitwiseOR(F.shiftrightunsigned("h", 32 - j)) if j else F.col("h")
         minima.append(F.min(turned.bitwiseXOR(F.lit(mask))).alias(f"m{j}"))
-    bands = [F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]
+    bands = [F.xxhash64(F.lit(b), *[f"m{b + n * r}" for r in range(rows)]) for b in range(n)]
     often = F.lit(31) - F.floor(F.log2(F.col("lines"))).cast("long")
     return h.groupBy(*CLASS).agg(F.sum("line").alias("lines"), *minima).select(
         (F.monotonically_increasing_id() + often * F.lit(2 ** 58)).alias("id"), *CLASS, F.array(*bands).alias("keys"))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct shingle hashes; a line shorter than ``WIDTH`` is one shingle."""
-    cut = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
-    every = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(cut)
+def shingles(line: Column, width: int = WIDTH) -> Column:
+    """Distinct shingle hashes; a line shorter than ``width`` is one shingle."""
+    cut = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    every = F.when(F.length(line) < width, F.array(line)).otherwise(cut)
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, threshold: float,
-             scratch: Scratch, name: str) -> DataFrame:
+             scratch: Scratch, name: str, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have at least the threshold's Jaccard similarity."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -78,7 +87,7 @@ def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, threshold:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     # lengths alone rule out some: n characters hold at most n shingles
-    sets = both.select("a", "b", shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
+    sets = both.select("a", "b", shingles(F.col("la"), width).alias("x"), shingles(F.col("lb"), width).alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     met = sets.select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return met.filter(F.col("both") >= threshold * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
@@ -86,12 +95,12 @@ def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, threshold:
 
 def line_dedup(
     docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-    scratch: Scratch | None = None,
+    scratch: Scratch | None = None, width: int = WIDTH,
 ) -> DataFrame:
     """Per line: row, doc_id, line_no, class_doc_id, class_line_no, class_size, kept.
 
-    Lines end at line feeds and are compared without spaces around them.  Lines whose shingle sets
-    have a Jaccard similarity of at least ``threshold`` are tied together; of each component
+    Lines end at line feeds and are compared without spaces around them.  Lines whose sets of
+    ``width``-character shingles have a Jaccard similarity of at least ``threshold`` are tied together; of each component
     the first line by (doc_id, line_no) is kept, whose place every member names.  Blank lines (and
     null or empty texts, which are one blank line) are classes of their own and kept.  Null ids come last
     in a class; lines of repeated rows are one class.  ``row`` numbers the input rows of this call.
@@ -99,13 +108,13 @@ def line_dedup(
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     lines = lines_of(docs, id_col, text_col)
-    classes = scratch.keep(signatures(lines), "classes")
+    classes = scratch.keep(signatures(lines, width), "classes")
     nodes = classes.select("id", F.explode("keys").alias("key"))
     full = nodes.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter(
         "m > 1").select("key", "first")
     under = scratch.keep(nodes.join(full, "key"), "under")
     stars = under.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    tied = scratch.keep(verified(stars, classes, lines, threshold, scratch, "stars"), "tied")
+    tied = scratch.keep(verified(stars, classes, lines, threshold, scratch, "stars", width), "tied")
     near = components(tied, scratch, "near")
     inside = scratch.keep(under.select("key", "id").join(near, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("g")), "inside")
@@ -115,7 +124,7 @@ def line_dedup(
         loose.select("key", F.col("id").alias("y"), F.col("g").alias("gy")), "key").filter("gx < gy")
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = cross.join(stars, ["a", "b"], "left_anti")  # those were compared already
-    across = scratch.keep(verified(cross, classes, lines, threshold, scratch, "across"), "across")
+    across = scratch.keep(verified(cross, classes, lines, threshold, scratch, "across", width), "across")
     groups = components(tied.union(across), scratch, "groups")
 
     comps = classes.select("id", *CLASS).join(groups, "id", "left").select(

@@ -84,7 +84,7 @@ def op6(spark, sf):
 
 @query("op7_line_dedup")
 def op7(spark, sf):
-    return line_dedup.line_dedup(read_table(spark, sf, "documents")).drop("row")
+    return line_dedup.line_dedup(read_table(spark, sf, "documents"), width=5).drop("row")
 
 
 @query("op8_ngram_join")

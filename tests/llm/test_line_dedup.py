@@ -86,3 +86,20 @@ def test_shingles_across_stretches_are_all_found(spark):
 def test_no_lines(documents):
     assert L.line_dedup(documents([])).count() == 0
     assert [r["kept"] for r in L.line_dedup(documents([(1, None)])).collect()] == [True]
+
+
+def test_one_edit_in_a_short_line_is_caught(spark, tmp_path):
+    from lectern.llm import queries
+
+    rng = random.Random(3)
+    rows, known = [], {}
+    for n in range(40, 81):
+        text = "".join(chr(0x4E00 + k) for k in rng.sample(range(5_000), n))  # no shingle twice
+        at = rng.randrange(5, n - 5)
+        rows += [(2 * n, text, "en", "s", n), (2 * n + 1, text[:at] + "7" + text[at + 1:], "en", "s", n)]
+        known[2 * n + 1] = 2 * n if n >= 49 else 2 * n + 1
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["class_doc_id"] for r in got if r["doc_id"] % 2} == known
+    assert all(r["kept"] == (r["doc_id"] == r["class_doc_id"]) for r in got)
