@@ -6,12 +6,17 @@ is to be written before the next stage is called: that one deletes the tables th
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, mixing, ngram_join, pieces, toxicity
 from lectern.sources.tables import Scratch, read_table
 
-
+#: Rows per partition of the result.
+PART_ROWS = 4_000
 _tables: list[Scratch] = []
 
 
@@ -45,10 +50,30 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.mix_sources(docs))
 
 
+def _file_order(held) -> tuple[int, str]:
+    """Sort key of a file that Spark wrote: number of its partition, then its name."""
+    number = re.match(r"part-(\d+)", held[0])
+    return int(number[1]) if number else 0, held[0]
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the text they decode to, as counts and digests per document."""
+    """Token ids and the text they decode to, as counts and digests per document, in the order of the mix.
+
+    ``docs`` is read from the files of the mix; its splits come in any order, so the place of a row is taken
+    from its file and its number in there.  The k-th partition holds the k-th stretch of rows, sorted.
+    """
     _scratch(spark, "stage-encode")
-    return pieces.piece_digests(pieces.encode_pieces(docs, pieces.tokenizer_file("piece_bpe_32k.model")))
+    name, row = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    placed = docs.select("text", F.struct("doc_id", name, row).alias("at"))
+    held = sorted(placed.groupBy("at.file").count().collect(), key=_file_order)  # one row per file of 64 MB
+    ahead = list(accumulate((n for _, n in held), initial=0))
+    before = F.broadcast(spark.createDataFrame(
+        [(f, n) for (f, _), n in zip(held, ahead)], "file string, before long"))
+    told = pieces.piece_digests(pieces.encode_pieces(placed, pieces.tokenizer_file("piece_bpe_32k.model"), id_col="at"))
+    at = told.join(before, told["doc_id.file"] == before["file"]).withColumn("at", F.col("before") + F.col("doc_id.row"))
+    parts = max(1, -(-ahead[-1] // PART_ROWS))
+    dealt = at.repartitionById(parts, F.expr(f"cast(at div {PART_ROWS} as int)")).sortWithinPartitions("at")
+    return dealt.select("doc_id.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

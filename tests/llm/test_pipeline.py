@@ -53,6 +53,24 @@ def test_whole_run_equals_its_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_result_keeps_the_mixture_order(spark, documents, tmp_path, monkeypatch):
+    pytest.importorskip("sentencepiece")
+    from lectern.llm import mixing
+
+    monkeypatch.setattr(corpus_pipeline, "PART_ROWS", 70, raising=False)
+    rows = [(i, f"row {i} " * (1 + i * i % 40), f"s{i % 3 % 2}") for i in range(400)]
+    mixed = mixing.mix_sources(documents(rows), {"s0": 3, "s1": 1}, block_bytes=2_000)
+    want = [r["doc_id"] for r in mixed.orderBy("mix.slot", "mix.start").select("doc_id").collect()]
+    mixing.in_order(mixed, 16 * 1024 * 1024).write.parquet(f"{tmp_path}/mix")  # four slots a file
+    docs = spark.read.parquet(f"{tmp_path}/mix")
+    assert len(docs.inputFiles()) > 5
+    got = corpus_pipeline.encode(spark, docs, FOLDER)
+    assert [r["doc_id"] for r in got.collect()] == want
+    got.write.parquet(f"{tmp_path}/out")
+    again = spark.read.parquet(f"{tmp_path}/out").orderBy("_metadata.file_name", "_metadata.row_index")
+    assert [r["doc_id"] for r in again.select("doc_id").collect()] == want
+
+
 def test_exact_dedup_equals_its_sql(spark):
     import compare
 
