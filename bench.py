@@ -36,7 +36,6 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from lectern.operators.index import TextIndex
     from lectern.plans import catalog, search_queries
     from lectern.sources.tables import read_table
 
@@ -46,8 +45,7 @@ def main() -> None:
     for name in names:
         start = time.perf_counter()
         if name == "index_build":
-            index = TextIndex.build(search_queries.documents(spark, folder))
-            search_queries._INDEXES[(spark.sparkContext.applicationId, folder)] = index
+            search_queries._INDEXES[(spark.sparkContext.applicationId, folder)] = search_queries.build_index(spark, folder)
         else:
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

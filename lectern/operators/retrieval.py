@@ -15,6 +15,7 @@ from lectern.operators import vectors as V
 from lectern.operators.filters import drop_zero_scores
 from lectern.operators.index import TextIndex, term_bucket
 from lectern.operators.metadata import term_counts
+from lectern.operators.segments import SegmentedIndex
 from lectern.sources.tables import materialize
 
 
@@ -30,22 +31,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return counted.withColumnRenamed("tf", "qtf")
 
 
+def weighted_terms(queries: DataFrame, index: TextIndex | SegmentedIndex) -> DataFrame:
+    """(query_id, term, weight): how often a query has the term times the term's rarity; unknown terms go."""
+    n, df = index.stats.select("n").scalar(), F.col("df").cast("double")
+    return query_terms(queries).join(index.terms.filter("df > 0"), "term").select(
+        "query_id", "term",
+        (F.col("qtf") * F.log((n - df + 0.5) / (df + 0.5) + 1)).alias("weight"),
+    )
+
+
 def bm25(
-    queries: DataFrame, index: TextIndex, k1: float = K.BM25_K1, b: float = K.BM25_B
+    queries: DataFrame, index: TextIndex | SegmentedIndex, k1: float = K.BM25_K1, b: float = K.BM25_B
 ) -> DataFrame:
     """(query_id, doc_id, score) of the documents sharing a term with the query.
 
-    All other documents score 0.  The weighted query terms are written first: their file size is
+    All other documents score 0.  A segmented index is scored inside its shards, without an exchange,
+    unless the queries are too many to be sent there.  Else the weighted query terms are written first: their file size is
     known then, so the planner broadcasts them within its threshold, leaving the postings where
     they are.  A larger set is sort-merged, with hot terms split by
     adaptive skew handling.
     """
-    n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
-    df = F.col("df").cast("double")
-    weighted = query_terms(queries).join(index.terms.filter("df > 0"), "term").select(
-        "query_id", "term",
-        (F.col("qtf") * F.log((n - df + 0.5) / (df + 0.5) + 1)).alias("weight"),
-    )
+    avgdl = index.stats.select("avgdl").scalar()
+    weighted = weighted_terms(queries, index)
+    if isinstance(index, SegmentedIndex):
+        weighted = materialize(weighted, "query-terms")
+        floors = weighted.select("query_id", F.lit(0.0).alias("floor")).distinct()
+        scored = index.search(weighted, 0, V.DIGITS, floors=floors, k1=k1, b=b)
+        if scored is not None:
+            return scored
     keys = ["term"]
     if index.buckets:
         weighted = weighted.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
@@ -57,8 +70,15 @@ def bm25(
     return hits.groupBy("query_id", "doc_id").agg(F.sum(impact).alias("score"))
 
 
-def keyword_search(queries: DataFrame, index: TextIndex, k: int = 10) -> DataFrame:
-    """BM25 top ``k`` with a positive score; an empty query finds nothing."""
+def keyword_search(queries: DataFrame, index: TextIndex | SegmentedIndex, k: int = 10) -> DataFrame:
+    """BM25 top ``k`` with a positive score; an empty query finds nothing.
+
+    A segmented index is searched inside its shards, unless the queries are too many to be sent there.
+    """
+    if isinstance(index, SegmentedIndex):
+        found = index.search(materialize(weighted_terms(queries, index), "query-terms"), k, V.DIGITS)
+        if found is not None:
+            return top_k(found, k)
     return top_k(drop_zero_scores(bm25(queries, index)), k)
 
 
@@ -88,8 +108,59 @@ def _scaled(x, lo, hi):
     return T.ratio(x - lo, hi - lo, 0.5)
 
 
+class _JoinedScores:
+    """Lexical scores of all queries from postings joined with their terms, written once."""
+
+    def __init__(self, queries: DataFrame, index):
+        self.table, self.index = materialize(bm25(queries, index), "bm25"), index  # read four times
+
+    def survey(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(query_id, hi_b, lo_b) over all documents, and the scores of ``wanted`` pairs that have one."""
+        n = self.index.stats.select("n").scalar()
+        ranges = self.table.groupBy("query_id").agg(
+            F.max("score").alias("hi_b"),
+            F.when(F.count("*") < n, F.lit(0.0)).otherwise(F.min("score")).alias("lo_b"))
+        return ranges, self.table.join(wanted, ["query_id", "doc_id"], "left_semi")
+
+    def best(self, k: int) -> DataFrame:
+        return top_k(self.table, k)
+
+    def reaching(self, floors: DataFrame) -> DataFrame:
+        """Scores of at least the floor of their query, for the queries in ``floors`` (query_id, floor)."""
+        return self.table.join(floors, "query_id").filter("score >= floor").drop("floor")
+
+
+class _ShardScores:
+    """The same from the shards of a segmented index: nothing is written per query and document."""
+
+    def __init__(self, weighted: DataFrame, index: SegmentedIndex):
+        self.weighted, self.index = weighted, index
+
+    def survey(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        told = materialize(self.index.survey(self.weighted, wanted), "survey")
+        n = self.index.stats.select("n").scalar()
+        ranges = told.filter("matched is not null").groupBy("query_id").agg(
+            F.max("score").alias("hi_b"),
+            F.when(F.sum("matched") < n, F.lit(0.0)).otherwise(F.min("low")).alias("lo_b"))
+        return ranges, told.filter("matched is null").select("query_id", "doc_id", "score")
+
+    def best(self, k: int) -> DataFrame:
+        return top_k(self.index.search(self.weighted, k, V.DIGITS), k)
+
+    def reaching(self, floors: DataFrame) -> DataFrame:
+        return self.index.search(self.weighted, 0, V.DIGITS, floors=floors)
+
+
+def _lexical(queries: DataFrame, index: TextIndex | SegmentedIndex):
+    if isinstance(index, SegmentedIndex):
+        weighted = materialize(weighted_terms(queries, index), "query-terms")
+        if index.passes(weighted):
+            return _ShardScores(weighted, index)
+    return _JoinedScores(queries, index)
+
+
 def hybrid_search(
-    queries: DataFrame, index: TextIndex, corpus: DataFrame | None = None,
+    queries: DataFrame, index: TextIndex | SegmentedIndex, corpus: DataFrame | None = None,
     k: int = 5, weight: float = K.EMBEDDING_WEIGHT, use_hybrid: bool = True,
 ) -> DataFrame:
     """(1 - weight) * min-max BM25 + weight * min-max cosine, over all documents.
@@ -101,17 +172,14 @@ def hybrid_search(
     """
     columns = [c for c in ("query_id", "query", "embedding") if c in queries.columns]
     queries = materialize(queries.select(*columns), "queries")
-    lexical = materialize(bm25(queries, index), "bm25")
-    n = index.stats.select("n").scalar()
-    ranges = lexical.groupBy("query_id").agg(
-        F.max("score").alias("hi_b"),
-        F.when(F.count("*") < n, F.lit(0.0)).otherwise(F.min("score")).alias("lo_b"),
-    )
+    lexical = _lexical(queries, index)
     use_vectors = use_hybrid and corpus is not None and "embedding" in queries.columns
     ids = index.lengths.select("doc_id")
     # with equal scores the smallest ids win, so they are candidates for every query
     fillers = {r[0] for r in ids.orderBy("doc_id").limit(k).collect()}  # k ids
-    per_query = queries.select("query_id").join(ranges, "query_id", "left")
+    per_query = queries.select("query_id")
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("query_id", queries), ("doc_id", ids))]
+    wanted = queries.sparkSession.createDataFrame([], ", ".join(kinds))
 
     if use_vectors:
         corpus = corpus.select("doc_id", "embedding").join(ids, "doc_id", "left_semi")
@@ -128,10 +196,17 @@ def hybrid_search(
         kth = best.groupBy("query_id").agg(
             F.greatest(F.min("score"), at_zero).alias("kth_e"))
         per_query = per_query.join(dense_ranges, "query_id", "left").join(kth, "query_id", "left")
+        wanted = best.select("query_id", "doc_id")
     else:
         per_query = per_query.select("*", *[
             F.lit(0.0).alias(c) for c in ("lo_e", "hi_e", "kth_e")])
-    per_query = per_query.fillna(0.0, ["hi_b", "lo_b", "lo_e", "hi_e", "kth_e"])
+    if fillers:
+        wanted = wanted.unionByName(queries.select(
+            "query_id", F.explode(F.array(*[F.lit(i) for i in sorted(fillers)])).alias("doc_id")))
+    wanted = materialize(wanted.distinct(), "wanted")
+    ranges, held = lexical.survey(wanted)
+    per_query = per_query.join(ranges, "query_id", "left").fillna(
+        0.0, ["hi_b", "lo_b", "lo_e", "hi_e", "kth_e"])
     if use_vectors:  # read three times below
         per_query = materialize(per_query, "ranges")
 
@@ -146,18 +221,13 @@ def hybrid_search(
         return pairs.join(per_query, "query_id").select(
             "query_id", "doc_id", ((1 - weight) * norm_b + weight * norm_e).alias("score"))
 
-    if use_vectors:
-        seeds = top_k(lexical, k).select("query_id", "doc_id").unionByName(
-            best.select("query_id", "doc_id"))
-    else:
+    top = materialize(lexical.best(k).select("query_id", "doc_id", "score"), "lexical-best")
+    if not use_vectors:
         # the blend rises with BM25 alone: its best k, and what rounds to the same, suffice
-        kth = top_k(lexical, k).groupBy("query_id").agg(F.min("score").alias("kth_b"))
-        seeds = lexical.join(kth, "query_id").filter(
-            F.col("score") >= F.col("kth_b") - 1e-6).select("query_id", "doc_id")
-    if fillers:
-        seeds = seeds.unionByName(queries.select(
-            "query_id", F.explode(F.array(*[F.lit(i) for i in sorted(fillers)])).alias("doc_id")))
-    seeds = seeds.distinct().join(lexical, ["query_id", "doc_id"], "left")
+        floors = top.groupBy("query_id").agg((F.min("score") - 1e-6).alias("floor"))
+        top = lexical.reaching(floors)
+    given = wanted.join(held, ["query_id", "doc_id"], "left")
+    seeds = given.unionByName(top.join(wanted, ["query_id", "doc_id"], "left_anti"))
     if not use_vectors:
         return top_k(scored(seeds), k)
     # pairs are written before they are scored, so the planner knows how few they are
@@ -165,13 +235,17 @@ def hybrid_search(
     first = materialize(scored(seeds), "seeds")
     bar = top_k(first, k).groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score")).alias("bar"))
-    reach = (1 - weight) * norm_b + weight * _scaled(
-        F.col("kth_e"), F.col("lo_e"), F.col("hi_e"))
-    rest = materialize(
-        lexical.join(per_query, "query_id").join(bar, "query_id", "left")
-        .filter(F.col("bar").isNull() | (reach >= F.col("bar") - 1e-9))
-        .select("query_id", "doc_id", "score")
-        .join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), "rest-pairs")
+    # the lexical score from which on the blend can reach the bar; a margin for rounding
+    rest_e = weight * _scaled(F.col("kth_e"), F.col("lo_e"), F.col("hi_e"))
+    short = F.col("bar") - 1e-9 - rest_e
+    flat = (F.col("hi_b") == F.col("lo_b")) | F.lit(weight >= 1)
+    needed = F.col("lo_b") + (F.col("hi_b") - F.col("lo_b")) * short / (1 - weight if weight < 1 else 1) - 1e-9
+    always = F.coalesce(short <= (1 - weight) * 0.5, F.lit(True)) if weight < 1 else F.coalesce(short <= 0, F.lit(True))
+    floors = per_query.join(bar, "query_id", "left").filter(~flat | always).select(
+        "query_id", F.when(flat | F.col("bar").isNull(), 0.0).otherwise(needed).alias("floor")
+    ).filter(F.col("floor") <= F.lit(1e300))
+    rest = materialize(lexical.reaching(floors).join(
+        first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), "rest-pairs")
     return top_k(first.unionByName(scored(rest)), k)
 
 

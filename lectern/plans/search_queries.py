@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +13,25 @@ from lectern.operators import index as I
 from lectern.operators import rerank as RR
 from lectern.operators import retrieval as R
 from lectern.operators import vectors as V
+from lectern.operators.segments import SegmentedIndex
 from lectern.plans import sqltext as q
 from lectern.plans.document_queries import documents, passages, passages_sql
 from lectern.plans.registry import query
-from lectern.sources.tables import materialize, read_table
+from lectern.sources.tables import checkpoint_folder, materialize, read_table
+
+_INDEXES: dict[tuple[str, str], SegmentedIndex] = {}
+
 
-_INDEXES: dict[tuple[str, str], I.TextIndex] = {}
+def build_index(spark: SparkSession, sf: str) -> SegmentedIndex:
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    return SegmentedIndex.build(documents(spark, sf).select("doc_id", "text"), folder)
 
 
-def text_index(spark: SparkSession, sf: str) -> I.TextIndex:
+def text_index(spark: SparkSession, sf: str) -> SegmentedIndex:
     """The documents' index, written once per application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        _INDEXES[key] = I.TextIndex.build(documents(spark, sf))
+        _INDEXES[key] = build_index(spark, sf)
     return _INDEXES[key]
 
 

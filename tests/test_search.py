@@ -9,6 +9,7 @@ from lectern.operators import index as I
 from lectern.operators import rerank as RR
 from lectern.operators import retrieval as R
 from lectern.operators import vectors as V
+from lectern.operators.segments import SegmentedIndex
 
 PASSAGES = [
     (0, "The harbour light burned all night. Ships found the harbour by its light."),
@@ -29,6 +30,13 @@ def index(docs):
     return I.TextIndex.build(docs, buckets=4)
 
 
+@pytest.fixture(scope="module", params=["joined", "shards"])
+def either(request, docs, index, tmp_path_factory):
+    if request.param == "joined":
+        return index
+    return SegmentedIndex.build(docs, str(tmp_path_factory.mktemp("segments")), shard_postings=6)
+
+
 def queries(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
 
@@ -49,9 +57,9 @@ def brute_bm25(query):
     return out
 
 
-def test_bm25_equals_brute_force_with_repeated_terms(spark, index):
+def test_bm25_equals_brute_force_with_repeated_terms(spark, either):
     asked = ["harbour light", "harbour harbour ships", "yeast", "nothing here"]
-    got = {(r["query_id"], r["doc_id"]): r["score"] for r in R.bm25(queries(spark, *asked), index).collect()}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in R.bm25(queries(spark, *asked), either).collect()}
     for i, text in enumerate(asked):
         for d, score in enumerate(brute_bm25(text)):
             assert got.get((i, d), 0.0) == pytest.approx(score)
@@ -163,18 +171,18 @@ def brute_hybrid(asked, rows, k, weight):
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 @pytest.mark.parametrize("weight", [0.5, 0.1, 0.9])
-def test_hybrid_candidates_equal_scoring_everything(spark, index, k, weight):
+def test_hybrid_candidates_equal_scoring_everything(spark, either, k, weight):
     rng = np.random.default_rng(k)
     rows = [(i, unit(rng, 4)) for i in (0, 1, 3, 77)]  # 2 and 4 lack a vector, 77 is stale
     asked = [(0, "harbour light", unit(rng, 4)), (1, "zebra", unit(rng, 4)), (2, "rain ships yeast harbour", unit(rng, 4))]
     q = spark.createDataFrame(asked, "query_id int, query string, embedding array<float>")
     corpus = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>")
-    got = R.hybrid_search(q, index, corpus, k, weight).collect()
+    got = R.hybrid_search(q, either, corpus, k, weight).collect()
     assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == brute_hybrid(asked, rows, k, weight)
 
 
-def test_hybrid_without_vectors_scores_unmatched_at_a_quarter(spark, index):
-    got = R.hybrid_search(queries(spark, "harbour", "zebra"), index, k=5).orderBy("query_id", "rank").collect()
+def test_hybrid_without_vectors_scores_unmatched_at_a_quarter(spark, either):
+    got = R.hybrid_search(queries(spark, "harbour", "zebra"), either, k=5).orderBy("query_id", "rank").collect()
     assert len(got) == 10
     assert got[0]["score"] == pytest.approx(0.75) and got[4]["score"] == pytest.approx(0.25)
     assert {r["score"] for r in got[5:]} == {0.5}
@@ -254,11 +262,13 @@ def test_eval_counts_missing_results_as_misses(spark):
     assert got == {"a": (1, 2, 0.5), "b": (0, 2, 0.0)}
 
 
-def test_random_hybrid_pruning(spark):
+@pytest.mark.parametrize("shards", [False, True])
+def test_random_hybrid_pruning(spark, tmp_path, shards):
     rng = random.Random(8)
     vocab = [f"term{i}" for i in range(12)]
     texts = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30)))) for i in range(80)]
-    ix = I.TextIndex.of(I.document_terms(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    ix = SegmentedIndex.build(docs, str(tmp_path), shard_postings=100) if shards else I.TextIndex.of(I.document_terms(docs))
     g = np.random.default_rng(1)
     corpus = spark.createDataFrame([(i, unit(g, 6)) for i in range(0, 80, 2)], "doc_id bigint, embedding array<float>")
     q = spark.createDataFrame([(i, " ".join(rng.sample(vocab, 3)), unit(g, 6)) for i in range(6)], "query_id int, query string, embedding array<float>")
