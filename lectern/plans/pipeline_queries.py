@@ -262,8 +262,11 @@ def _(spark, sf):
 
 # --- streams -----------------------------------------------------------------
 
-def as_stream(table: DataFrame, key: str, parts: int = 4) -> DataFrame:
-    """The table cut into files by ``key`` and read back as a stream, one file per batch."""
+def in_parts(table: DataFrame, key: str, start, parts: int = 4) -> None:
+    """The table arrives in ``parts`` batches cut by ``key``, each in as many files as Spark gives it.
+
+    ``start`` takes the stream and starts a query, which works off what is new and stops.
+    """
     spark = table.sparkSession
     folder = scratch(spark, "stream")
     table = materialize(table, "stream-input")
@@ -271,15 +274,15 @@ def as_stream(table: DataFrame, key: str, parts: int = 4) -> DataFrame:
     for i in range(parts):
         low = F.lit(True) if i == 0 else F.col(key) > cuts[i - 1]
         high = F.lit(True) if i == parts - 1 else F.col(key) <= cuts[i]
-        table.filter(low & high).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+        table.filter(low & high).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(table.schema).parquet(folder)).awaitTermination()
 
 
 @query("stream_study_progress", sql=PROGRESS_SQL + " FROM events WHERE event_type IN ('purchase', 'click') GROUP BY user_id")
 def _(spark, sf):
     folder = scratch(spark, "progress")
-    live = as_stream(read_table(spark, sf, "events"), "event_id")
-    jobs.stream_study_progress(activity(live), folder).awaitTermination()
+    in_parts(read_table(spark, sf, "events"), "event_id",
+             lambda live: jobs.stream_study_progress(activity(live), folder))
     return jobs.read_latest(spark, folder, "user_id").withColumn(
         "last_studied", F.date_format("last_studied", "yyyy-MM-dd HH:mm:ss"))
 
@@ -291,7 +294,7 @@ def _(spark, sf):
     ev = read_table(spark, sf, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     log = ev.select(F.col("user_id").alias("generation_id"), n.alias("tokens"), "event_id", (F.col("event_id") / 10).alias("elapsed"))
-    jobs.stream_throughput(as_stream(log, "event_id"), folder).awaitTermination()
+    in_parts(log, "event_id", lambda live: jobs.stream_throughput(live, folder))
     r = jobs.read_latest(spark, folder, "generation_id")
     return r.select("generation_id", "tokens", F.round("elapsed", 6).alias("elapsed"),
                     F.round("tokens_per_second", 6).alias("tokens_per_second"))
@@ -301,15 +304,17 @@ def _(spark, sf):
 def _(spark, sf):
     folder = scratch(spark, "stopping")
     log = TR.parse_training_log(log_lines(spark, sf)).select("run_id", "iteration", "valid_loss")
-    jobs.stream_early_stopping(as_stream(log, "iteration"), folder).awaitTermination()
+    in_parts(log, "iteration", lambda live: jobs.stream_early_stopping(live, folder))
     return jobs.read_latest(spark, folder, "run_id")
 
 
-@query("stream_ingest_chunks", sql=f"WITH {FOLD_SQL} SELECT doc_id, chunk_idx, text, section, chapter, word_count FROM chunks")
+@query("stream_ingest_chunks", sql=f"""WITH {PROCESS_SQL}
+SELECT doc_id, chunk_idx, text, section, chapter, preceding_context, {q.word_count('text')} AS word_count FROM done""")
 def _(spark, sf):
     folder = scratch(spark, "ingest")
-    jobs.stream_ingest(as_stream(marked_documents(spark, sf), "doc_id"), folder, TARGET).awaitTermination()
-    return jobs.ingested_chunks(spark, folder).select("doc_id", "chunk_idx", "text", "section", "chapter", "word_count")
+    in_parts(marked_documents(spark, sf), "doc_id", lambda live: jobs.stream_ingest(live, folder, TARGET))
+    return jobs.ingested_chunks(spark, folder).select(
+        "doc_id", "chunk_idx", "text", "section", "chapter", "preceding_context", "word_count")
 
 
 @query("stream_ingest_search", sql=f"""WITH {ASK_SQL}, {TOK_SQL}, {bm25_sql('asked')}
@@ -317,6 +322,6 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, {RANK} A
 def _(spark, sf):
     folder = scratch(spark, "ingest")
     docs = documents(spark, sf).select("doc_id", "source", "text")
-    jobs.stream_ingest(as_stream(docs, "doc_id"), folder, TARGET).awaitTermination()
+    in_parts(docs, "doc_id", lambda live: jobs.stream_ingest(live, folder, TARGET))
     return R.keyword_search(text_queries(spark, sf), jobs.ingested_index(spark, folder), 5).withColumn(
         "score", F.round("score", 6))

@@ -138,6 +138,19 @@ def _(spark, sf):
         "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("index_updates", sql=f"""WITH {ASK_SQL}, kept AS (SELECT * FROM documents WHERE doc_id % 7 <> 0),
+{TOK_SQL.replace('FROM documents', 'FROM kept')}, {bm25_sql('asked')}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, {RANK} AS rank FROM bm WHERE score > 0) WHERE rank <= 5""")
+def _(spark, sf):
+    # every third document is indexed under another text first, then all arrive, some are deleted, segments merge
+    docs = documents(spark, sf).select("doc_id", "text")
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = SegmentedIndex.build(docs.filter("doc_id % 3 = 0").select("doc_id", F.reverse("text").alias("text")), folder)
+    index = index.append(docs, "all").delete(docs.filter("doc_id % 7 = 0"), "sevenths")
+    index = index.merge(["s0", "all"], "merged")
+    return R.keyword_search(text_queries(spark, sf), index, 5).withColumn("score", F.round("score", 6))
+
+
 @query("minmax_normalize", sql=f"""WITH {ASK_SQL}, {TOK_SQL}, {bm25_sql('asked')}
 SELECT query_id, doc_id, round({scaled_sql('score')}, 6) AS norm FROM bm""")
 def _(spark, sf):

@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lectern.functions import constants as K
-from lectern.operators import chunking as C
-from lectern.operators import index as I
-from lectern.operators import structure as S
 from lectern.operators.generation import generation_throughput
+from lectern.operators.segments import SegmentedIndex
 from lectern.operators.study import study_progress
 from lectern.operators.training import Stopping
+from lectern.plans.ingest import process_documents
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -67,21 +67,21 @@ def stream_throughput(log: DataFrame, folder: str, trigger: dict | None = None)
 def stream_ingest(
     docs: DataFrame, folder: str, target: int = K.TARGET_WORDS, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Chunk arriving (doc_id, source, text) documents and extend chunk and index tables.
+    """Arriving (doc_id, source, text) documents become finished chunks and a segment of the index.
 
-    df, N and the average length are aggregated from the tables when the index is read,
-    so a batch never rewrites what earlier ones stored.  A document that arrives again replaces
-    its earlier rows when the tables are read; of two arrivals in one batch either may stay.
+    A batch runs the same steps on its documents as ``process_documents`` does on all, and appends one
+    segment to the index under ``folder``/index; small segments are merged as they pile up.  A document
+    that arrives again replaces its earlier chunks and postings; of two arrivals in one batch either
+    may stay.  A batch that is repeated after a failure overwrites its files.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["doc_id"]).persist()  # read twice below
-        els = batch.select("doc_id", "source", S.markdown_elements(F.col("text")).alias("elements"))
-        chunks = C.context_overlap(C.semantic_chunks(els, target))
-        chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
-        terms = I.document_terms(batch)
-        terms.write.mode("overwrite").parquet(f"{folder}/doc_terms/batch={batch_id}")
-        batch.unpersist()
+        spark, at = batch.sparkSession, f"batch={batch_id}"
+        batch.dropDuplicates(["doc_id"]).write.mode("overwrite").parquet(f"{folder}/arrived/{at}")
+        arrived = spark.read.schema(batch.schema).parquet(f"{folder}/arrived/{at}")
+        process_documents(arrived, target).write.mode("overwrite").parquet(f"{folder}/chunks/{at}")
+        index = ingested_index(spark, folder, batch.schema["doc_id"].dataType.simpleString())
+        index.append(arrived.select("doc_id", "text"), f"b{batch_id}").settle(f"m{batch_id}")
 
     return (
         docs.writeStream.foreachBatch(write)
@@ -89,18 +89,21 @@ def stream_ingest(
     )
 
 
-def _newest(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Rows of the last batch in which their document arrived."""
-    last = spark.read.parquet(f"{folder}/doc_terms").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{folder}/{table}").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
-
-
 def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _newest(spark, folder, "chunks")
+    """Chunks of the last batch in which their document arrived."""
+    last = spark.read.parquet(f"{folder}/arrived").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/chunks").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
-def ingested_index(spark: SparkSession, folder: str) -> I.TextIndex:
-    return I.TextIndex.of(_newest(spark, folder, "doc_terms"))
+def ingested_index(spark: SparkSession, folder: str, id_type: str = "bigint") -> SegmentedIndex:
+    """The index of all documents that have arrived; a new one before the first."""
+    path = f"{folder}/index"
+    try:
+        return SegmentedIndex.load(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return SegmentedIndex.create(spark, path, id_type)
 
 
 class EarlyStopping(StatefulProcessor):

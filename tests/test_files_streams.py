@@ -4,13 +4,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking as C
 from lectern.operators import retrieval as R
 from lectern.operators import study as S
-from lectern.operators import structure as ST
 from lectern.operators import training as TR
 from lectern.operators import index as I
 from lectern.sources import files as IO
+from lectern.plans.ingest import process_documents
 from lectern.streaming import jobs
 
 
@@ -105,17 +104,22 @@ def test_stream_early_stopping(spark, folder):
 
 
 def test_stream_ingest(spark, folder):
-    rows = [(i, "s", "# Head\n" + " ".join(f"w{j}x{i}" for j in range(60))) for i in range(20)]
+    # long, small and non-content passages, so that merging, filtering and repair all act on the batch
+    body = [" ".join(f"w{j}x{i}" for j in range(60)) + "." for i in range(20)]
+    rows = [(i, "s", f"# Head\n{t}\n\n# Next\nshort one.\n\n# Copyright\nAll rights reserved isbn {i}") for i, t in enumerate(body)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     jobs.stream_ingest(stream(spark, df, folder, 2, "doc_id"), folder, 100).awaitTermination()
-    els = df.select("doc_id", "source", ST.markdown_elements(F.col("text")).alias("elements"))
-    batch = C.context_overlap(C.semantic_chunks(els, 100))
-    live = spark.read.parquet(folder + "/chunks").drop("batch")
+    batch = process_documents(df, 100)
+    live = jobs.ingested_chunks(spark, folder)
     assert sorted(map(str, live.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
     asked = spark.createDataFrame([(1, "w5x3 head")], "query_id int, query string")
     whole = I.TextIndex.of(I.document_terms(df))
-    rank = lambda ix: [tuple(r) for r in R.keyword_search(asked, ix, 5).orderBy("rank").collect()]
-    assert rank(jobs.ingested_index(spark, folder)) == rank(whole)
+    rank = lambda ix: [(r["doc_id"], round(r["score"], 9)) for r in R.keyword_search(asked, ix, 5).orderBy("rank").collect()]
+    index = jobs.ingested_index(spark, folder)
+    assert rank(index) == rank(whole) and set(index.segments) == {"b0", "b1"}
+    postings = lambda ix: sorted(map(tuple, ix.postings.select("term", "doc_id", "tf", "dl").collect()))
+    assert postings(index) == postings(whole)
+    assert postings(index.merge(["b0", "b1"], "m")) == postings(whole)
 
 
 def test_stream_corpus(spark, folder):
