@@ -2,9 +2,10 @@
 
 Folds run inside the document row and carry sentence numbers, not text: a chunk
 is always a contiguous range of the document's sentences, so the text is cut
-once at the end and the fold state stays a few integers.  Only the neighbour
-operators (overlap, merge) need rows of one document side by side; they share
-one exchange on ``doc_id``.
+once at the end and the fold state stays a few integers.  The neighbour operators
+(overlap, merge) come twice: ``overlapped`` and ``merged`` work on the chunk array inside the
+document row and need no exchange; ``context_overlap`` and ``merge_small_chunks`` do the same for
+chunk tables, whose rows of one document have to be brought side by side.
 """
 
 from __future__ import annotations
@@ -358,6 +359,67 @@ def merge_small_chunks(chunks: DataFrame, min_words: int) -> DataFrame:
     return merged.filter((F.col("word_count") >= min_words // 2) | (F.col("_n") == 1)).drop("_n")
 
 
+_ROW = ["chunk_idx", "id", "text", "page", "section", "chapter", "start_index", "end_index",
+        "sentence_count", "word_count", "preceding_context", "following_context"]
+
+
+def _row(given: Column, **changed: Column) -> Column:
+    """A chunk of the array with some fields changed."""
+    return F.struct(*[changed.get(c, given[c]).alias(c) for c in _ROW])
+
+
+def finalized(cut: Column, source: Column) -> Column:
+    """``finalize_chunks`` for the array that ``chunk_array`` gives."""
+    none = F.lit(None).cast("string")
+    return F.transform(cut, lambda c: F.struct(
+        c["end_index"].alias("chunk_idx"),
+        F.concat_ws("_", F.replace(source, F.lit(" "), F.lit("_")), c["end_index"].cast("string")).alias("id"),
+        *[c[x].alias(x) for x in ("text", "page", "section", "chapter", "start_index", "end_index")],
+        T.sentence_count(c["text"]).alias("sentence_count"), T.word_count(c["text"]).alias("word_count"),
+        none.alias("preceding_context"), none.alias("following_context")))
+
+
+def overlapped(chunks: Column, n: int = K.OVERLAP_SENTENCES) -> Column:
+    """``context_overlap`` inside the document's chunk array."""
+    def put(cs, edges):
+        return F.transform(cs, lambda c, i: _row(
+            c, preceding_context=F.coalesce(F.get(edges, i - 1)["tail"], c["preceding_context"]),
+            following_context=F.coalesce(F.get(edges, i + 1)["head"], c["following_context"])))
+
+    def with_edges(cs):
+        edges = F.transform(cs, lambda c: T.let(edge_sentences(c["text"], n), lambda e: F.struct(
+            e["head"].alias("head"), e["tail"].alias("tail"))))
+        return T.let(edges, lambda e: put(cs, e))
+
+    return T.let(chunks, with_edges)
+
+
+def merged(chunks: Column, min_words: int) -> Column:
+    """``merge_small_chunks`` inside the document's chunk array."""
+    def known(part, name):
+        return F.get(F.filter(F.transform(part, lambda c: c[name]), lambda x: x.isNotNull()), F.lit(0))
+
+    def island(part):
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        text = F.array_join(F.transform(part, lambda c: c["text"]), "\n\n")
+        return T.let(text, lambda t: _row(
+            first, text=t, section=known(part, "section"), chapter=known(part, "chapter"),
+            end_index=last["end_index"], following_context=last["following_context"],
+            sentence_count=_sum(F.transform(part, lambda c: c["sentence_count"])), word_count=T.word_count(t)))
+
+    def fold(cs):
+        numbers = F.transform(cs, lambda c, i: F.when((i == 0) | (c["word_count"] >= min_words), i))
+
+        def cut(starts):
+            grown = F.transform(starts, lambda s, j: island(F.slice(
+                cs, s + 1, F.coalesce(F.get(starts, j + 1), F.size(cs)) - s)))
+            return F.filter(grown, lambda c: (c["word_count"] >= min_words // 2) | (F.size(cs) == 1))
+
+        return T.let(F.array_compact(numbers), cut)
+
+    return T.let(chunks, fold)
+
+
 def starts_mid_sentence(text: Column) -> Column:
     return T.starts_lower(T.strip(text))
 
@@ -372,17 +434,23 @@ def repair_mid_sentence(chunks: DataFrame) -> DataFrame:
     Adds ``was_merged`` and ``was_marked``; what still starts mid-sentence gets a
     ``[...]`` prefix.  Counts are taken again.
     """
-    body, before = T.strip(F.col("text")), T.strip(F.col("preceding_context"))
-    merge = starts_mid_sentence(body) & F.coalesce(before != "", F.lit(False))
-    glued = F.concat(before, F.lit(" "), body)
-    glued = F.replace(glued, F.lit("  "), F.lit(" "))
-    glued = F.replace(glued, F.lit("\n "), F.lit("\n"))
-    fixed = chunks.withColumn("was_merged", merge).withColumn(
-        "text", F.when(merge, glued).otherwise(body)
-    ).withColumn("was_marked", starts_mid_sentence(F.col("text"))).withColumn(
-        "text", F.when(F.col("was_marked"), F.concat(F.lit("[...] "), F.col("text")))
-        .otherwise(F.col("text"))
-    )
+    both = F.struct(T.strip(F.col("text")).alias("body"), T.strip(F.col("preceding_context")).alias("before"))
+
+    def join(b):
+        merge = T.starts_lower(b["body"]) & F.coalesce(b["before"] != "", F.lit(False))
+        glued = F.concat(b["before"], F.lit(" "), b["body"])
+        glued = F.replace(glued, F.lit("  "), F.lit(" "))
+        glued = F.replace(glued, F.lit("\n "), F.lit("\n"))
+        return F.struct(merge.alias("merged"), F.when(merge, glued).otherwise(b["body"]).alias("text"))
+
+    def mark(j):
+        marked = starts_mid_sentence(j["text"])
+        text = F.when(marked, F.concat(F.lit("[...] "), j["text"])).otherwise(j["text"])
+        return F.struct(j["merged"].alias("was_merged"), marked.alias("was_marked"), text.alias("text"))
+
+    fixed = chunks.withColumn("_r", T.let(both, lambda b: T.let(join(b), mark)))
+    cols = [F.col("_r.text").alias("text") if c == "text" else F.col(c) for c in chunks.columns]
+    fixed = fixed.select(*cols, "_r.was_merged", "_r.was_marked")
     return fixed.withColumn("sentence_count", T.sentence_count(F.col("text"))).withColumn(
         "word_count", T.word_count(F.col("text"))
     )

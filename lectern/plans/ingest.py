@@ -16,20 +16,33 @@ from lectern.operators import parsing as X
 from lectern.operators import structure as S
 
 
+def merged_arrays(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:
+    """(doc_id, source, chunks): elements, chunks with overlap, small ones merged, in the row of each document."""
+    elements = S.markdown_elements(F.col("text"))
+    chunks = C.finalized(C.chunk_array(elements, target), F.col("source"))
+    return docs.select(
+        "doc_id", "source", C.merged(C.overlapped(chunks), C.sizes(target)[1]).alias("chunks"))
+
+
+def _rows(arrays: DataFrame) -> DataFrame:
+    return arrays.select("doc_id", "source", F.inline("chunks")).select(*C.CHUNK_COLUMNS)
+
+
 def merged_chunks(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:
-    """Elements, chunks with overlap, small chunks merged; docs are (doc_id, source, text)."""
-    els = docs.select("doc_id", "source", S.markdown_elements(F.col("text")).alias("elements"))
-    chunks = C.context_overlap(C.semantic_chunks(els, target))
-    return C.merge_small_chunks(chunks, C.sizes(target)[1])
+    """Chunks of (doc_id, source, text) documents after merging, a row each; no exchange."""
+    return _rows(merged_arrays(docs, target))
 
 
-def process_documents(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:
-    """Fast mode: filter, overlap again, repair and add key terms.
+def finished_chunks(arrays: DataFrame) -> DataFrame:
+    """Merged chunk arrays filtered, overlapped again, repaired and given key terms, a row per chunk."""
+    content = F.filter("chunks", lambda c: L.drop_reason(c["text"], c["word_count"]).isNull())
+    kept = arrays.withColumn("chunks", C.overlapped(content))
+    return M.with_key_terms(C.repair_mid_sentence(_rows(kept)))
+
 
-    All neighbour steps work per document, so the plan has one exchange on doc_id.
-    """
-    kept = L.filter_noncontent(merged_chunks(docs, target))
-    return M.with_key_terms(C.repair_mid_sentence(C.context_overlap(kept)))
+def process_documents(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:
+    """Fast mode: all steps from text to finished chunks run in the row of the document; no exchange."""
+    return finished_chunks(merged_arrays(docs, target))
 
 
 def summarize_documents(docs: DataFrame, fn: Callable, target: int = K.TARGET_WORDS) -> DataFrame:

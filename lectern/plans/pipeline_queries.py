@@ -81,8 +81,9 @@ def _(spark, sf):
 SELECT (SELECT count(*) FROM mrg) - count(*) AS chunks_filtered, count(*) AS total_chunks, sum({q.word_count('text')})::BIGINT AS total_words,
   sum(was_merged::INT)::BIGINT AS chunks_merged_context, sum(was_marked::INT)::BIGINT AS chunks_marked_continuation FROM done""")
 def _(spark, sf):
-    before = ingest.merged_chunks(marked_documents(spark, sf), TARGET).count()
-    return M.processing_stats(processed(spark, sf), before).select(
+    arrays = materialize(ingest.merged_arrays(marked_documents(spark, sf), TARGET), "merged")  # read twice
+    before = arrays.agg(F.sum(F.size("chunks"))).first()[0]
+    return M.processing_stats(ingest.finished_chunks(arrays), before).select(
         "chunks_filtered", "total_chunks", "total_words", "chunks_merged_context", "chunks_marked_continuation")
 
 

@@ -254,3 +254,32 @@ def test_stats_of_nothing(spark):
     empty = chunk_rows(spark, [1]).filter("false")
     row = M.processing_stats(empty).first()
     assert (row["total_chunks"], row["avg_chunk_length"], row["section_percent"]) == (0, 0.0, 0)
+
+
+def test_steps_in_the_document_row_equal_those_on_tables(spark):
+    import random
+
+    from lectern.operators import filters as L
+    from lectern.operators import structure as S
+    from lectern.plans import ingest
+
+    r = random.Random(6)
+
+    def text():
+        parts = []
+        for _ in range(r.randrange(0, 9)):
+            parts.append(r.choice(["# Chapter One", "## Part", "ISBN all rights reserved. Copyright notice.", ""]))
+            parts.append(" ".join(r.choice(["sea", "Ship.", "and", "Light!", "old", "(1999)"]) for _ in range(r.randrange(0, 90))))
+        return "\n\n".join(parts)
+
+    docs = spark.createDataFrame([(i, f"s {i % 3}", text()) for i in range(60)] + [(60, "s", ""), (61, None, "a b")],
+                                 "doc_id bigint, source string, text string")
+    els = docs.select("doc_id", "source", S.markdown_elements(F.col("text")).alias("elements"))
+    tables = C.merge_small_chunks(C.context_overlap(C.semantic_chunks(els, 60)), C.sizes(60)[1])
+    rows = lambda df: sorted(map(repr, df.select(*C.CHUNK_COLUMNS).collect()))
+    assert rows(ingest.merged_chunks(docs, 60)) == rows(tables)
+    done = C.repair_mid_sentence(C.context_overlap(L.filter_noncontent(tables)))
+    whole = ingest.process_documents(docs, 60)
+    assert rows(whole) == rows(done) and len(rows(done)) > 20
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
