@@ -28,7 +28,7 @@ from lectern.sources.tables import Scratch
 #: two tables stands for the counters that agree in the first 26.
 COUNTER_BITS, BUCKET_BITS, TABLE_BITS = 32, 10, 26
 #: Bytes of text that are split into words at once, and suffixes of one group in a task.
-CHUNK_BYTES, GROUP_ROWS = 16 << 20, 500_000
+CHUNK_BYTES, GROUP_ROWS = 5 << 20, 500_000
 _LOWER = bytes(range(ord("A"), ord("Z") + 1))
 #: Characters that end a piece; a blank is written for a tab, a line feed for the others.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
