@@ -107,17 +107,16 @@ def cells(vectors: DataFrame, depth: int, tables: int, threshold: float) -> Data
 
 def collisions(projections: np.ndarray, half: float, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Per pair (left, right): on how many directions right lies in the window centred at left."""
-    counts = np.zeros((len(left), len(right)), np.int16)
+    counts, places = np.zeros((len(left), len(right)), np.int8), np.arange(len(right), dtype=np.uint32)
     for k in range(projections.shape[1]):
         mine, other = projections[left, k], projections[right, k]
         order = np.argsort(other, kind="stable")
-        lo = np.searchsorted(other[order], mine - half, "left")
-        hi = np.searchsorted(other[order], mine + half, "right")
-        step = np.zeros((len(left), len(right) + 1), np.int16)  # +1 where a window starts, -1 after it
-        rows = np.arange(len(left))
-        np.add.at(step, (rows, lo), 1)
-        np.add.at(step, (rows, hi), -1)
-        counts[:, order] += np.cumsum(step[:, :-1], 1, dtype=np.int16)
+        ranked, place = other[order], np.empty(len(right), np.uint32)
+        place[order] = places
+        lo = np.searchsorted(ranked, mine - half, "left").astype(np.uint32)
+        hi = np.searchsorted(ranked, mine + half, "right").astype(np.uint32)
+        # the window is the stretch [lo, hi) of places; a place before it wraps around to a large number
+        counts += (place[None, :] - lo[:, None]) < (hi - lo)[:, None]
     return counts
 
 
