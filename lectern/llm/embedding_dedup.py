@@ -15,6 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def tables_for(rows: int, threshold: float, target: float) -> tuple[int, int]:
 
 
 def unit(vectors) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = vectors if isinstance(vectors, np.ndarray) else np.array([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -173,13 +174,20 @@ def count_links(celled: DataFrame, threshold: float, target: float) -> DataFrame
         F.when(F.col("nb") == 1, F.pmod(group, F.lit(packs))).otherwise(group).alias("pack"))
 
     def run(found: pa.Table) -> pa.Table:
-        rows, out = found.to_pandas().sort_values(["table", "cell", "label", "rep"], ignore_index=True), []
-        rows["dim"] = rows["embedding"].map(len)
-        for (table, _, _, _), g in rows.groupby(["table", "cell", "label", "dim"], sort=False, dropna=False):
+        vectors, keys = found.column("embedding").combine_chunks(), found.column("cells").combine_chunks()
+        keys = keys.flatten().to_numpy().reshape(found.num_rows, -1)
+        rows, out = found.select(["rep", "label", "copies", "table", "cell", "side"]).to_pandas(), []
+        rows["dim"], rows["at"] = pc.list_value_length(vectors).to_numpy(), np.arange(len(rows))
+        matrices, place = {}, np.zeros(len(rows), np.int64)
+        for dim, at in rows.groupby("dim")["at"]:
+            matrices[dim] = unit(vectors.take(pa.array(at.to_numpy())).flatten().to_numpy().reshape(len(at), dim))
+            place[at.to_numpy()] = np.arange(len(at))
+        rows = rows.sort_values(["table", "cell", "label", "rep"], ignore_index=True)
+        for (table, _, _, dim), g in rows.groupby(["table", "cell", "label", "dim"], sort=False, dropna=False):
             if len(g) < 2:
                 continue
-            i, j = linked(unit(g["embedding"]), np.stack(g["cells"].to_numpy()), table,
-                          g["side"].to_numpy(), half, least, threshold)
+            at = g["at"].to_numpy()
+            i, j = linked(matrices[dim][place[at]], keys[at], table, g["side"].to_numpy(), half, least, threshold)
             if len(i):
                 copies, ids = g["copies"].to_numpy(), g["rep"].to_numpy()
                 weight = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
