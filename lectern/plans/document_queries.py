@@ -24,18 +24,22 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
+#: Numbers of passages within a document; passage i of a document is doc_id * STEP + i.
+STEP = 1_000_000_000
+
+
 def passages(spark: SparkSession, sf: str, size: int) -> DataFrame:
     """Documents cut into stretches of ``size`` words, so that every word is in one item."""
     w = T.words(F.col("text"))
     last = F.greatest(F.ceil(F.size("w") / size), F.lit(1)).cast("int") - 1
     cut = documents(spark, sf).select("doc_id", "lang", "source", w.alias("w"))
     return cut.select("*", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
-        (F.col("doc_id") * 100_000 + F.col("i")).alias("doc_id"), "lang", "source",
+        (F.col("doc_id") * STEP + F.col("i")).alias("doc_id"), "lang", "source",
         F.array_join(F.slice("w", F.col("i") * size + 1, size), " ").alias("text"))
 
 
 def passages_sql(size: int) -> str:
-    return (f"(SELECT doc_id * 100000 + i AS doc_id, lang, source, array_to_string(w[i * {size} + 1:(i + 1) * {size}], ' ') AS text "
+    return (f"(SELECT doc_id * {STEP} + i AS doc_id, lang, source, array_to_string(w[i * {size} + 1:(i + 1) * {size}], ' ') AS text "
             f"FROM (SELECT *, unnest(range(greatest(1, ceil(len(w) / {size})::INT))) AS i FROM "
             f"(SELECT doc_id, lang, source, {q.words('text')} AS w FROM documents)))")
 

@@ -14,7 +14,7 @@ from lectern.functions import text as T
 from lectern.operators import study as S
 from lectern.operators import training as R
 from lectern.plans import sqltext as q
-from lectern.plans.document_queries import documents, passages, passages_sql
+from lectern.plans.document_queries import STEP, documents, passages, passages_sql
 from lectern.plans.question_queries import level_of, render_sql
 from lectern.plans.registry import query
 from lectern.sources.tables import read_table
@@ -177,19 +177,20 @@ def _(spark, sf):
 # --- study -------------------------------------------------------------------
 
 def quiz_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Documents of a source form a quiz; labelled documents are answered."""
-    docs = documents(spark, sf)
-    questions = docs.select(
-        F.col("source").alias("quiz_id"), F.col("doc_id").alias("question_id"),
-        F.slice(T.words(F.col("text")), 1, 4).alias("options"), (F.col("doc_id") % 4).cast("int").alias("correct_index"))
-    answers = read_table(spark, sf, "labels").join(docs.select("doc_id", "source"), "doc_id").select(
-        F.col("source").alias("quiz_id"), F.col("doc_id").alias("question_id"),
-        ((F.col("doc_id") + 1 - F.col("quality")) % 4).cast("int").alias("user_answer"))
+    """Passages of four words, the options, of a source form a quiz; those of labelled documents are answered."""
+    asked = passages(spark, sf, 4)
+    n = F.col("doc_id")
+    questions = asked.select(
+        F.col("source").alias("quiz_id"), n.alias("question_id"), T.words(F.col("text")).alias("options"),
+        (n % 4).cast("int").alias("correct_index"))
+    labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("of"), "quality")
+    answers = asked.withColumn("of", F.expr(f"doc_id div {STEP}")).join(labels, "of").select(
+        F.col("source").alias("quiz_id"), n.alias("question_id"), ((n + 1 - F.col("quality")) % 4).cast("int").alias("user_answer"))
     return questions, answers
 
 
-QUIZ_SQL = f"""qs AS (SELECT source AS quiz_id, doc_id AS question_id, {q.words('text')}[1:4] AS options, doc_id % 4 AS correct_index FROM documents),
-ans AS (SELECT doc_id AS question_id, (doc_id + 1 - quality) % 4 AS user_answer FROM labels),
+QUIZ_SQL = f"""qs AS (SELECT source AS quiz_id, doc_id AS question_id, {q.words('text')} AS options, doc_id % 4 AS correct_index FROM {passages_sql(4)}),
+ans AS (SELECT question_id, (question_id + 1 - quality) % 4 AS user_answer FROM qs JOIN labels ON labels.doc_id = question_id // {STEP}),
 qa AS (SELECT qs.*, user_answer FROM qs LEFT JOIN ans USING (question_id))"""
 
 
