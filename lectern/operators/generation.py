@@ -12,6 +12,7 @@ from lectern.functions import constants as K
 from lectern.functions import prompts as P
 from lectern.functions import text as T
 from lectern.operators.ranking import ranked
+from lectern.sources.tables import materialize
 
 GENERATION_SCHEMA = "prompt_id string, attempt int, seq int, raw string"
 
@@ -108,6 +109,33 @@ def generate(
     ).mapInPandas(fn, GENERATION_SCHEMA)
 
 
+LOG_SCHEMA = "digest string, attempt int, seq int, raw string"
+
+
+def generate_once(prompts: DataFrame, fn: Callable, folder: str, wave: int = 0, parts: int = 1) -> DataFrame:
+    """``generate`` through a log of replies under ``folder``: what it holds is not asked again.
+
+    Replies are kept under a digest of the prompt's texts and ``wave``, so equal prompts are asked once, and a
+    run that is repeated, or goes on after a failure, asks only for what is missing.  The log grows
+    by one append per part; a part that fails leaves nothing.  A prompt without any reply is asked again by the
+    next run.  One run writes to a log at a time.
+    """
+    spark = prompts.sparkSession
+    whole = F.concat_ws("\u0000", F.lit(str(wave)), F.coalesce("system", F.lit("")), F.coalesce("user", F.lit("")))
+    asked = materialize(prompts.select(
+        F.col("prompt_id").cast("string"), "system", "user", F.sha2(whole, 256).alias("digest")), "prompts")
+    spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(folder)  # a folder to read from
+    for part in range(parts):
+        mine = asked.filter(F.pmod(F.xxhash64("digest"), F.lit(parts)) == part).dropDuplicates(["digest"])
+        held = spark.read.schema(LOG_SCHEMA).parquet(folder).select("digest").distinct()
+        missing = materialize(mine.join(held, "digest", "left_anti"), "missing")
+        if not missing.isEmpty():
+            told = generate(missing.withColumn("prompt_id", F.col("digest")), fn)
+            told.select(F.col("prompt_id").alias("digest"), "attempt", "seq", "raw").write.mode("append").parquet(folder)
+    log = spark.read.schema(LOG_SCHEMA).parquet(folder)
+    return asked.select("prompt_id", "digest").join(log, "digest").select("prompt_id", "attempt", "seq", "raw")
+
+
 def mcq_preamble(questions: DataFrame) -> DataFrame:
     """Add ``system`` for a talk about an answered question.
 

@@ -129,16 +129,28 @@ replies AS (SELECT doc_id, source, text, seq // 3 AS attempt, seq, doc_id || ':'
   'correctIndex', seq % 4, 'explanation', 'It stands in the content given.')::VARCHAR AS raw FROM stub)"""
 
 
-@query("make_questions", sql=f"""WITH {STUB_SQL}, {MCQ_SQL}, {VALID_SQL}, {SCORE_SQL},
+QUESTIONS_MADE_SQL = f"""WITH {STUB_SQL}, {MCQ_SQL}, {VALID_SQL}, {SCORE_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN self_containment >= 4 THEN 0 ELSE 1 END,
   CASE WHEN self_containment >= 4 THEN 0 ELSE -pref END, attempt, seq) AS rn FROM scored WHERE is_valid AND self_containment >= 2)
 SELECT doc_id::VARCHAR AS chunk_id, attempt, seq, source, question, array_to_string(options, '|') AS options, correct_index, explanation,
-  self_containment, 'medium' AS difficulty FROM r WHERE rn = 1""")
+  self_containment, 'medium' AS difficulty FROM r WHERE rn = 1"""
+
+
+@query("make_questions", sql=QUESTIONS_MADE_SQL)
 def _(spark, sf):
     made = questions.make_questions(pieces(spark, sf), stub_model, "medium")
     return made.withColumn("options", F.array_join("options", "|")).drop("reply_id")
 
 
+@query("make_questions_again", sql=QUESTIONS_MADE_SQL)
+def _(spark, sf):
+    # a first run sees half of the sources; the second, over all, asks for the other half alone
+    every, log = pieces(spark, sf), scratch(spark, "log")
+    questions.make_questions(every.filter(F.pmod(F.xxhash64("source"), F.lit(2)) == 0), stub_model, "medium", log=log)
+    made = questions.make_questions(every, stub_model, "medium", log=log)
+    return made.withColumn("options", F.array_join("options", "|")).drop("reply_id")
+
+
 @query("make_training_set", sql=f"""WITH {STUB_SQL}, {DECODE_SQL},
 first AS (SELECT *, doc_id || '-' || question[1:20] AS id FROM dec WHERE seq = 0 AND len(options) = 4 AND len(list_distinct(options)) = 4
   AND idx BETWEEN 0 AND 3 AND length(question) > 20),

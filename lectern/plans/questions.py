@@ -20,16 +20,24 @@ from lectern.sources.tables import materialize
 WAVE = 100
 
 
+def _replies(prompts: DataFrame, fn: Callable, log: str | None, wave: int = 0) -> DataFrame:
+    """Written replies: of this run, or those of a log with what it lacks."""
+    if log is None:
+        return materialize(G.generate(prompts, fn), "replies")
+    return G.generate_once(prompts, fn, log, wave)
+
+
 def make_questions(
     chunks: DataFrame, fn: Callable, difficulty: str, count: int | None = None,
-    few_shot: int = 3, seed: str = "quiz", waves: int = 2,
+    few_shot: int = 3, seed: str = "quiz", waves: int = 2, log: str | None = None,
 ) -> DataFrame:
     """One accepted question per chunk (id, source, text): prompt, generate, parse, choose.
 
     ``fn`` may return several (attempt, seq) replies per prompt.  The replies are written
     before they are used, so a lost executor never asks the model again for finished work.
     Prompts without an accepted question are asked once more per further wave, and only they;
-    the attempts of a wave count on from ``wave * WAVE``.
+    the attempts of a wave count on from ``wave * WAVE``.  With ``log``, a folder, replies outlive the run and
+    are not asked for again.
     """
     picked = chunks if count is None else G.sample_chunks(chunks, count, seed)
     examples = G.few_shot_blocks(G.gold_examples(chunks.sparkSession), few_shot)
@@ -42,7 +50,7 @@ def make_questions(
             done = best.select("prompt_id")
             prompts = prompts.withColumn("prompt_id", F.col("prompt_id").cast("string")).join(
                 done, "prompt_id", "left_anti")
-        replies = materialize(G.generate(prompts, fn), "replies").withColumn(
+        replies = _replies(prompts, fn, log, wave).withColumn(
             "attempt", F.col("attempt") + wave * WAVE)
         keyed = replies.join(texts, "prompt_id").withColumn("reply_id", F.concat_ws(
             ":", "prompt_id", F.col("attempt").cast("string"), F.col("seq").cast("string")))
@@ -52,12 +60,13 @@ def make_questions(
 
 
 def make_open_questions(
-    chunks: DataFrame, fn: Callable, difficulty: str, count: int | None = None, seed: str = "open"
+    chunks: DataFrame, fn: Callable, difficulty: str, count: int | None = None, seed: str = "open",
+    log: str | None = None,
 ) -> DataFrame:
     """Open questions with ideal answers, at most one per chunk (id, source, text)."""
     picked = chunks if count is None else G.sample_chunks(chunks, count, seed)
     prompts = G.build_prompts(picked, "open", F.lit(difficulty)).withColumn("prompt_id", F.col("id"))
-    replies = materialize(G.generate(prompts, fn), "replies")
+    replies = _replies(prompts, fn, log)
     first = replies.groupBy("prompt_id").agg(F.min_by("raw", F.struct("attempt", "seq")).alias("raw"))
     sourced = first.join(picked.select(F.col("id").alias("prompt_id"), "source", "text"), "prompt_id")
     return X.parse_open_ended(sourced).withColumnRenamed("prompt_id", "chunk_id")
@@ -103,12 +112,12 @@ def make_role_tag_set(
 
 
 def make_training_set(
-    chunks: DataFrame, fn: Callable, ratio: float = 0.8, seed: str = "train"
+    chunks: DataFrame, fn: Callable, ratio: float = 0.8, seed: str = "train", log: str | None = None,
 ) -> DataFrame:
     """(id, split, text): one example per chunk, strict parse, dedup, split and chat format."""
     levelled = R.assign_difficulty(chunks, seed)
     prompts = G.build_prompts(levelled, "training", F.col("difficulty")).withColumn("prompt_id", F.col("id"))
-    replies = materialize(G.generate(prompts, fn), "replies")
+    replies = _replies(prompts, fn, log)
     first = replies.groupBy("prompt_id").agg(F.min_by("raw", F.struct("attempt", "seq")).alias("raw"))
     sourced = first.join(
         levelled.select(F.col("id").alias("prompt_id"), "source", "difficulty"), "prompt_id")

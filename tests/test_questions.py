@@ -358,3 +358,32 @@ def test_hops_over_vectors_need_an_embedding_hook(spark):
     from lectern.operators import rerank as RR
     with pytest.raises(ValueError):
         RR.multi_hop(None, None, None, corpus=spark.range(1))
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    def hook(tag):
+        def fn(batches):
+            for pdf in batches:
+                if tag is None and len(pdf):
+                    raise RuntimeError("asked again")
+                rows = [(p, 0, s, f"{tag} {u} {s}") for p, u in zip(pdf["prompt_id"], pdf["user"]) for s in (0, 1)]
+                yield pd.DataFrame(rows, columns=["prompt_id", "attempt", "seq", "raw"])
+        return fn
+
+    def prompts(*users):
+        return spark.createDataFrame([(str(i), "s", u) for i, u in enumerate(users)], "prompt_id string, system string, user string")
+
+    def told(df):
+        return sorted(map(tuple, df.collect()))
+
+    log = str(tmp_path / "log")
+    first = told(G.generate_once(prompts("a", "b", "a"), hook("one"), log))
+    assert [r[0] for r in first] == ["0", "0", "1", "1", "2", "2"] and len({r[3] for r in first}) == 4
+    assert told(G.generate_once(prompts("a", "b", "a"), hook(None), log)) == first  # the model is not called
+    more = told(G.generate_once(prompts("b", "c"), hook("two"), log, parts=3))
+    assert [r[3] for r in more] == ["one b 0", "one b 1", "two c 0", "two c 1"]
+    assert [r[3] for r in told(G.generate_once(prompts("a"), hook("wave"), log, wave=1))] == ["wave a 0", "wave a 1"]
+    assert told(G.generate_once(prompts(), hook(None), log)) == []
+    with pytest.raises(Exception, match="asked again"):
+        told(G.generate_once(prompts("z"), hook(None), log))
+    assert told(G.generate_once(prompts("z"), hook("late"), log))[0][3] == "late z 0"
