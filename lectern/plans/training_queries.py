@@ -1,6 +1,6 @@
 """Registered queries over training sets and study results.
 
-Every document is one example: its opening words are the question, its next words the options.
+Every passage of a document is one example: its first words are the question, its last the options.
 Events stand for training reports and study activity.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
+from lectern.operators import stopping
 from lectern.operators import study as S
 from lectern.operators import training as R
 from lectern.plans import sqltext as q
@@ -163,7 +164,7 @@ SELECT run_id, best AS best_loss, best_iteration, patience AS patience_counter,
 
 @query("early_stopping", sql=EARLY_SQL)
 def _(spark, sf):
-    return R.early_stopping(R.parse_training_log(log_lines(spark, sf)))
+    return stopping.early_stopping(R.parse_training_log(log_lines(spark, sf)))
 
 
 @query("training_progress", sql="""WITH t AS (SELECT event_id, user_id, event_id % 7 AS done, user_id % 5 AS total FROM events)

@@ -15,7 +15,7 @@ from lectern.functions import constants as K
 from lectern.operators.generation import generation_throughput
 from lectern.operators.segments import SegmentedIndex
 from lectern.operators.study import study_progress
-from lectern.operators.training import Stopping
+from lectern.operators.stopping import Stopping
 from lectern.plans.ingest import process_documents
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

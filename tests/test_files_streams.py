@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import retrieval as R
+from lectern.operators import stopping
 from lectern.operators import study as S
 from lectern.operators import training as TR
 from lectern.operators import index as I
@@ -100,7 +101,7 @@ def test_stream_early_stopping(spark, folder):
     df = spark.createDataFrame(rows, "run_id bigint, iteration bigint, valid_loss double")
     jobs.stream_early_stopping(stream(spark, df, folder, 3, "iteration"), folder).awaitTermination()
     live = jobs.read_latest(spark, folder, "run_id")
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, TR.early_stopping(df).collect()))
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, stopping.early_stopping(df).collect()))
 
 
 def test_stream_ingest(spark, folder):

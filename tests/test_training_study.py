@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import stopping
 from lectern.operators import study as S
 from lectern.operators import training as R
 
@@ -82,7 +83,7 @@ def test_early_stopping_is_a_fold(spark):
     runs += [[round(rng.uniform(0, 1), 3) for _ in range(rng.randint(1, 40))] for _ in range(20)]
     rows = [(r, i, x) for r, xs in enumerate(runs) for i, x in enumerate(xs, 1)]
     rng.shuffle(rows)
-    got = R.early_stopping(spark.createDataFrame(rows, "run_id int, iteration int, valid_loss double")).collect()
+    got = stopping.early_stopping(spark.createDataFrame(rows, "run_id int, iteration int, valid_loss double")).collect()
     for r in got:
         assert tuple(r)[1:] == brute_stop(runs[r["run_id"]]), r
 
@@ -92,7 +93,7 @@ def test_early_stopping_on_one_long_run(spark):
     losses = [round(2 + rng.uniform(0, 1) + 1000 / (i + 1), 4) for i in range(5000)]
     df = spark.createDataFrame([(1, i * 50, x) for i, x in enumerate(losses, 1)], "run_id int, iteration int, valid_loss double")
     best, at, left, stop = brute_stop(losses)
-    assert tuple(R.early_stopping(df).first())[1:] == (best, at * 50, left, stop * 50 if stop else None)
+    assert tuple(stopping.early_stopping(df).first())[1:] == (best, at * 50, left, stop * 50 if stop else None)
 
 
 def test_ranks_over_parts_equal_plain_ranks(spark):
@@ -168,7 +169,7 @@ def test_early_stopping_reads_every_report(spark):
     falling = [10 - 0.01 * i for i in range(1, 400)]
     runs = [[nan, *falling], [1.0, nan, 0.5, nan, 0.4], [nan] * 7, [inf, *falling], [0.9, -inf, 0.1]]
     rows = [(r, i, x) for r, xs in enumerate(runs) for i, x in enumerate(xs, 1)]
-    got = R.early_stopping(spark.createDataFrame(rows, "run_id int, iteration int, valid_loss double"), 8)
+    got = stopping.early_stopping(spark.createDataFrame(rows, "run_id int, iteration int, valid_loss double"), 8)
     for r in got.collect():
         best, at, left, stop = float("inf"), 0, 0, None
         for i, x in enumerate(runs[r["run_id"]], 1):
@@ -186,4 +187,55 @@ def test_early_stopping_over_a_million_reports(spark):
     n = 1_000_000
     log = spark.range(n).selectExpr(
         "cast(1 as int) run_id", "cast(id as int) iteration", f"cast({n} - id as double) valid_loss")
-    assert tuple(R.early_stopping(log).first()) == (1, 1.0, n - 1, 0, None)
+    assert tuple(stopping.early_stopping(log).first()) == (1, 1.0, n - 1, 0, None)
+
+
+def plain_fold(reports, patience, delta):
+    state = stopping.Stopping()
+    for iteration, loss in reports:
+        state.report(iteration, loss, patience, delta)
+    return state
+
+
+def test_summaries_fold_like_their_reports():
+    rng = random.Random(1)
+    odd = [float("nan"), float("inf"), -float("inf")]
+    for case in range(4000):
+        n, delta, patience = rng.randint(1, 40), rng.choice([0, 0.001, 0.05, 0.1]), rng.choice([0, 1, 2, 5, 8])
+        losses = [rng.choice(odd) if case % 3 == 0 and rng.random() < 0.1 else
+                  round(3 - 0.03 * (case % 2) * i + rng.uniform(0, 0.1), 3) for i in range(n)]
+        counts = [rng.choice([1, 1, 2, 9]) if case % 5 == 0 else 1 for _ in losses]
+        want = plain_fold([(3 * i, x) for i, x in enumerate(losses) for _ in range(counts[i])], patience, delta)
+        got, low, at = stopping.Stopping(), float("inf"), 0
+        while at < n:
+            to = at + rng.randint(1, 12)
+            part = losses[at:to]
+            its = [3 * i for i in range(at, at + len(part))]
+            got.stretch(stopping.summarize(its, part, counts[at:to], low, patience, delta), patience, delta)
+            low, at = min([low, *[x for x in part if x == x]]), to
+        assert got == want, (losses, counts, delta, patience)
+
+
+def test_one_run_is_summed_up_by_many_tasks(spark):
+    rng = random.Random(6)
+    nan = float("nan")
+    losses = [nan if rng.random() < 0.02 else round(4 - i / 1000 + rng.uniform(0, 0.02), 4) for i in range(3000)]
+    reports = [(7, i, x) for i, x in enumerate(losses)] + [(7, 40, 3.97)] * 30 + [(8, 1, 1.0), (None, 2, 0.5)]
+    rng.shuffle(reports)
+    df = spark.createDataFrame([(r, i, x, "mine") for r, i, x in reports],
+                               "run_id bigint, iteration int, valid_loss double, best_loss string")
+    parts = stopping.stretches(df, 20, 0.001, 100)
+    assert parts.filter("run_id = 7").count() > 25
+    # lows of the stretches before leave few possible first reports
+    assert parts.filter("run_id = 7").selectExpr("max(size(loss))").first()[0] < 10
+    got = {r["run_id"]: tuple(r)[1:] for r in stopping.early_stopping(df, 20, 0.001, 100).collect()}
+    key = lambda r: (r[1], r[2] != r[2], r[2])
+    mine = [(i, x) for _, i, x in sorted([r for r in reports if r[0] == 7], key=key)]
+    w = plain_fold(mine, 20, 0.001)
+    assert got[7] == (w.best, w.best_iteration, w.patience, w.stopped_at) and len(got) == 3
+    w = plain_fold(mine, 10_000, 0.001)
+    far = stopping.early_stopping(df, 10_000, 0.001, 100).filter("run_id = 7").first()
+    assert tuple(far)[1:] == (w.best, w.best_iteration, w.patience, None)
+    assert stopping.early_stopping(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        stopping.early_stopping(df, delta=-1.0)
