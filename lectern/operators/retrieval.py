@@ -84,7 +84,7 @@ def keyword_search(queries: DataFrame, index: TextIndex | SegmentedIndex, k: int
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, **sizes) -> DataFrame:
     """Exact nearest neighbours by cosine."""
-    return top_k(V.best_candidates(queries, corpus, k, **sizes).drop("lo", "hi"), k)
+    return top_k(V.best_candidates(queries, corpus, k, ranged=False, **sizes), k)
 
 
 def minmax_normalize(scored: DataFrame, by: str = "query_id") -> DataFrame:

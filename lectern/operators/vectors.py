@@ -1,17 +1,15 @@
 """Exact vector similarity.
 
-The query batch is small beside the corpus, so it travels to the corpus: up to
-``MAX_QUERIES`` query vectors of ``MAX_NUMBERS`` numbers are shipped with the task function, each task
-multiplies its Arrow batches by them and keeps only its best ``k`` per query.
-Nothing but k rows per query and task is shuffled.  A larger query set goes
-the other way: queries and corpus are cut into hashed blocks and every block pair
-meets in one bounded group.
+Queries travel to the corpus, a block at a time: at most ``MAX_QUERIES`` vectors of ``MAX_NUMBERS`` numbers are
+shipped with the task function, and each block is one pass over the corpus, whose vectors are never shuffled or
+copied.  A task cuts its Arrow batches into balls of rows around pivots; a ball is multiplied only by those
+queries whose bound over the ball, q.c +- |q| r, can still change their best ``k`` or their range of scores.
+Nothing but k rows per query and task leaves a pass.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from lectern.sources.tables import Scratch
+
 MAX_QUERIES = 2048
 #: Most numbers in a shipped block (32 MB as doubles), whatever the dimension.
 MAX_NUMBERS = 4_000_000
-SPLIT_ROWS = 50_000
+#: Rows a pivot on average stands for, and most rows of a ball.
+BALL_ROWS, MAX_BALL = 128, 1024
 #: Scores are compared after rounding to this many digits, so equal vectors tie by id.
 DIGITS = 9
 
@@ -68,29 +69,111 @@ class QueryBlock:
             "score": s.reshape(-1),
         })
 
-    def best(self, batches: Iterator[pd.DataFrame], k: int) -> pd.DataFrame | None:
-        """Best ``k`` per query over all batches, with the range of scores seen."""
-        ids, top, lo, hi = None, None, None, None
-        for pdf in batches:
-            if not len(pdf):
+    def balls(self, vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        """(dimension, places, rows, radius) of a batch, rows grouped by the nearest of evenly taken pivots."""
+        dims = np.array([0 if v is None else len(v) for v in vectors])
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            if d not in self.parts:
+                yield d, at, np.zeros((len(at), 0)), 0.0
                 continue
-            s = self.scores(pdf["embedding"])
-            new = np.asarray(pdf["doc_id"].tolist())
-            lo = s.min(0) if lo is None else np.minimum(lo, s.min(0))
-            hi = s.max(0) if hi is None else np.maximum(hi, s.max(0))
-            new_ids = np.broadcast_to(new[:, None], s.shape)
-            if top is not None:
-                s, new_ids = np.concatenate([top, s]), np.concatenate([ids, new_ids])
-            order = np.lexsort((new_ids, -s), axis=0)[:k]
-            top, ids = np.take_along_axis(s, order, 0), np.take_along_axis(new_ids, order, 0)
-        if top is None:
+            block = np.stack([np.asarray(v, dtype=np.float64) for v in vectors.iloc[at]])
+            pivots = block[::BALL_ROWS]
+            near = np.argmax(block @ pivots.T - (pivots ** 2).sum(1) / 2, axis=1)
+            order = np.argsort(near, kind="stable")
+            edges = np.flatnonzero(np.diff(near[order], prepend=-1))
+            for i, j in zip(edges, [*edges[1:], len(order)]):
+                for low in range(i, j, MAX_BALL):
+                    mine = order[low:min(j, low + MAX_BALL)]
+                    rows = block[mine]
+                    radius = np.sqrt(((rows - rows.mean(0)) ** 2).sum(1).max())
+                    yield d, at[mine], rows, radius
+
+    def bounds(self, d: int, rows: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest rounded score of each query with any row of a ball."""
+        low, high = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        if d in self.parts:
+            at, matrix = self.parts[d]
+            centre = rows.mean(0)
+            mid, length = centre @ matrix, np.sqrt((matrix ** 2).sum(0))
+            # a score is rounded to DIGITS and summed with a relative error far below 1e-11
+            reach = length * radius + 10.0 ** -DIGITS + 1e-11 * length * (np.sqrt(centre @ centre) + radius)
+            low[at], high[at] = mid - reach, mid + reach
+        return low, high
+
+    def best(self, batches: Iterator[pd.DataFrame], k: int, ranged: bool = True) -> pd.DataFrame | None:
+        """Best ``k`` per query over all batches, if ``ranged`` with the range of all scores.
+
+        ``scored`` counts the products made, ``pruned`` those that the bounds of a ball ruled out.
+        """
+        n = len(self.ids)
+        top, ids, seen = np.full((k, n), -np.inf), None, 0
+        lo, hi = np.full(n, np.inf), np.full(n, -np.inf)
+        self.scored = self.pruned = 0
+        for pdf in batches:
+            names = np.asarray(pdf["doc_id"].tolist())
+            for d, places, rows, radius in self.balls(pdf["embedding"]):
+                low, high = self.bounds(d, rows, radius)
+                out = (high < top[-1]) & (low > lo) if ranged else high < top[-1]
+                live = np.flatnonzero(~out)  # NaN stays
+                self.scored += len(places) * len(live)
+                self.pruned += len(places) * (n - len(live))
+                seen += len(places)
+                if not len(live):
+                    continue
+                s = np.zeros((len(places), len(live)))
+                if d in self.parts:
+                    at, matrix = self.parts[d]
+                    column = np.full(n, -1)
+                    column[at] = np.arange(len(at))
+                    mine = np.flatnonzero(column[live] >= 0)
+                    s[:, mine] = rows @ matrix[:, column[live[mine]]]
+                s = np.round(s, DIGITS) + 0.0
+                lo[live], hi[live] = np.minimum(lo[live], s.min(0)), np.maximum(hi[live], s.max(0))
+                if ids is None:
+                    ids = np.broadcast_to(names[:1], (k, n)).copy()
+                hot = np.flatnonzero(~(s < top[-1, live]).all(0))
+                if not len(hot):
+                    continue
+                at = live[hot]
+                both = np.concatenate([top[:, at], s[:, hot]])
+                both_ids = np.concatenate([ids[:, at], np.broadcast_to(names[places][:, None], (len(places), len(hot)))])
+                order = np.lexsort((both_ids, -both), axis=0)[:k]
+                ids = ids.astype(np.promote_types(ids.dtype, both_ids.dtype), copy=False)
+                top[:, at], ids[:, at] = np.take_along_axis(both, order, 0), np.take_along_axis(both_ids, order, 0)
+        if ids is None:
             return None
-        n = len(top)
-        return pd.DataFrame({
-            "query_id": np.tile(np.array(self.ids, dtype=object), n),
-            "doc_id": ids.reshape(-1), "score": top.reshape(-1),
-            "lo": np.tile(lo, n), "hi": np.tile(hi, n),
+        kept = min(k, seen)
+        found = pd.DataFrame({
+            "query_id": np.tile(np.array(self.ids, dtype=object), kept),
+            "doc_id": ids[:kept].reshape(-1), "score": top[:kept].reshape(-1),
         })
+        return found.assign(lo=np.tile(lo, kept), hi=np.tile(hi, kept)) if ranged else found
+
+
+def by_pivot(corpus: DataFrame, pivots: int = 256) -> DataFrame:
+    """The corpus with vectors near one pivot next to each other, so that balls are narrow.
+
+    Write it once and search it often.  Pivots are ``pivots`` vectors (64,000 numbers at least fit) taken by a hash
+    of their id; rows without a vector, or of another dimension, come together.
+    """
+    some = corpus.filter("size(embedding) > 0").select("embedding").orderBy(F.xxhash64("doc_id")).limit(pivots).collect()
+    vectors = [np.asarray(r[0], dtype=np.float64) for r in some]
+    vectors = [v for v in vectors if len(v) == len(vectors[0])]
+
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        centres = np.stack(vectors) if vectors else np.zeros((1, 0))
+        for batch in batches:
+            out = np.full(len(batch), -1)
+            at = [i for i, v in enumerate(batch) if v is not None and 0 < len(v) == centres.shape[1]]
+            if at:
+                rows = np.stack([np.asarray(batch.iloc[i], dtype=np.float64) for i in at])
+                out[at] = np.argmax(rows @ centres.T - (centres ** 2).sum(1) / 2, axis=1)
+            yield pd.Series(out)
+
+    near = F.pandas_udf(place, "int", F.PandasUDFType.SCALAR_ITER)
+    spread = corpus.withColumn("_pivot", near("embedding")).withColumn("_mix", F.xxhash64("doc_id"))
+    return spread.repartitionByRange("_pivot", "_mix").sortWithinPartitions("_pivot").drop("_pivot", "_mix")
 
 
 def _schema(queries: DataFrame, corpus: DataFrame, with_range: bool) -> ST.StructType:
@@ -104,68 +187,71 @@ def _schema(queries: DataFrame, corpus: DataFrame, with_range: bool) -> ST.Struc
     return ST.StructType(fields)
 
 
-def _run(queries, corpus, work, schema, max_queries, split_rows) -> DataFrame:
-    """Apply ``work(block, batches)`` to every corpus part against every query block."""
-    queries = queries.select("query_id", "embedding")
+def _blocks(queries: DataFrame, max_queries: int) -> Iterator[QueryBlock]:
+    """The queries in blocks of bounded size, one at a time; an empty block where there are none."""
+    ids, vectors, held, made = [], [], 0, False
+    for row in queries.select("query_id", "embedding").toLocalIterator():
+        size = len(row[1] or ())
+        if ids and (len(ids) == max_queries or held + size > MAX_NUMBERS):
+            yield QueryBlock(ids, vectors)
+            ids, vectors, held, made = [], [], 0, True
+        ids.append(row[0])
+        vectors.append(row[1])
+        held += size
+    if ids or not made:
+        yield QueryBlock(ids, vectors)
+
+
+def _run(queries: DataFrame, corpus: DataFrame, work: Callable, schema: ST.StructType, max_queries: int) -> DataFrame:
+    """Apply ``work(block, batches)`` to every corpus part, in one pass for each query block.
+
+    The driver holds two blocks at a time.  The last pass is part of the plan that is returned, the ones
+    before it have written their rows.
+    """
     corpus = corpus.select("doc_id", "embedding")
-    head = queries.limit(max_queries + 1).collect()
-    numbers_held = sum(len(r[1] or ()) for r in head)
-    if len(head) <= max_queries and numbers_held <= MAX_NUMBERS:
-        block = QueryBlock([r[0] for r in head], [r[1] for r in head])
+    scratch, written = Scratch(corpus.sparkSession, "vector-passes"), 0
+    path = f"{scratch.path}/found"
 
+    def one(block: QueryBlock) -> DataFrame:
         def part(batches):
             if block.ids:
                 yield from work(block, batches)
 
         return corpus.mapInPandas(part, schema)
 
-    widest = max(len(r[1] or ()) for r in head) or 1
-    blocks = math.ceil(queries.count() / min(max_queries, max(1, MAX_NUMBERS // widest)))
-    splits = max(1, math.ceil(corpus.count() / split_rows))
-
-    def numbers(n):
-        return F.sequence(F.lit(0), F.lit(n - 1))
-
-    left = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    left = left.withColumn("s", F.explode(numbers(splits)))
-    right = corpus.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int"))
-    right = right.withColumn("b", F.explode(numbers(blocks)))
+    last = None
+    for block in _blocks(queries, max_queries):
+        if last is not None:
+            one(last).write.mode("append").parquet(path)
+            written += 1
+        last = block
+    if not written:
+        return one(last)
+    return corpus.sparkSession.read.schema(schema).parquet(path).union(one(last))
 
-    def pair(q: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=schema.fieldNames())
-        if q.empty or docs.empty:
-            return empty
-        found = list(work(QueryBlock(q["query_id"], list(q["embedding"])), iter([docs])))
-        return pd.concat(found) if found else empty
 
-    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(pair, schema)
-
-
-def similarity_all(
-    queries: DataFrame, corpus: DataFrame,
-    max_queries: int = MAX_QUERIES, split_rows: int = SPLIT_ROWS,
-) -> DataFrame:
+def similarity_all(queries: DataFrame, corpus: DataFrame, max_queries: int = MAX_QUERIES) -> DataFrame:
     """Score of every corpus vector for every query: (query_id, doc_id, score)."""
     def work(block, batches):
         for pdf in batches:
             yield block.all_scores(pdf)
 
-    return _run(
-        queries, corpus, work, _schema(queries, corpus, False), max_queries, split_rows
-    )
+    return _run(queries, corpus, work, _schema(queries, corpus, False), max_queries)
 
 
 def best_candidates(
-    queries: DataFrame, corpus: DataFrame, k: int,
-    max_queries: int = MAX_QUERIES, split_rows: int = SPLIT_ROWS,
+    queries: DataFrame, corpus: DataFrame, k: int, max_queries: int = MAX_QUERIES, ranged: bool = True,
 ) -> DataFrame:
-    """Best ``k`` per query of every corpus part, with the part's score range (lo, hi)."""
+    """Best ``k`` per query of every corpus part, if ``ranged`` with the part's score range (lo, hi).
+
+    Without the range, bounds rule out more: a ball far from a query is not looked at for its least score.
+    """
     def work(block, batches):
-        found = block.best(batches, k)
+        found = block.best(batches, k, ranged)
         if found is not None:
             yield found
 
-    return _run(queries, corpus, work, _schema(queries, corpus, True), max_queries, split_rows)
+    return _run(queries, corpus, work, _schema(queries, corpus, ranged), max_queries)
 
 
 def pair_similarity(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def brute_knn(rows, qs, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_queries": 3, "split_rows": 20}])
-def test_knn_equals_brute_force_in_both_plans(spark, vectors, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"max_queries": 2}])
+def test_knn_equals_brute_force_in_one_and_many_passes(spark, vectors, sizes):
     rows, corpus = vectors
     qs = [(i, rows[i][1]) for i in (5, 9, 17, 33)] + [(99, rows[63][1])]
     asked = spark.createDataFrame(qs, "query_id int, embedding array<float>")
@@ -145,7 +145,7 @@ def test_knn_equals_brute_force_in_both_plans(spark, vectors, sizes):
     assert got == brute_knn(rows, qs, 4)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_queries": 1, "split_rows": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"max_queries": 1}])
 def test_similarity_all_scores_every_pair(spark, vectors, sizes):
     rows, corpus = vectors
     asked = spark.createDataFrame([(1, rows[5][1]), (2, rows[6][1])], "query_id int, embedding array<float>")
@@ -155,6 +155,54 @@ def test_similarity_all_scores_every_pair(spark, vectors, sizes):
     assert got.filter("doc_id in (61, 62, 63)").agg(F.max(F.abs("score"))).first()[0] == 0.0
 
 
+def test_balls_rule_queries_out_without_changing_a_result(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    centres = [np.array(unit(rng, 16)) for _ in range(12)]
+    near = lambda c: [float(x) for x in centres[c] + 0.01 * rng.normal(size=16)]
+    rows = [(i, near(i // 250)) for i in range(3000)] + [(3000, None), (3001, [float("nan")] * 16), (3002, [0.5] * 3)]
+    qs = [(i, rows[250 * i][1]) for i in range(12)] + [(90, None), (91, [1.0, 0.0, 2.0])]
+    for k in (1, 7):
+        block = V.QueryBlock([q for q, _ in qs], [v for _, v in qs])
+        frame = pd.DataFrame(rows, columns=["doc_id", "embedding"])
+        full = block.scores(frame["embedding"])
+        got = block.best(iter([frame.iloc[:1000], frame.iloc[1000:1000], frame.iloc[1000:]]), k)
+        for j, (q, _) in enumerate(qs):
+            want = sorted(range(len(rows)), key=lambda i: (np.isnan(full[i, j]), -full[i, j], i))[:k]
+            mine = got[got["query_id"] == q]
+            assert mine["doc_id"].tolist() == want and np.array_equal(mine["score"], full[want, j])
+        finite = block.best(iter([frame.iloc[:1000], frame.iloc[1000:3000]]), k)
+        assert np.array_equal(finite["lo"][:14], full[:3000].min(0)) and np.array_equal(finite["hi"][:14], full[:3000].max(0))
+        assert block.pruned > 0.3 * block.scored  # the least scores have to be looked at, too
+        alone = block.best(iter([frame.iloc[:1000], frame.iloc[1000:3000]]), k, ranged=False)
+        assert alone.equals(finite[alone.columns.tolist()]) and block.pruned > block.scored
+    few = block.best(iter([frame.iloc[:3]]), 7)
+    assert len(few) == 3 * len(qs) and V.QueryBlock([1], [None]).best(iter([]), 3) is None
+
+
+def test_corpus_by_pivot_is_the_same_corpus(spark, vectors):
+    rows, corpus = vectors
+    got = V.by_pivot(corpus, 6)
+    assert got.columns == corpus.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in rows]
+    asked = spark.createDataFrame([(1, rows[5][1]), (2, rows[63][1])], "query_id int, embedding array<float>")
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in R.knn(asked, got, 4).collect()) == brute_knn(
+        rows, [(1, rows[5][1]), (2, rows[63][1])], 4)
+    assert V.by_pivot(corpus.limit(0)).count() == 0
+
+
+def test_thousands_of_queries_leave_the_corpus_in_place(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, unit(rng, 6)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    asked = df.withColumnRenamed("doc_id", "query_id")
+    found = V.best_candidates(asked, df, 1)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = R.knn(asked, df, 1).collect()
+    assert len(got) == 5000 and all(r["query_id"] == r["doc_id"] for r in got)
+
+
 def brute_hybrid(asked, rows, k, weight):
     emb = {i: v for i, v in rows}
     def scale(xs):
