@@ -49,6 +49,11 @@ class Stopping:
             if self.patience >= patience:
                 self.stopped_at = iteration
 
+    def reports(self, iterations, losses, counts, patience: int, delta: float) -> None:
+        """Ordered reports, each given ``counts`` times, at once."""
+        if len(iterations):
+            self.stretch(summarize(iterations, losses, counts, self.best, patience, delta), patience, delta)
+
     def stretch(self, s: dict, patience: int, delta: float) -> None:
         """Pass all reports of a summary at once."""
         if self.stopped_at is not None:
@@ -71,7 +76,7 @@ class Stopping:
 
 
 def summarize(
-    iterations: list, losses: list, counts: list, low: float, patience: int, delta: float,
+    iterations, losses, counts, low: float, patience: int, delta: float,
 ) -> dict:
     """Summary of a stretch of reports, each given ``counts`` times, after reports with minimum ``low``.
 

@@ -57,12 +57,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, name: str) -> None:
-        self._delete(f"{self.path}/{name}")
+        delete(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
-        self._delete(self.path)
+        delete(self.spark, self.path)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark can write to; one that does not exist is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
