@@ -9,8 +9,8 @@ from lectern.functions import constants as K
 from lectern.functions import text as T
 from lectern.operators.filters import prefilter_obvious
 
-MCQ_JSON = "question string, options array<string>, correctIndex int, explanation string"
-OPEN_JSON = "question string, idealAnswer string, keyPoints array<string>"
+MCQ_FIELDS = {"question": "string", "options": "array<string>", "correctIndex": "int", "explanation": "string"}
+OPEN_FIELDS = {"question": "string", "idealAnswer": "string", "keyPoints": "array<string>"}
 CARDS_JSON = "array<struct<question:string,answer:string>>"
 
 
@@ -28,6 +28,11 @@ def _kind(value: Column, name: str) -> Column:
     return F.coalesce(F.schema_of_variant(field), F.lit(""))
 
 
+def _fields(value: Column, types: dict[str, str]) -> Column:
+    """struct of top-level fields of a parsed JSON value; null where one is missing or of another kind."""
+    return F.struct(*[F.try_variant_get(value, f"$.{n}", t).alias(n) for n, t in types.items()])
+
+
 def _has_field(value: Column, name: str, kind: str) -> Column:
     return _kind(value, name).rlike(f"^{kind}$")
 
@@ -43,17 +48,16 @@ def _is_object(value: Column) -> Column:
 def _decode_mcq(raw: Column) -> Column:
     """struct or null: question and options are strings, the index a whole number."""
 
-    def decode(json: Column) -> Column:
-        shape = F.try_parse_json(json)
+    def decode(shape: Column) -> Column:
         ok = (
             _has_field(shape, "question", "STRING")
             & _has_field(shape, "options", "ARRAY<STRING>")
             & _has_field(shape, "correctIndex", "BIGINT")
             & _optional(shape, "explanation", "STRING")
         )
-        return F.when(ok, F.from_json(json, MCQ_JSON))
+        return F.when(ok, _fields(shape, MCQ_FIELDS))
 
-    return T.let(extract_json(raw), decode)
+    return T.let(F.try_parse_json(extract_json(raw)), decode)
 
 
 def clean_option_label(option: Column) -> Column:
@@ -156,13 +160,12 @@ def decode_mcq(replies: DataFrame, keep_failed: bool = False) -> DataFrame:
 def parse_open_ended(replies: DataFrame) -> DataFrame:
     """Open questions of (raw, source, text) rows; missing key points become an empty list."""
 
-    def decode(json: Column) -> Column:
-        shape = F.try_parse_json(json)
+    def decode(shape: Column) -> Column:
         ok = (
             _has_field(shape, "question", "STRING") & _has_field(shape, "idealAnswer", "STRING")
             & _optional(shape, "keyPoints", "ARRAY<(STRING|VOID)>")
         )
-        return F.when(ok, F.from_json(json, OPEN_JSON))
+        return F.when(ok, _fields(shape, OPEN_FIELDS))
 
     def row(q):
         return F.struct(
@@ -171,7 +174,7 @@ def parse_open_ended(replies: DataFrame) -> DataFrame:
             F.substring("text", 1, 500).alias("context"),
         )
 
-    value = T.let(extract_json(F.col("raw")), decode)
+    value = T.let(F.try_parse_json(extract_json(F.col("raw"))), decode)
     return replies.select(
         *[c for c in replies.columns if c not in ("raw", "text")],
         F.inline(accepted(value, lambda q: F.lit(True), row)))

@@ -97,8 +97,9 @@ def best_of_n(candidates: DataFrame, key: str = "chunk_id") -> DataFrame:
     """At most one question per chunk.
 
     The first candidate by (attempt, seq) that is valid with a score of 4 or more; else
-    the best-scored valid one with at least 2.  One aggregation with map-side combine, no
-    sort per chunk.  ``candidates`` needs attempt, seq, text and the question columns.
+    the best-scored valid one with at least 2.  One aggregation with map-side combine; as its
+    winners are whole rows, Spark sorts by chunk for it, which takes little beside the reading of
+    replies.  ``candidates`` needs attempt, seq, text and the question columns.
     """
     verdict = validate_question(F.col("question"), F.col("options"), F.col("correct_index"))
 
