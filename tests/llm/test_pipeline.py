@@ -15,7 +15,7 @@ def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights",
         "SentencePiece encoding and decoding"]
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_each_stage_against_its_own_rule(spark):
