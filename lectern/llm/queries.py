@@ -21,6 +21,7 @@ from lectern.llm import (
     sharding,
     token_counts,
     toxicity,
+    twins,
     warc_store,
     whitening,
 )
@@ -42,7 +43,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_embedding_dedup")
+@query("op1_embedding_dedup", twins.EMBEDDINGS_SQL)
 def op1(spark, sf):
     return embedding_dedup.embedding_dedup(read_table(spark, sf, "embeddings"), threshold=0.93)
 
@@ -74,7 +75,8 @@ def op4(spark, sf):
     return mixed.select("doc_id", "source", "mix.*")
 
 
-@query("op5_secrets")
+@query("op5_secrets", twins.secrets_sql(
+    r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 300))
 def op5(spark, sf):
     return secrets.secret_report(secrets.find_secrets(read_table(spark, sf, "documents")))
 
@@ -85,12 +87,12 @@ def op6(spark, sf):
         read_table(spark, sf, "documents"), pieces.tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", twins.LINES_SQL)
 def op7(spark, sf):
     return line_dedup.line_dedup(read_table(spark, sf, "documents"), width=5).drop("row")
 
 
-@query("op8_ngram_join")
+@query("op8_ngram_join", twins.NGRAM_SQL)
 def op8(spark, sf):
     joined = ngram_join.ngram_join(read_table(spark, sf, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "kept")
