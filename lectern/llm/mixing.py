@@ -10,6 +10,7 @@ block follows from one period.  When a source runs dry the others go on with the
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import types as ST
 
 #: Rows per part in which a source is put in order.
 PART_ROWS = 4_000
+#: Numbers in a schedule that is broadcast; a longer one is joined block by block.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
@@ -25,54 +28,57 @@ def whole_shares(weights: list[float], period: int) -> list[int]:
     return [max(1, round(w / total * period)) for w in weights]
 
 
-def earliest_deadline_first(shares: list[int]) -> list[int]:
-    """Source of each slot of one period, which is as long as the sum of the shares."""
+def earliest_deadline_first(shares: list[int]) -> Iterator[int]:
+    """Source of each slot of one period, which is as long as the sum of the shares, slot by slot."""
     period = sum(shares)
-    released: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, q in enumerate(shares):
-        for i in range(q):
-            released[i * period // q].append((-(-(i + 1) * period // q), s))
-    ready: list[tuple[int, int]] = []
-    order = []
-    for now in released:
-        for block in now:
-            heapq.heappush(ready, block)
-        order.append(heapq.heappop(ready)[1])
-    return order
-
-
-def phases(blocks: list[int], shares: list[int]) -> list[dict]:
+    coming: list[tuple[int, int, int]] = []  # release, source and number of the next block
+    ready = [(-(-period // q), s, 0) for s, q in enumerate(shares)]  # by deadline
+    heapq.heapify(ready)
+    for now in range(period):
+        while coming and coming[0][0] <= now:
+            _, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * period // shares[s]), s, i))
+        _, s, i = heapq.heappop(ready)
+        yield s
+        if i + 1 < shares[s]:
+            heapq.heappush(coming, ((i + 1) * period // shares[s], s, i + 1))
+
+
+def phases(blocks: list[int], shares: list[int]) -> Iterator[dict]:
     """Pieces of the schedule between sources running dry.
 
-    One entry per phase and source: its first block and slot in the phase, its number of blocks, the
-    period, and the slots of its blocks inside a period.
+    One entry per phase and source that has blocks in it: its first block and slot in the phase, its number of
+    blocks, the period, and the slots of its blocks inside a period.  A phase is worked out as far as it
+    goes and at most for a period, so all entries and slots together are no more than twice the blocks.
     """
-    left, used, slot, out = list(blocks), [0] * len(blocks), 0, []
+    left, used, slot = list(blocks), [0] * len(blocks), 0
     active = [s for s in range(len(blocks)) if left[s] > 0]
     while active:
         q = [shares[s] for s in active]
-        order, period = earliest_deadline_first(q), sum(q)
-        spots: list[list[int]] = [[] for _ in active]
-        for t, k in enumerate(order):
-            spots[k].append(t)
+        period = sum(q)
         cycles = min(left[s] // shares[s] for s in active)
         taken = [cycles * n for n in q]
         length = cycles * period
         rest = [left[s] - n for s, n in zip(active, taken)]
-        for k in order if all(rest) else []:  # into the next period, until a source is dry
-            taken[k] += 1
-            rest[k] -= 1
-            length += 1
-            if not rest[k]:
+        dry = not all(rest)
+        spots: dict[int, list[int]] = {}
+        for t, k in enumerate(earliest_deadline_first(q)):
+            if dry and not cycles:
                 break
-        for k, s in enumerate(active):
-            out.append({"s": s, "first": used[s], "n": taken[k], "slot": slot, "period": period,
-                        "share": q[k], "spots": spots[k]})
+            spots.setdefault(k, []).append(t)
+            if not dry:  # into the next period, until a source is dry
+                taken[k] += 1
+                rest[k] -= 1
+                length += 1
+                dry = not rest[k]
+        for k in spots:
+            s = active[k]
+            yield {"s": s, "first": used[s], "n": taken[k], "slot": slot, "period": period,
+                   "share": q[k], "spots": spots[k]}
             used[s] += taken[k]
             left[s] -= taken[k]
         slot += length
         active = [s for s in active if left[s] > 0]
-    return out
 
 
 def mix_sources(
@@ -91,7 +97,8 @@ def mix_sources(
 
     A null source is a source of its own.  A null or empty text counts one byte.  Repeated rows are
     placed one by one; a column of the name ``mix`` is replaced, all others are kept.  An empty table
-    gives an empty result.  The driver holds one row per source and one period per phase.
+    gives an empty result.  The driver holds one row per source and the schedule, which has at most as many entries
+    and slots as one period per phase, and as twice the blocks; beyond ``BROADCAST_NUMBERS`` it is joined by block.
     """
     names = [c for c in docs.columns if c != out]
     held = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(names)])
@@ -111,11 +118,12 @@ def mix_sources(
     target = [float(given.get(s, b ** temperature)) for s, _, b in known]
     if min(target) <= 0:
         raise ValueError("weights must be above 0")
-    plan = phases([-(-b // block_bytes) for _, _, b in known],
-                  whole_shares(target, max(period, 4 * len(known))))
+    plan = [(known[p["s"]][0], p["first"], p["n"], p["slot"], p["period"], p["share"], p["spots"])
+            for p in phases([-(-b // block_bytes) for _, _, b in known],
+                            whole_shares(target, max(period, 4 * len(known))))]
     spark = docs.sparkSession
     schedule = spark.createDataFrame(
-        [(known[p["s"]][0], p["first"], p["n"], p["slot"], p["period"], p["share"], p["spots"]) for p in plan],
+        plan,
         "_source string, first long, n long, slot0 long, period long, share long, spots array<int>")
     parts = spark.createDataFrame(
         [(s, max(1, n // PART_ROWS)) for s, n, _ in known], "_source string, parts long")
@@ -131,10 +139,18 @@ def mix_sources(
     at = cut.withColumn("_in", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(
         ahead, ["_source", "_part"]).withColumn("_at", F.col("_in") + F.col("_ahead"))
     at = at.withColumn("_block", F.expr(f"_at div {block_bytes}"))
-    slots = F.broadcast(schedule)
-    met = at.join(slots, (at["_source"] == slots["_source"]) & F.col("_block").between(
-        F.col("first"), F.col("first") + F.col("n") - 1)).withColumn("_i", F.col("_block") - F.col("first"))
-    spot = F.expr("slot0 + (_i div share) * period") + F.get("spots", F.expr("cast(_i % share as int)"))
+    spot = F.get("spots", F.expr("cast(_i % share as int)"))
+    if sum(6 + len(p[6]) for p in plan) <= BROADCAST_NUMBERS:
+        slots = F.broadcast(schedule)
+        met = at.join(slots, (at["_source"] == slots["_source"]) & F.col("_block").between(
+            F.col("first"), F.col("first") + F.col("n") - 1)).withColumn(
+            "_i", F.col("_block") - F.col("first")).withColumn("_spot", spot)
+    else:
+        slots = schedule.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        met = at.join(slots.select(
+            "_source", (F.col("first") + F.col("_i")).alias("_block"), "_i", "slot0", "period", "share",
+            spot.alias("_spot")), ["_source", "_block"])
+    spot = F.expr("slot0 + (_i div share) * period + _spot")
     mix = F.struct(
         F.col("_block").alias("block"), spot.cast("long").alias("slot"),
         F.expr("slot0 + (_i * period) div share").alias("release"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lectern.llm import mixing as M
@@ -26,6 +28,70 @@ def test_sources_that_run_dry_leave_no_slot_empty():
     assert per == blocks and slots == set(range(50))
 
 
+def plain_schedule(blocks, shares):
+    """Slot by slot: of the released blocks the earliest deadline; a dry source starts a new schedule.
+
+    A source whose blocks fill whole periods lets the last of them run out.
+    """
+    left, used, out = list(blocks), [0] * len(blocks), []
+    while any(left):
+        active = [s for s, n in enumerate(left) if n]
+        period, base, placed = sum(shares[s] for s in active), len(out), {s: 0 for s in active}
+        cycles = min(left[s] // shares[s] for s in active)
+        whole = any(left[s] == cycles * shares[s] for s in active)
+        while len(out) - base < cycles * period if whole else all(left[s] for s in active):
+            now = len(out) - base
+            s = min((s for s in active if placed[s] * period // shares[s] <= now),
+                    key=lambda s: (-(-(placed[s] + 1) * period // shares[s]), s))
+            out.append((s, used[s]))
+            placed[s], used[s], left[s] = placed[s] + 1, used[s] + 1, left[s] - 1
+    return out
+
+
+def test_schedule_equals_slot_by_slot():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        blocks, shares = [rng.randint(0, 90) for _ in range(n)], [rng.randint(1, 20) for _ in range(n)]
+        got = {p["slot"] + j // p["share"] * p["period"] + p["spots"][j % p["share"]]: (p["s"], p["first"] + j)
+               for p in M.phases(blocks, shares) for j in range(p["n"])}
+        assert [got[t] for t in range(len(got))] == plain_schedule(blocks, shares)
+
+
+def test_entries_of_many_sources_stay_under_their_blocks():
+    blocks = [1 + i for i in range(400)]
+    plan = list(M.phases(blocks, M.whole_shares([b ** 0.5 for b in blocks], 1_600)))
+    assert len(plan) <= sum(blocks) and sum(len(p["spots"]) for p in plan) <= sum(blocks)
+
+
+def test_rows_equal_brute_force(documents, monkeypatch):
+    """Every row: its block by the bytes before it in its source, the slot of that block, also joined by block."""
+    rng = random.Random(6)
+    rows = [(i, "w" * rng.randint(0, 90), rng.choice("aab")) for i in range(300)]
+    rows += [(400 + i, "z" * 700, "c") for i in range(3)]
+    weights, size = {"a": 5, "b": 2, "c": 1}, 200
+    df = documents(rows)
+    got = M.mix_sources(df, weights, block_bytes=size, period=12).orderBy("mix.slot", "mix.start").collect()
+    order = {s: [] for s in "abc"}
+    for r in got:
+        order[r["source"]].append(r)
+    begin, total = {}, {}
+    for s, members in order.items():
+        at = 0
+        for r in members:
+            begin[r["doc_id"]] = at
+            at += max(1, len(r["text"]))
+        total[s] = at
+    slots = {b: t for t, b in enumerate(plain_schedule([-(-total[s] // size) for s in "abc"], M.whole_shares([5, 2, 1], 12)))}
+    for r in got:
+        block, rest = divmod(begin[r["doc_id"]], size)
+        assert (r["mix"]["block"], r["mix"]["slot"]) == (block, slots["abc".index(r["source"]), block])
+        assert r["mix"]["start"] == rest / size
+    monkeypatch.setattr(M, "BROADCAST_NUMBERS", 0)
+    by_block = M.mix_sources(df, weights, block_bytes=size, period=12).orderBy("mix.slot", "mix.start").collect()
+    assert [(r["doc_id"], r["mix"]) for r in by_block] == [(r["doc_id"], r["mix"]) for r in got]
+
+
 def test_all_rows_are_mixed_by_bytes(documents):
     rows = [(i, "x" * 100, "big") for i in range(3000)] + [(5000 + i, "y" * 50, "small") for i in range(1000)]
     got = M.mix_sources(documents(rows), {"big": 3, "small": 1}, block_bytes=1000).collect()
