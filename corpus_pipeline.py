@@ -1,15 +1,13 @@
 """A training corpus from documents: clean, distinct, mixed and encoded.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  Its result
-is to be written before the next stage is called: that one deletes the tables this one worked with.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  Its working tables
+lie in the folder of the ``scratch`` it is given, which is dropped once its result is written; without
+one a stage takes a folder of its own, whose retention is the cluster's.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, mixing, ngram_join, pieces, toxicity
@@ -17,61 +15,47 @@ from lectern.sources.tables import Scratch, read_table
 
 #: Rows per partition of the result.
 PART_ROWS = 4_000
-_tables: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """A folder for the tables of a stage; those of the stage before are no longer read."""
-    while _tables:
-        _tables.pop().drop()
-    _tables.append(Scratch(spark, name))
-    return _tables[-1]
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs, _scratch(spark, "stage-exact"))
+    return exact_dedup.drop_copies(docs, scratch or Scratch(spark, "stage-exact"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """One document of each group that five-word shingles tie together at 0.8 or more."""
-    joined = ngram_join.ngram_join(docs, threshold=0.8, n=5, scratch=_scratch(spark, "stage-near"))
+    joined = ngram_join.ngram_join(docs, threshold=0.8, n=5, scratch=scratch or Scratch(spark, "stage-near"))
     return joined.filter("kept").select("doc.*")
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """All documents, written in the order in which the sources are to be read."""
-    _scratch(spark, "stage-mix")
     return mixing.in_order(mixing.mix_sources(docs))
 
 
-def _file_order(held) -> tuple[int, str]:
-    """Sort key of a file that Spark wrote: number of its partition, then its name."""
-    number = re.match(r"part-(\d+)", held[0])
-    return int(number[1]) if number else 0, held[0]
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Token ids and the text they decode to, as counts and digests per document, in the order of the mix.
 
     ``docs`` is read from the files of the mix; its splits come in any order, so the place of a row is taken
     from its file and its number in there.  The k-th partition holds the k-th stretch of rows, sorted.
     """
-    _scratch(spark, "stage-encode")
+    scratch = scratch or Scratch(spark, "stage-encode")
     name, row = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
     placed = docs.select("text", F.struct("doc_id", name, row).alias("at"))
-    held = sorted(placed.groupBy("at.file").count().collect(), key=_file_order)  # one row per file of 64 MB
-    ahead = list(accumulate((n for _, n in held), initial=0))
-    before = F.broadcast(spark.createDataFrame(
-        [(f, n) for (f, _), n in zip(held, ahead)], "file string, before long"))
+    held = scratch.keep(placed.groupBy(F.col("at.file").alias("file")).agg(F.count("*").alias("n")), "files")
+    # one row per file of 64 MB; files come in the order of their partitions' numbers
+    number = F.coalesce(F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    ahead = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    total = held.agg(F.sum("n")).first()[0] or 0
     told = pieces.piece_digests(pieces.encode_pieces(placed, pieces.tokenizer_file("piece_bpe_32k.model"), id_col="at"))
     at = told.join(before, told["doc_id.file"] == before["file"]).withColumn("at", F.col("before") + F.col("doc_id.row"))
-    parts = max(1, -(-ahead[-1] // PART_ROWS))
+    parts = max(1, -(-total // PART_ROWS))
     dealt = at.repartitionById(parts, F.expr(f"cast(at div {PART_ROWS} as int)")).sortWithinPartitions("at")
     return dealt.select("doc_id.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -92,8 +76,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        own = Scratch(spark, "stage-" + name.split()[0])
+        docs = scratch.keep(stage(spark, docs, sf_dir, own), f"stage-{i}")
+        own.drop()
         if i:
             scratch.forget(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
