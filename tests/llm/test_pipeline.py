@@ -76,3 +76,17 @@ def test_exact_dedup_equals_its_sql(spark):
 
     con = compare.duck(FOLDER)
     assert compare.compare(spark, con, FOLDER, "op3_exact_dedup").startswith("ok")
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_dedup", "op5_secrets", "op7_line_dedup", "op8_ngram_join"])
+def test_pairs_and_spans_equal_their_sql(spark, name):
+    import compare
+
+    assert compare.compare(spark, compare.duck(FOLDER), FOLDER, name).startswith("ok")
+
+
+def test_runs_side_by_side_keep_their_tables(spark):
+    """A stage called while another pipeline's result is still to be written leaves that one's tables alone."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    first = corpus_pipeline.drop_exact_copies(spark, docs, FOLDER)
+    assert corpus_pipeline.drop_exact_copies(spark, docs, FOLDER).count() == first.count() > 0
