@@ -330,3 +330,16 @@ def test_random_hybrid_pruning(spark, tmp_path, shards):
         want += [(i, d, n + 1) for n, (_, d) in enumerate(s[:7])]
     got = sorted((r["query_id"], r["doc_id"], r["rank"]) for r in R.hybrid_search(q, ix, corpus, 7).collect())
     assert got == sorted(want)
+
+
+def test_queries_without_a_vector_are_not_multiplied():
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    frame = pd.DataFrame({"doc_id": range(500, 0, -1), "embedding": list(r.normal(size=(500, 4)))})
+    block = V.QueryBlock([1, 2, 3], [None, frame["embedding"][7], None])
+    got = block.best(iter([frame.iloc[:200], frame.iloc[200:]]), 2)
+    none = got[got["query_id"] != 2]
+    assert sorted(zip(none["query_id"], none["doc_id"])) == [(1, 1), (1, 2), (3, 1), (3, 2)]
+    assert (none[["score", "lo", "hi"]] == 0).all(axis=None) and block.scored <= 500

@@ -150,3 +150,40 @@ def test_empty_index_and_text_ids(spark, tmp_path):
     docs = spark.createDataFrame([("a", "word1"), ("b", None), ("c", "word1")], "doc_id string, text string")
     index = index.append(docs, "s0").delete(docs.filter("doc_id = 'a'"), "d0")
     assert [r["doc_id"] for r in R.keyword_search(asked(spark, "long"), index, 3).filter("query_id = 0").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("bar_rows", [0, 10**6])
+def test_many_queries_are_looked_up_together(spark, tmp_path, bar_rows):
+    # first words of documents ask, as the evaluation does: with and without a bar from a first reading
+    rows, docs = corpus(spark, 0, 400, 8)
+    rows = [(i, f"own{i} own{i // 2} {t}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    index = SegmentedIndex.build(docs, str(tmp_path / "i"), shard_postings=1000)
+    queries = spark.createDataFrame([(i, " ".join(t.split()[:9])) for i, t in rows], "query_id int, query string")
+    weighted = R.weighted_terms(queries, index)
+    whole = I.TextIndex.of(I.document_terms(docs))
+    for k in (1, 4):
+        found = R.top_k(index.search(weighted, k, 9, bar_rows=bar_rows), k)
+        assert told(found) == told(R.keyword_search(queries, whole, k))
+
+
+def test_a_batch_scores_candidates_alone():
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators.segments import Asked, Batch
+
+    n = 6400  # every document has a word of its own and a common one
+    shard = Shard(pa.array(range(n)), np.full(n, 2), None, 2.0, 1.5, 0.75)
+    terms = ["common"] + [f"own{i:04}" for i in range(n)]
+    lists = {"blocks": [list(range(100))] + [[i // 64] for i in range(n)], "max_tf": [[1] * 100] + [[1]] * n,
+             "starts": [list(range(0, n, 64))] + [[0]] * n, "docs": [list(range(n))] + [[i] for i in range(n)],
+             "tfs": [[1] * n] + [[1]] * n}
+    row = {"term": terms, "df": [n] + [1] * n} | {k: pa.array(v, pa.list_(pa.int32())) for k, v in lists.items()}
+    shard.add(pa.RecordBatch.from_pydict(row))
+    asked = [(q, t, w) for q in range(0, n, 20) for t, w in (("common", 0.1), (f"own{q:04}", 8.0))]
+    weighted = pa.table(dict(zip(("query_id", "term", "weight"), map(list, zip(*asked)))))
+    batch = Batch(shard.close(), Asked(weighted, None, None))
+    found = [(q * 20, d) for qs, ds, _ in batch.best(1, 9) for q, d in zip(qs, ds)]
+    assert found == [(q, q) for q in range(0, n, 20)]
+    assert shard.scored == 0  # no query walked through the postings of its terms
