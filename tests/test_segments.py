@@ -187,3 +187,22 @@ def test_a_batch_scores_candidates_alone():
     found = [(q * 20, d) for qs, ds, _ in batch.best(1, 9) for q, d in zip(qs, ds)]
     assert found == [(q, q) for q in range(0, n, 20)]
     assert shard.scored == 0  # no query walked through the postings of its terms
+
+
+def test_texts_are_not_exchanged_to_drop_what_comes_again(spark):
+    from lectern.operators.segments import _once
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    plan = _once(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    twice = docs.unionByName(docs.filter("doc_id < 5")).unionByName(
+        spark.createDataFrame([(None, "a"), (None, "b")], "doc_id bigint, text string"))
+    ids = [r["doc_id"] for r in _once(twice).select("doc_id").collect()]
+    assert sorted(ids, key=str) == sorted([None, *range(50)], key=str)
+
+
+def test_terms_of_one_segment_are_read_as_they_are(spark, tmp_path):
+    rows, docs = corpus(spark, 0, 300, 6)
+    index = SegmentedIndex.build(docs, str(tmp_path / "i"), shard_postings=300)
+    assert "Exchange" not in index.terms._jdf.queryExecution().executedPlan().toString()
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == brute_df(rows)
