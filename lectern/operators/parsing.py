@@ -10,16 +10,28 @@ from lectern.functions import text as T
 from lectern.operators.filters import prefilter_obvious
 
 MCQ_FIELDS = {"question": "string", "options": "array<string>", "correctIndex": "int", "explanation": "string"}
+USUAL_MCQ = [
+    "OBJECT<correctIndex: BIGINT, explanation: STRING, options: ARRAY<STRING>, question: STRING>",
+    "OBJECT<correctIndex: BIGINT, options: ARRAY<STRING>, question: STRING>",
+]
 OPEN_FIELDS = {"question": "string", "idealAnswer": "string", "keyPoints": "array<string>"}
+#: Space around an option and the labels before it, each at most once and in their order.
+LABEL = r"\A[\t\p{Zs}]*" + "".join(f"(?:{p[1:]})?" for p in K.OPTION_LABELS) + r"[\t\p{Zs}]*|[\t\p{Zs}]+\z"
 CARDS_JSON = "array<struct<question:string,answer:string>>"
 
 
 def extract_json(raw: Column, kind: str = "{}") -> Column:
     """First opener to last closer, code fences removed; null when there is none."""
     opener, closer = ("\\" + c for c in kind)
-    bare = F.replace(F.replace(raw, F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
-    found = F.regexp_extract(bare, f"(?s){opener}.*{closer}", 0)
-    return F.when(found != "", found)
+    bare = F.when(F.contains(raw, F.lit("```")), F.replace(
+        F.replace(raw, F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))).otherwise(raw)
+
+    def between(text):
+        found = F.regexp_extract(text, f"(?s){opener}.*{closer}", 0)
+        whole = text.startswith(kind[0]) & text.endswith(kind[1])
+        return F.when(whole, text).otherwise(T.let(found, lambda f: F.when(f != "", f)))
+
+    return T.let(bare, between)
 
 
 def _kind(value: Column, name: str) -> Column:
@@ -34,7 +46,8 @@ def _fields(value: Column, types: dict[str, str]) -> Column:
 
 
 def _has_field(value: Column, name: str, kind: str) -> Column:
-    return _kind(value, name).rlike(f"^{kind}$")
+    found = _kind(value, name)
+    return found == kind if kind.isalpha() else found.rlike(f"^{kind}$")
 
 
 def _optional(value: Column, name: str, kind: str) -> Column:
@@ -55,17 +68,16 @@ def _decode_mcq(raw: Column) -> Column:
             & _has_field(shape, "correctIndex", "BIGINT")
             & _optional(shape, "explanation", "STRING")
         )
-        return F.when(ok, _fields(shape, MCQ_FIELDS))
+        # one look at the whole reply settles those of just the usual fields
+        usual = F.schema_of_variant(shape).isin(USUAL_MCQ)
+        return F.when(F.coalesce(usual, F.lit(False)) | ok, _fields(shape, MCQ_FIELDS))
 
     return T.let(F.try_parse_json(extract_json(raw)), decode)
 
 
 def clean_option_label(option: Column) -> Column:
     """Strip ``A)``, ``B.``, ``c:``, ``A )`` and ``(D)`` from the front of an option."""
-    bare = T.trim_spaces(option)
-    for pattern in K.OPTION_LABELS:
-        bare = F.regexp_replace(bare, pattern, "")
-    return T.trim_spaces(bare)
+    return F.regexp_replace(option, LABEL, "")
 
 
 def shuffled_options(options: Column, correct: Column, seed: str, key: Column) -> Column:

@@ -31,37 +31,34 @@ def replies(spark, sf) -> DataFrame:
     base = passages(spark, sf, 60).select("doc_id", "source", "text", w.alias("w")).select(
         "*", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("c"))
     n = F.pmod(F.col("doc_id") * 5 + F.col("c") * 7, F.lit(SHAPES)).cast("int")
-
-    def span(start, size):
-        return F.array_join(F.slice("w", start, size), " ")
-
-    words = F.when(F.col("c") == 4, span(F.lit(1), 80)).otherwise(span(F.col("c") + 1, 8))
+    # every part is spelled once: Java interprets a method as long as one copy per shape makes it
+    long = F.col("c") == 4
+    words = F.array_join(F.slice("w", F.when(long, 1).otherwise(F.col("c") + 1), F.when(long, 80).otherwise(8)), " ")
     opener = F.when(n == 10, "What does the author say in the text about ").when(
         F.col("c") == 2, "it is ").otherwise("What of ")
-    ask = F.concat(opener, words, F.lit("?"))
-    ask = F.when(F.col("c").isin(3, 4), F.lower(ask)).otherwise(ask)
+    staged = base.select("*", n.alias("n"), F.concat(opener, words, F.lit("?")).alias("ask"))
+    n = F.col("n")
+    ask = F.when(F.col("c").isin(3, 4), F.lower("ask")).otherwise(F.col("ask"))
 
     def option(i):
-        return F.coalesce(F.get("w", F.col("c") + i * 3), F.lit(""))
+        at = F.col("c") + i * 3
+        label = F.when(n == 3, "ABCD"[i] + ") ").otherwise("")
+        return F.concat(label, F.coalesce(F.get("w", F.when(n == 4, F.col("c")).otherwise(at) if i == 1 else at), F.lit("")))
 
-    opts = [F.when((n == 3) & F.lit(i < 4), F.lit("ABCD"[i] + ") ")).otherwise("") for i in range(4)]
-    opts = [F.concat(p, option(i)) for i, p in enumerate(opts)]
-    opts[1] = F.when(n == 4, opts[0]).when(n == 5, F.lit("Option1")).otherwise(opts[1])
-    quoted = [F.concat(F.lit('"'), o, F.lit('"')) for o in opts]
-    tail = F.when(n == 6, "").otherwise(F.concat(F.lit(", "), quoted[3]))
+    opts = [option(i) for i in range(4)]
+    opts[1] = F.when(n == 5, "Option1").otherwise(opts[1])
+    last = F.when(n == 6, '"').otherwise(F.concat(F.lit('", "'), opts[3], F.lit('"')))
     index = F.when(n == 7, '"1"').when(n == 11, "7").otherwise((F.col("doc_id") % 4).cast("string"))
     why = F.when(n == 8, "").otherwise(F.concat(F.lit(', "explanation": "Seen in '), F.col("source"), F.lit(' as stated"')))
-    json = F.concat(
-        F.lit('{"question": "'), ask, F.lit('", "options": ['), quoted[0], F.lit(", "), quoted[1],
-        F.lit(", "), quoted[2], tail, F.lit('], "correctIndex": '), index, why, F.lit("}"))
-    raw = (
-        F.when(n == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```")))
-        .when(n == 2, F.concat(F.lit("Here it is: "), json, F.lit(" I hope it helps")))
-        .when(n == 9, F.concat(F.lit("No question: "), ask)).otherwise(json)
-    )
-    return base.select(
+    start = F.when(n == 1, '```json\n{"question": "').when(n == 2, 'Here it is: {"question": "').when(
+        n == 9, "No question: ").otherwise('{"question": "')
+    end = F.when(n == 1, "}\n```").when(n == 2, "} I hope it helps").otherwise("}")
+    rest = F.when(n == 9, "").otherwise(F.concat(
+        F.lit('", "options": ["'), opts[0], F.lit('", "'), opts[1], F.lit('", "'), opts[2], last,
+        F.lit('], "correctIndex": '), index, why, end))
+    return staged.select(
         "doc_id", F.floor(F.col("c") / 3).cast("int").alias("attempt"), F.col("c").alias("seq"),
-        "source", "text", raw.alias("raw"),
+        "source", "text", F.concat(start, ask, rest).alias("raw"),
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("c").cast("string")).alias("reply_id"))
 
 

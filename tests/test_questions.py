@@ -1,4 +1,5 @@
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -7,7 +8,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from lectern.functions import constants as K
 from lectern.functions import prompts as P
+from lectern.functions import text as T
 from lectern.operators import generation as G
 from lectern.operators import parsing as X
 from lectern.operators import validation as V
@@ -387,3 +390,29 @@ def test_replies_are_asked_for_once(spark, tmp_path):
     with pytest.raises(Exception, match="asked again"):
         told(G.generate_once(prompts("z"), hook(None), log))
     assert told(G.generate_once(prompts("z"), hook("late"), log))[0][3] == "late z 0"
+
+
+def old_label(option):
+    for pattern in K.OPTION_LABELS:
+        option = re.sub(pattern, "", option.strip(T.SPACES), flags=re.ASCII)
+    return option.strip(T.SPACES)
+
+
+def test_labels_in_one_pattern_equal_one_after_the_other(value):
+    options = ["A) b. (C) x", "(C) A) x", "a :  x ", "　B )  y\t", "d", "D.", " ", "", "b\nc) x", "C.C. Moon", "A) z"]
+    assert value(X.clean_option_label, *options) == [old_label(o) for o in options]
+
+
+def generated_methods(df):
+    """Largest method in bytecode of the code Spark generates for ``df``; Java interprets those over 8,000."""
+    spark = df.sparkSession
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    found = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages)
+    return max(s._3().maxMethodCodeSize() for s in found)
+
+
+def test_replies_are_spelled_in_methods_that_java_compiles(spark):
+    from lectern.plans import question_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    assert generated_methods(Q.replies(spark, folder)) < 8000
