@@ -40,9 +40,17 @@ def tokens(text: Column, longer_than: int = 2) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), lambda t: F.length(t) > longer_than)
 
 
+def one_space(text: Column) -> Column:
+    """Every space-like character, newline excluded, as a plain space."""
+    return F.regexp_replace(text, r"[\p{Zs}\t&&[^ ]]", " ")
+
+
 def space_words(text: Column) -> Column:
-    """Lower-cased pieces between space/tab characters; empty pieces keep their position."""
-    return F.split(F.lower(text), SPACE_CHAR)
+    """Lower-cased pieces between space/tab characters; empty pieces keep their position.
+
+    Splitting at a plain space needs no pattern, which ``split`` would compile again for every row.
+    """
+    return F.split(one_space(F.lower(text)), " ")
 
 
 def strip_punctuation(text: Column) -> Column:

@@ -9,17 +9,20 @@ from lectern.functions import constants as K
 from lectern.functions import text as T
 from lectern.operators.filters import any_of, count_of, has
 
+#: At most four words, each with a capital in front.
+NAME_OPTION = r"\A(?:\p{Lu}[^ ]*(?: +|\z)){0,4}\z"
+
 
 def classify_option_type(option: Column) -> Column:
     """year, number, name or phrase."""
-    bare = T.trim_spaces(option)
-    found = T.words(bare)
-    name = (F.size(found) <= 4) & F.forall(found, T.starts_upper)
-    number = bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
-    return (
-        F.when(bare.rlike(K.YEAR_OPTION), "year").when(number, "number")
-        .when(name, "name").otherwise("phrase")
-    )
+    def kind(bare: Column) -> Column:
+        number = bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
+        return (
+            F.when(bare.rlike(K.YEAR_OPTION), "year").when(number, "number")
+            .when(bare.rlike(NAME_OPTION), "name").otherwise("phrase")
+        )
+
+    return T.let(T.trim_spaces(option), kind)
 
 
 def _flag(condition: Column, name: str) -> Column:
@@ -31,18 +34,28 @@ def validate_question(question: Column, options: Column, correct_index: Column)
 
     Structural issues and vague wording invalidate; mixed option types and length do not.
     """
-    lower = F.lower(question)
-    vague_hits = count_of([has(lower, p) for p in K.VAGUE_PHRASES])
-    pronoun = any_of([lower.startswith(p) for p in K.PRONOUN_STARTS])
+    wording = T.let(F.lower(question), lambda low: F.struct(
+        count_of([has(low, p) for p in K.VAGUE_PHRASES]).alias("vague"),
+        any_of([low.startswith(p) for p in K.PRONOUN_STARTS]).alias("pronoun")))
+    bad = F.exists(options, lambda o: T.let(F.lower(o), lambda low: any_of([has(low, p) for p in K.BAD_OPTION_PARTS])))
+    facts = F.struct(
+        wording.alias("wording"), bad.alias("bad"),
+        (F.length(question) > 300).alias("long"), F.size(options).alias("options"),
+        (F.size(F.array_distinct(options)) != F.size(options)).alias("same"))
+    return T.let(facts, lambda f: _verdict(question, options, correct_index, f))
+
+
+def _verdict(question: Column, options: Column, correct_index: Column, facts: Column) -> Column:
+    """``validate_question`` from what is used more than once, computed beforehand."""
+    vague_hits, pronoun = facts["wording"]["vague"], facts["wording"]["pronoun"]
     no_capital = ~question.rlike(r"\p{Lu}")
-    too_long = F.length(question) > 300
-    bad_option = F.exists(options, lambda o: any_of([has(F.lower(o), p) for p in K.BAD_OPTION_PARTS]))
+    too_long = facts["long"]
     structural = {
-        "option_count": F.size(options) != 4,
-        "index_range": (correct_index < 0) | (correct_index >= F.size(options)),
-        "duplicate_options": F.size(F.array_distinct(options)) != F.size(options),
+        "option_count": facts["options"] != 4,
+        "index_range": (correct_index < 0) | (correct_index >= facts["options"]),
+        "duplicate_options": facts["same"],
         "question_short": F.length(question) < 15,
-        "bad_option": bad_option,
+        "bad_option": facts["bad"],
     }
     wording = {"vague": vague_hits > 0, "pronoun_start": pronoun}
     soft = {
@@ -73,13 +86,18 @@ def score_candidate(
         return T.let(mean, lambda m: F.aggregate(
             ls, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(ls))
 
-    variance = T.let(lengths, spread)
-    long_words = F.filter(T.space_words(chunk), lambda w: F.length(w) > 5)
-    shared = F.size(F.array_intersect(long_words, T.space_words(question)))
+    def step(variance):
+        return F.when(variance < 100, 2).when(variance < 400, 1).otherwise(0)
+
+    # the question has far fewer words than the chunk: they are looked up in it, between spaces
+    asked = F.array_distinct(F.filter(T.space_words(question), lambda w: F.length(w) > 5))
+    spaced = F.concat(F.lit(" "), T.one_space(F.lower(chunk)), F.lit(" "))
+    shared = F.when(chunk.isNotNull(), T.let(spaced, lambda s: F.size(F.filter(
+        asked, lambda w: F.contains(s, F.concat(F.lit(" "), w, F.lit(" ")))))))
     return (
         F.when(n.between(30, 150), 2).when(n.between(20, 200), 1).otherwise(0)
         + containment * 2
-        + F.when(variance < 100, 2).when(variance < 400, 1).otherwise(0)
+        + T.let(T.let(lengths, spread), step)
         + F.when(F.length(explanation) >= 20, 1).otherwise(0)
         + F.least(shared, F.lit(3))
     )

@@ -416,3 +416,24 @@ def test_replies_are_spelled_in_methods_that_java_compiles(spark):
 
     folder = "/root/testdata/sf0.001"
     assert generated_methods(Q.replies(spark, folder)) < 8000
+
+
+def test_option_names_are_at_most_four_capitalised_words(value):
+    options = ["One Two Three Four", "One Two Three Four Five", "One  Two", "One two", "", "Él Ñu", "One\ntwo", "9 Lives"]
+    assert value(V.classify_option_type, *options) == [
+        "name", "phrase", "name", "phrase", "name", "name", "name", "phrase"]
+
+
+def test_shared_words_are_whole_words_counted_once(spark):
+    rows = [("alphabet alphabet stringent words?", "Alphabet STRINGENT wordsmith", 2),
+            ("alphabets bet", "alphabet s", 0), ("longer longest", "longest\nlonger", 0), ("", "", 0)]
+    got = spark.createDataFrame(rows, "q string, text string, n int").select("n", V.score_candidate(
+        F.col("q"), F.array(*[F.lit("xx")] * 4), F.lit(""), F.lit(0), F.col("text")).alias("s"), F.length("q").alias("l"))
+    for r in got.collect():
+        assert r["s"] == r["n"] + 2 + (2 if 30 <= r["l"] <= 150 else 1 if 20 <= r["l"] <= 200 else 0)
+
+
+def test_texts_are_lowered_once_for_all_phrases(spark):
+    rows = spark.createDataFrame([("Q?", ["a", "b"], 0)], "question string, options array<string>, correct_index int")
+    plan = V.with_validation(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2  # of the question and of an option
