@@ -216,52 +216,48 @@ def parse_summary(raw: Column, text: Column, chapter: Column, section: Column) -
     Unreadable replies fall back to the chunk itself; an empty summary to its text.
     """
 
-    def decode(json: Column) -> Column:
-        shape = F.try_parse_json(json)
-        read = F.from_json(json, "type string, summary string, chapter string, section string")
+    def decode(shape: Column) -> Column:
+        read = T.let(_strings(shape, "type", "summary", "chapter", "section"), lambda r: F.struct(
+            F.lower(F.coalesce(r["type"], F.lit("content"))).alias("type"),
+            F.coalesce(F.when(r["summary"] != "", r["summary"]), text).alias("summary"),
+            F.when(r["chapter"] != "null", r["chapter"]).alias("chapter"),
+            F.when(r["section"] != "null", r["section"]).alias("section"),
+        ))
+        unread = F.struct(F.lit("content").alias("type"), text.alias("summary"),
+                          chapter.alias("chapter"), section.alias("section"))
+        return F.when(_is_object(shape), read).otherwise(unread)
 
-        def field(name):
-            value = F.when(_has_field(shape, name, "STRING"), read[name])
-            return value
+    return T.let(F.try_parse_json(extract_json(raw)), decode)
 
-        readable = _is_object(shape)
-        return F.struct(
-            F.lower(F.coalesce(F.when(readable, field("type")), F.lit("content"))).alias("type"),
-            F.coalesce(F.nullif(field("summary"), F.lit("")), text).alias("summary"),
-            F.when(readable, F.nullif(field("chapter"), F.lit("null"))).otherwise(chapter)
-            .alias("chapter"),
-            F.when(readable, F.nullif(field("section"), F.lit("null"))).otherwise(section)
-            .alias("section"),
-        )
 
-    return T.let(extract_json(raw), decode)
+def _strings(shape: Column, *names: str) -> Column:
+    """struct of the top-level fields that are strings; the others are null."""
+    return F.struct(*[F.when(_has_field(shape, n, "STRING"), F.try_variant_get(shape, f"$.{n}", "string")).alias(n)
+                      for n in names])
 
 
 def parse_classification(raw: Column, chapter: Column, section: Column) -> Column:
     """struct(type, chapter, section, quality); unreadable replies count as content at 0.7."""
 
-    def decode(json: Column) -> Column:
-        shape = F.try_parse_json(json)
-        read = F.from_json(json, "type string, chapter string, section string, quality double")
-        readable = _is_object(shape)
-
-        def field(name):
-            return F.when(_has_field(shape, name, "STRING"), read[name])
-
-        kind = F.lower(F.coalesce(field("type"), F.lit("content")))
+    def decode(shape: Column) -> Column:
         number = _has_field(shape, "quality", r"(BIGINT|DOUBLE|DECIMAL\(.*\))")
-        return F.struct(
-            F.when(kind == "toc", "toc").when(kind.isin("frontmatter", "front_matter"), "frontMatter")
-            .when(kind == "citation", "citation").when(kind == "index", "index")
-            .otherwise("content").alias("type"),
-            F.when(readable, F.nullif(field("chapter"), F.lit("null"))).otherwise(chapter)
-            .alias("chapter"),
-            F.when(readable, F.nullif(field("section"), F.lit("null"))).otherwise(section)
-            .alias("section"),
-            F.coalesce(F.when(number, read["quality"]), F.lit(0.7)).alias("quality"),
-        )
+        found = F.struct(_strings(shape, "type", "chapter", "section").alias("read"), _is_object(shape).alias("readable"))
+        quality = F.coalesce(F.when(number, F.try_variant_get(shape, "$.quality", "double")), F.lit(0.7))
+
+        def named(f):
+            read, readable = f["read"], f["readable"]
+            kind = F.lower(F.coalesce(read["type"], F.lit("content")))
+            return F.struct(
+                T.let(kind, lambda k: F.when(k == "toc", "toc").when(k.isin("frontmatter", "front_matter"), "frontMatter")
+                      .when(k == "citation", "citation").when(k == "index", "index").otherwise("content")).alias("type"),
+                F.when(readable, F.when(read["chapter"] != "null", read["chapter"])).otherwise(chapter).alias("chapter"),
+                F.when(readable, F.when(read["section"] != "null", read["section"])).otherwise(section).alias("section"),
+                quality.alias("quality"),
+            )
+
+        return T.let(found, named)
 
-    return T.let(extract_json(raw), decode)
+    return T.let(F.try_parse_json(extract_json(raw)), decode)
 
 
 def apply_summaries(chunks: DataFrame, replies: DataFrame) -> DataFrame:

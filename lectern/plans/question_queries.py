@@ -305,16 +305,18 @@ def _(spark, sf):
 
 
 def summary_replies(key: str = "doc_id") -> Column:
+    """The words are cut once and every part is spelled once (see ``replies``)."""
     n = F.col("doc_id") % 8
     kind = F.when(n == 1, '"toc"').when(n == 2, '"Content"').when(n == 7, "3").otherwise('"content"')
-    brief = F.when(n == 3, "").otherwise(F.concat(simple_words(1, 9), F.lit(". "), simple_words(10, 15)))
+    w = T.words(F.regexp_replace("text", r"[^\p{L}\p{N} ]", " "))
+    brief = F.when(n.isin(3, 6), "").otherwise(T.let(w, lambda w: F.concat(
+        F.array_join(F.slice(w, 1, 9), " "), F.lit(". "), F.array_join(F.slice(w, 10, 6), " "))))
     chapter = F.when(n == 4, '"null"').when(n == 5, "null").otherwise('"Part One"')
-    return (
-        F.when(n == 6, F.lit("I cannot {do} this"))
-        .when(n == 0, F.concat(F.lit('{"summary": "'), brief, F.lit('"}')))
-        .otherwise(F.concat(F.lit('```json\n{"type": '), kind, F.lit(', "summary": "'), brief, F.lit('", "chapter": '), chapter,
-                            F.lit(', "section": "S1", "quality": 0.25}\n```')))
-    )
+    start = F.when(n == 6, "I cannot {do} this").when(n == 0, '{"summary": "').otherwise(
+        F.concat(F.lit('```json\n{"type": '), kind, F.lit(', "summary": "')))
+    end = F.when(n == 6, "").when(n == 0, '"}').otherwise(
+        F.concat(F.lit('", "chapter": '), chapter, F.lit(', "section": "S1", "quality": 0.25}\n```')))
+    return F.concat(start, brief, end)
 
 
 BRIEF = f"CASE WHEN doc_id % 8 = 3 THEN '' ELSE {simple_sql(1, 9)} || '. ' || {simple_sql(10, 15)} END"

@@ -437,3 +437,12 @@ def test_texts_are_lowered_once_for_all_phrases(spark):
     rows = spark.createDataFrame([("Q?", ["a", "b"], 0)], "question string, options array<string>, correct_index int")
     plan = V.with_validation(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 2  # of the question and of an option
+
+
+def test_a_summary_reply_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}", "t", "c", "s")], "raw string, text string, chapter string, section string")
+    text, chapter, section = F.col("text"), F.col("chapter"), F.col("section")
+    for read in (X.parse_summary(F.col("raw"), text, chapter, section), X.parse_classification(F.col("raw"), chapter, section)):
+        plan = rows.select(read.alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") + plan.count("parse_json") == 1
+        assert "from_json" not in plan
