@@ -206,7 +206,8 @@ def parse_flashcards(replies: DataFrame) -> DataFrame:
 
     found = replies.withColumn("_c", T.let(extract_json(F.col("raw"), "[]"), decode))
     keep = [c for c in replies.columns if c != "raw"]
-    return found.select(*keep, F.posexplode("_c").alias("pos", "_card")).select(
+    cards = F.when(F.size("_c") > 0, F.col("_c"))  # of a bare column Spark would infer a filter that reads all again
+    return found.select(*keep, F.posexplode(cards).alias("pos", "_card")).select(
         *keep, "pos", "_card.question", "_card.answer")
 
 

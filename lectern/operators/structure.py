@@ -58,15 +58,16 @@ def element(kind: Column, text: Column, page: Column, level: Column) -> Column:
 def markdown_elements(text: Column) -> Column:
     """Each non-empty line as an element; ``#`` runs give the heading level."""
 
-    def to_element(line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, r"^(#+)", 1))
-        kind = (
-            F.when(level == 0, "paragraph").when(level == 1, "chapter")
-            .when(level == 2, "section").otherwise("subsection")
-        )
+    def heading(line: Column, level: Column) -> Column:
+        kind = F.when(level == 1, "chapter").when(level == 2, "section").otherwise("subsection")
         body = T.trim_spaces(F.regexp_replace(line, r"^#+", ""))
         return element(kind, body, F.lit(None), level)
 
+    def to_element(line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, r"^(#+)", 1))
+        plain = element(F.lit("paragraph"), line, F.lit(None), F.lit(0))
+        return F.when(F.startswith(line, F.lit("#")), T.let(level, lambda n: heading(line, n))).otherwise(plain)
+
     lines = F.array_remove(F.transform(F.split(text, "\n"), T.trim_spaces), "")
     return F.transform(lines, to_element)
 

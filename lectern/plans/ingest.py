@@ -25,7 +25,9 @@ def merged_arrays(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:
 
 
 def _rows(arrays: DataFrame) -> DataFrame:
-    return arrays.select("doc_id", "source", F.inline("chunks")).select(*C.CHUNK_COLUMNS)
+    # of a bare column Spark infers a filter on its size, pushes it down and computes all chunks for it once more
+    chunks = F.when(F.size("chunks") > 0, F.col("chunks"))
+    return arrays.select("doc_id", "source", F.inline(chunks)).select(*C.CHUNK_COLUMNS)
 
 
 def merged_chunks(docs: DataFrame, target: int = K.TARGET_WORDS) -> DataFrame:

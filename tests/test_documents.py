@@ -8,6 +8,7 @@ from lectern.operators import chunking as C
 from lectern.operators import filters as L
 from lectern.operators import metadata as M
 from lectern.operators import structure as S
+from lectern.plans import ingest
 
 ELEMENTS = "doc_id bigint, source string, elements array<struct<type:string,text:string,page:int,level:int>>"
 
@@ -283,3 +284,16 @@ def test_steps_in_the_document_row_equal_those_on_tables(spark):
     assert rows(whole) == rows(done) and len(rows(done)) > 20
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_chunks_are_computed_once_not_for_a_filter_too(spark):
+    docs = spark.createDataFrame([(1, "s", "One line. " * 90)], "doc_id bigint, source string, text string")
+    plan = ingest.process_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+    assert ingest.process_documents(docs).count() == 1
+
+
+def test_sentences_end_where_the_two_kinds_of_ends_are(value):
+    texts = ["A. B", "A.\") \n\nB", "a\n\n\nb", "x.y? \t z", "\n", "", "no end", "end.", "Q!'\n) b", ".\n.\n"]
+    old = re.compile(r"([.!?][\"')]*[ \t\n\r]+|\n+)")
+    assert value(T.sentences, *texts) == [[s for s in old.sub("\\1\x01", t).split("\x01") if s] for t in texts]
