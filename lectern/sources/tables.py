@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table as its files split it: one plan at every size."""
@@ -44,16 +46,24 @@ class Scratch:
     """The written intermediate tables of one call, all under one shared folder.
 
     ``keep`` writes a table and reads it back, ``forget`` deletes one that later steps
-    replaced, ``drop`` deletes the folder once the caller has stored its result.
+    replaced, ``drop`` deletes the folder once the caller has stored its result.  A ``lean`` one has
+    Spark drop the shuffle files of a table as soon as it is written, instead of when the driver next collects garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
+        self.spark, self.lean = spark, lean
         self.path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        if self.lean:
+            self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if self.lean:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, name: str) -> None:

@@ -103,3 +103,19 @@ def test_one_edit_in_a_short_line_is_caught(spark, tmp_path):
     got = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["class_doc_id"] for r in got if r["doc_id"] % 2} == known
     assert all(r["kept"] == (r["doc_id"] == r["class_doc_id"]) for r in got)
+
+
+def test_pairs_are_formed_by_sketches_and_tables_are_not_kept(spark, tmp_path):
+    from lectern.sources.tables import SHUFFLE_CLEANUP, Scratch
+
+    rng = random.Random(4)
+    common = "".join(chr(0x4E00 + k) for k in range(60))
+    rows = [(i, common + "".join(chr(0x5000 + rng.randrange(9_000)) for _ in range(60))) for i in range(300)]
+    rows.append((300, rows[7][1][:100] + "7" + rows[7][1][101:]))
+    lines = L.lines_of(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    scratch = Scratch(spark, "test-lines", lean=True)
+    classes = scratch.keep(L.signatures(lines, 5), "classes")
+    pairs = L.close_across(classes.withColumn("g", classes["id"]), 0.8, scratch, 5).count()
+    assert 1 <= pairs < 60  # keys hold some thousand pairs of lines that share their first half
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert L.most_differing(32, 0.8) == 15 and len(L.bands_of(5)) == 16 and max(map(max, L.bands_of(5))) == 31
