@@ -36,7 +36,7 @@ from lectern.sources.tables import materialize
 
 #: Documents of a block; postings of a shard, which a task holds in memory when it is written.  A small
 #: segment gets a shard per core, of at least ``LEAST_POSTINGS``.
-BLOCK, SHARD_POSTINGS, LEAST_POSTINGS = 64, 2_000_000, 50_000
+BLOCK, SHARD_POSTINGS, LEAST_POSTINGS = 64, 1_000_000, 50_000
 #: (query, term) rows sent to the shards at once, and how many times the shards are read at most.
 SENT_ROWS, MOST_PASSES = 1_000_000, 16
 #: Queries of more rows first look for a bar in all shards: a second reading of the shards then pays.
@@ -154,11 +154,11 @@ class Shard:
         """Lay out what was added: per term a stretch of blocks, per block a stretch of postings."""
         if not self.parts:
             return self
-        rows = pa.Table.from_batches(self.parts).combine_chunks()
+        rows = pa.Table.from_batches(self.parts)
         self.parts = []
 
-        def flat(name):
-            return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        def flat(name):  # a column at a time is copied
+            return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column(name).chunks])
 
         per_term = pc.list_value_length(rows.column("blocks")).to_numpy()
         df = rows.column("df").to_numpy().astype(np.int64)
@@ -169,8 +169,10 @@ class Shard:
         self.block, self.doc = flat("blocks"), flat("docs")
         self.start = flat("starts") + np.repeat(held - df, per_term)
         self.end = np.append(self.start[1:], len(self.doc))
-        top, tf = flat("max_tf").astype(np.float64), flat("tfs").astype(np.float64)
+        top = flat("max_tf").astype(np.float64)
         self.top = top * (self.k1 + 1) / (top + self.lowest[self.block])
+        tf = flat("tfs").astype(np.float64)
+        del rows
         self.impact = tf * (self.k1 + 1) / (tf + self.norm[self.doc])
         self.peak = np.maximum.reduceat(self.top, ends - per_term)
         self.key = np.repeat(np.arange(len(df)), df) * len(self.norm) + self.doc
@@ -441,7 +443,10 @@ class Batch:
 
 
 def _shards(batches, dead, avgdl, k1, b):
-    """The shards of a task, one after the other: a documents row begins each."""
+    """The shards of a task, one after the other: a documents row begins each.
+
+    One is in memory at a time, if the caller lets go of it before asking for the next.
+    """
     shard = None
     for batch in batches:
         opens = np.flatnonzero(pc.equal(batch.column("term"), DOCUMENTS).to_numpy(zero_copy_only=False)).tolist()
@@ -450,6 +455,7 @@ def _shards(batches, dead, avgdl, k1, b):
         for i, end in zip(opens, [*opens[1:], batch.num_rows]):
             if shard is not None:
                 yield shard.close()
+                shard = None
             ids, dl = batch.column("ids")[i].values, batch.column("tfs")[i].values.to_numpy()
             gone = dead.get(batch.column("segment")[i].as_py())
             shard = Shard(ids, dl, None if gone is None else pa.array(gone, ids.type), avgdl, k1, b)
@@ -700,14 +706,18 @@ class SegmentedIndex:
                 asked, dead = Asked.__new__(Asked), sent.value[1]
                 vars(asked).update(sent.value[0])
                 for shard in _shards(batches, dead, tokens / max(n, 1), k1, b):
-                    for q, docs, scores, *matched in work(Batch(shard, asked)):
+                    ids = shard.ids
+                    told = work(Batch(shard, asked))
+                    del shard
+                    for q, docs, scores, *matched in told:
                         if len(q):
                             none = pa.nulls(len(q), pa.int64())
                             yield pa.RecordBatch.from_arrays([
                                 asked.ids.take(pa.array(q)).cast(arrow),
-                                pa.nulls(len(q), shard.ids.type) if docs is None else shard.ids.take(pa.array(docs)),
+                                pa.nulls(len(q), ids.type) if docs is None else ids.take(pa.array(docs)),
                                 pa.array(scores, pa.float64()), pa.array(matched[0], pa.int64()) if matched else none],
                                 names=["query_id", "doc_id", "score", "matched"])
+                    del told
 
             return self._table("shards").join(F.broadcast(rows), "term", "left_semi").mapInArrow(run, schema)
 

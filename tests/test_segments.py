@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import index as I
 from lectern.operators import retrieval as R
@@ -206,3 +207,27 @@ def test_terms_of_one_segment_are_read_as_they_are(spark, tmp_path):
     index = SegmentedIndex.build(docs, str(tmp_path / "i"), shard_postings=300)
     assert "Exchange" not in index.terms._jdf.queryExecution().executedPlan().toString()
     assert {r["term"]: r["df"] for r in index.terms.collect()} == brute_df(rows)
+
+
+def test_one_shard_is_in_memory_at_a_time(spark, tmp_path, monkeypatch):
+    import weakref
+
+    from lectern.operators import segments as S
+
+    _, docs = corpus(spark, 0, 400, 9)
+    index = SegmentedIndex.build(docs, str(tmp_path / "i"), shard_postings=300)
+    rows = index._table("shards").coalesce(1).sortWithinPartitions(F.input_file_name(), "term").toArrow()
+    held, alive = [], []
+    close = Shard.close
+
+    def closing(shard):
+        alive.append(sum(r() is not None for r in held))
+        held.append(weakref.ref(shard))
+        return close(shard)
+
+    monkeypatch.setattr(Shard, "close", closing)
+    for shard in S._shards(rows.to_batches(), {}, 10.0, 1.5, 0.75):
+        assert len(shard.norm) and len(shard.impact)
+        del shard
+    assert len(held) > 3 and not any(alive)
+    assert S.SHARD_POSTINGS <= 1_000_000
