@@ -143,8 +143,8 @@ def ingested_index(spark: SparkSession, folder: str, id_type: str = "bigint") ->
         return SegmentedIndex.create(spark, path, id_type)
 
 
-#: Iterations per bucket of held reports.
-SPAN = 4096
+#: Iterations per bucket of held reports, and reports of a run and batch that are in memory before buckets are written.
+SPAN, IN_MEMORY = 4096, 100_000
 
 
 class EarlyStopping(StatefulProcessor):
@@ -152,7 +152,8 @@ class EarlyStopping(StatefulProcessor):
 
     Reports wait in the state store, in buckets of ``SPAN`` iterations, equal ones as one with a count.  A bucket that
     ends more than ``lateness`` iterations before the newest report is folded into the state for good; the
-    result of a batch also counts the buckets that still wait.  One bucket is in memory at a time.
+    result of a batch also counts the buckets that still wait.  ``IN_MEMORY`` reports of a batch are folded without
+    passing through the state store, which then gets what has to wait; beyond them one bucket is in memory at a time.
     """
 
     OUTPUT = (
@@ -169,36 +170,59 @@ class EarlyStopping(StatefulProcessor):
         self.state = handle.getValueState("early_stopping", self.STATE)
         self.held = handle.getMapState("held", "bucket bigint", self.HELD)
 
-    def hold(self, bucket: int, iterations: np.ndarray, losses: np.ndarray) -> None:
+    @staticmethod
+    def merged(iterations: np.ndarray, losses: np.ndarray, old: tuple | None) -> tuple:
+        """Reports in order, equal ones counted, with those of a bucket."""
         counts = np.ones(len(iterations), dtype=np.int64)
-        if self.held.containsKey((bucket,)):
-            old = self.held.getValue((bucket,))
+        if old is not None:
             iterations, losses, counts = (
                 np.concatenate([np.asarray(a, dtype=b.dtype), b]) for a, b in zip(old, (iterations, losses, counts)))
         order = np.lexsort((losses, iterations))
         iterations, losses, counts = iterations[order], losses[order], counts[order]
         same = (losses[1:] == losses[:-1]) | (np.isnan(losses[1:]) & np.isnan(losses[:-1]))
         first = np.flatnonzero(np.concatenate([[True], ~(same & (iterations[1:] == iterations[:-1]))]))
-        self.held.updateValue((bucket,), (
-            iterations[first].tolist(), losses[first].tolist(), np.add.reduceat(counts, first).tolist()))
+        return iterations[first], losses[first], np.add.reduceat(counts, first)
+
+    def hold(self, bucket: int, reports: tuple) -> None:
+        self.held.updateValue((bucket,), tuple(a.tolist() for a in reports))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         *fields, newest, bucket = self.state.get() or (float("inf"), 0, 0, None, None, None)
         run = Stopping(*fields)
+        waiting = {k[0] for k in self.held.keys()}
+        fresh: list[tuple] = []
+
+        def by_bucket() -> Iterator[tuple]:
+            """(bucket, reports) of what has come and not been written, with what is held."""
+            if not fresh:
+                return
+            iterations, losses = (np.concatenate(a) for a in zip(*fresh))
+            fresh.clear()
+            at = iterations // SPAN if bucket is None else np.maximum(iterations // SPAN, bucket)
+            order = np.argsort(at, kind="stable")
+            names, opens = np.unique(at[order], return_index=True)
+            for b, mine in zip(names.tolist(), np.split(order, opens[1:])):
+                yield b, self.merged(iterations[mine], losses[mine], self.held.getValue((b,)) if b in waiting else None)
+
         for part in rows:
             if run.stopped_at is not None:
                 continue  # whatever comes after a stop changes nothing
             iterations = part["iteration"].to_numpy(np.int64)
             newest = int(iterations.max()) if newest is None else max(newest, int(iterations.max()))
-            at = iterations // SPAN if bucket is None else np.maximum(iterations // SPAN, bucket)
-            for b in np.unique(at):
-                self.hold(int(b), iterations[at == b], part["valid_loss"].to_numpy(float)[at == b])
-        now = replace(run)
-        for b in sorted(k[0] for k in self.held.keys()):
-            now.reports(*self.held.getValue((b,)), self.patience, self.delta)
+            fresh.append((iterations, part["valid_loss"].to_numpy(float)))
+            if sum(len(f[0]) for f in fresh) > IN_MEMORY:
+                for b, reports in by_bucket():
+                    self.hold(b, reports)
+                    waiting.add(b)
+        now, came = replace(run), dict(by_bucket())
+        for b in sorted(waiting | set(came)):
+            now.reports(*(came[b] if b in came else self.held.getValue((b,))), self.patience, self.delta)
             if (b + 1) * SPAN <= newest - self.lateness:
                 run, bucket = replace(now), b + 1
-                self.held.removeKey((b,))
+                if b in waiting:
+                    self.held.removeKey((b,))
+            elif b in came:
+                self.hold(b, came[b])
         self.state.update((run.best, run.patience, run.best_iteration, run.stopped_at, newest, bucket))
         yield pd.DataFrame({
             "run_id": [key[0]], "best_loss": [now.best], "best_iteration": [now.best_iteration],

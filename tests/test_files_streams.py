@@ -183,3 +183,64 @@ def test_document_that_arrives_again_replaces_itself(spark, folder):
     rows = lambda ix: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in R.bm25(q, ix).collect())
     assert index.stats.first()["n"] == 6
     assert rows(index) == rows(I.TextIndex.of(I.document_terms(now)))
+
+
+@pytest.mark.parametrize("in_memory", [100_000, 7])
+def test_early_stopping_writes_to_the_state_only_what_waits(monkeypatch, in_memory):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from lectern.operators.stopping import Stopping
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+    class Map(dict):
+        written = 0
+
+        def keys(self):
+            return list(super().keys())
+
+        def containsKey(self, key):
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+        def updateValue(self, key, row):
+            self.written += 1
+            self[key] = row
+
+    monkeypatch.setattr(jobs, "IN_MEMORY", in_memory, raising=False)
+    r = random.Random(5)
+    for lateness in (0, 3 * jobs.SPAN):
+        told = jobs.EarlyStopping(30, 0.01, lateness)
+        told.state, told.held = Value(), Map()
+        plain, got = [], None
+        for batch in range(3):
+            low = batch * 20 * jobs.SPAN
+            rows = [(r.randrange(low, low + 20 * jobs.SPAN), round(r.choice([r.random() + 1 / (batch + 1), 2.0]), 2)) for _ in range(60)]
+            rows += rows[:5]
+            plain += rows
+            parts = [pd.DataFrame(rows[i:i + 10], columns=["iteration", "valid_loss"]) for i in range(0, len(rows), 10)]
+            got = next(told.handleInputRows((1,), iter(parts), None)).iloc[0]
+        want = Stopping()
+        for iteration, loss in sorted(plain):
+            want.report(iteration, loss, 30, 0.01)
+        stopped = None if pd.isna(got["stopped_at"]) else int(got["stopped_at"])
+        assert (got["best_loss"], got["best_iteration"], got["patience_counter"], stopped) == (
+            want.best, want.best_iteration, want.patience, want.stopped_at)
+        if in_memory > 1000:
+            assert told.held.written <= 3 * (1 + lateness // jobs.SPAN + 1)
+    assert np.isfinite(want.best)
