@@ -119,3 +119,53 @@ def test_pairs_are_formed_by_sketches_and_tables_are_not_kept(spark, tmp_path):
     assert 1 <= pairs < 60  # keys hold some thousand pairs of lines that share their first half
     assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
     assert L.most_differing(32, 0.8) == 15 and len(L.bands_of(5)) == 16 and max(map(max, L.bands_of(5))) == 31
+
+
+def similar(a, b):
+    x, y = ({t[k:k + 5] for k in range(max(1, len(t) - 4))} for t in (a, b))
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_width_5_equals_brute_force(documents):
+    lines = sorted({t.strip(" ") for _, text in made() for t in (text or "").split("\n")} - {""})
+    root = list(range(len(lines)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(lines)):
+        for b in range(a):
+            if similar(lines[a], lines[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = L.line_dedup(documents(list(enumerate(lines))).repartition(6), width=5).collect()
+    assert {r["doc_id"]: r["class_doc_id"] for r in got} == {k: find(k) for k in range(len(lines))}
+
+
+def test_parts_find_pairs_and_pass_over_unlike_ones(spark):
+    from lectern.sources.tables import Scratch
+
+    rng = random.Random(6)
+    draw = lambda n: [chr(0x4E00 + rng.randrange(20_000)) for _ in range(n)]
+    texts = []
+    for _ in range(1_000):  # one pair of lines each, a tenth of whose shingles are others: similarity 0.8 and a little more
+        one = draw(rng.choice([50, 100, 300]))
+        two = list(one)
+        for at in range(10, len(one) - 4, 50):
+            two[at] = "7"
+        texts += ["".join(one), "".join(two)]
+    common = "".join(draw(60))
+    texts += [common + "".join(draw(60)) for _ in range(1_000)]  # all share their first half
+    lines = L.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text")
+    scratch = Scratch(spark, "test-parts", lean=True)
+    classes = scratch.keep(L.part_signatures(lines, 5), "classes")
+    shared = L.shared_keys(classes, scratch)
+    named = {r["id"]: r["doc_id"] for r in classes.join(lines, L.CLASS).select("id", "doc_id").collect()}
+    pairs = [sorted((named[r["a"]], named[r["b"]])) for r in L.first_pairs(shared, classes).collect()]
+    near = spark.createDataFrame([], "id long, component long")
+    rest = [sorted((named[r["a"]], named[r["b"]])) for r in L.other_pairs(shared, classes, near, scratch).collect()]
+    wanted = [[k, k + 1] for k in range(0, 2_000, 2) if similar(texts[k], texts[k + 1])]
+    found = sum(p in pairs for p in wanted)
+    assert len(wanted) > 900 and found >= 0.995 * len(wanted)
+    assert sum(p[0] >= 2_000 for p in rest) < 200  # of 499,500 pairs of lines that share a half
