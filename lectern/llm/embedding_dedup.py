@@ -1,8 +1,7 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
 Vectors of one label are projected on many random directions.  Two vectors collide on a direction
-when the second lies in the window centred at the first; the windows are read off the sorted
-projections.  Pairs with enough collisions are verified by their cosine.  Window and count are
+when the second lies in the window centred at the first.  Pairs with enough collisions are verified by their cosine.  Window and count are
 calibrated so that a pair at the threshold passes with the target recall.  So that not all pairs
 of a label are counted, vectors first meet in cells: several tables cut the space by a few of their own
 projections each, as many as keep cells small at the size of the data.
@@ -32,6 +31,8 @@ CELL = 8.0
 CELL_ROWS, BLOCK = 200, 1024
 #: Rows per pack of small cells.
 PACK = 8_192
+#: Vectors whose windows are laid over a cell at once, and pairs up to which all directions are compared at once.
+STRIPE, FEW = 128, 1_024
 
 
 def distance(threshold: float) -> float:
@@ -108,30 +109,29 @@ def cells(vectors: DataFrame, depth: int, tables: int, threshold: float) -> Data
 
 def collisions(projections: np.ndarray, half: float, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Per pair (left, right): on how many directions right lies in the window centred at left."""
-    counts, places = np.zeros((len(left), len(right)), np.int8), np.arange(len(right), dtype=np.uint32)
-    for k in range(projections.shape[1]):
-        mine, other = projections[left, k], projections[right, k]
-        order = np.argsort(other, kind="stable")
-        ranked, place = other[order], np.empty(len(right), np.uint32)
-        place[order] = places
-        lo = np.searchsorted(ranked, mine - half, "left").astype(np.uint32)
-        hi = np.searchsorted(ranked, mine + half, "right").astype(np.uint32)
-        # the window is the stretch [lo, hi) of places; a place before it wraps around to a large number
-        counts += (place[None, :] - lo[:, None]) < (hi - lo)[:, None]
+    mine, other = projections[left], projections[right]
+    if len(left) * len(right) <= FEW:
+        return (np.abs(mine[:, None] - other[None]) <= half).sum(2, dtype=np.int8)
+    mine, other = np.ascontiguousarray(mine.T), np.ascontiguousarray(other.T)
+    counts, gap = np.zeros((len(left), len(right)), np.int8), np.empty((len(left), len(right)), projections.dtype)
+    for k in range(len(mine)):
+        np.subtract(mine[k][:, None], other[k][None], out=gap)
+        counts += np.abs(gap, out=gap) <= half
     return counts
 
 
-def linked(x: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, half: float, least: int,
+def linked(x: np.ndarray, p: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, half: float, least: int,
            threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of one cell; a pair counts in the first table in which it meets."""
+    """Linked pairs of one cell, whose projections are ``p``; a pair counts in the first table in which it meets."""
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(b):
-        b = a
-    p = x @ directions(3, DIRECTIONS, x.shape[1])
-    passed = collisions(p, half, a, b) >= least
-    passed &= (a[:, None] < b[None, :]) if a is b else True
-    i, j = np.nonzero(passed)
-    i, j = a[i], b[j]
+    within = not len(b)
+    met = []
+    for s in range(0, len(a), STRIPE):
+        mine, other = a[s:s + STRIPE], a[s:] if within else b
+        passed = collisions(p, half, mine, other) >= least
+        i, j = np.nonzero(np.triu(passed, 1) if within else passed)
+        met.append((mine[i], other[j]))
+    i, j = (np.concatenate(m) for m in zip(*met)) if met else (a, a)
     first = ~(keys[i, :table] == keys[j, :table]).any(1)
     i, j = i[first], j[first]
     keep = np.zeros(len(i), bool)
@@ -180,18 +180,24 @@ def count_links(celled: DataFrame, threshold: float, target: float) -> DataFrame
         rows["dim"], rows["at"] = pc.list_value_length(vectors).to_numpy(), np.arange(len(rows))
         matrices, place = {}, np.zeros(len(rows), np.int64)
         for dim, at in rows.groupby("dim")["at"]:
-            matrices[dim] = unit(vectors.take(pa.array(at.to_numpy())).flatten().to_numpy().reshape(len(at), dim))
+            flat = vectors.take(pa.array(at.to_numpy())).flatten().to_numpy()
+            x = unit(flat.astype(np.float64).reshape(len(at), dim))
+            matrices[dim] = x, (x @ directions(3, DIRECTIONS, dim)).astype(np.float32)
             place[at.to_numpy()] = np.arange(len(at))
-        rows = rows.sort_values(["table", "cell", "label", "rep"], ignore_index=True)
-        for (table, _, _, dim), g in rows.groupby(["table", "cell", "label", "dim"], sort=False, dropna=False):
-            if len(g) < 2:
+        by = ["table", "cell", "label", "dim"]
+        rows = rows.sort_values([*by, "rep"], ignore_index=True)
+        new = (rows[by] != rows[by].shift()).any(axis=1).to_numpy()
+        column = {c: rows[c].to_numpy() for c in ("rep", "copies", "table", "side", "dim", "at")}
+        starts = np.append(np.flatnonzero(new), len(rows))
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if hi - lo < 2:
                 continue
-            at = g["at"].to_numpy()
-            i, j = linked(matrices[dim][place[at]], keys[at], table, g["side"].to_numpy(), half, least, threshold)
+            at, (x, p) = column["at"][lo:hi], matrices[column["dim"][lo]]
+            i, j = linked(x[place[at]], p[place[at]], keys[at], column["table"][lo], column["side"][lo:hi], half, least, threshold)
             if len(i):
-                copies, ids = g["copies"].to_numpy(), g["rep"].to_numpy()
-                weight = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
-                root = ids[roots(len(g), i, j)]
+                copies, ids = column["copies"][lo:hi], column["rep"][lo:hi]
+                weight = np.bincount(i, copies[j], hi - lo) + np.bincount(j, copies[i], hi - lo)
+                root = ids[roots(hi - lo, i, j)]
                 some = weight > 0
                 out.append(pd.DataFrame({"rep": ids[some], "weight": weight[some].astype(np.int64), "root": root[some]}))
         if not out:
@@ -222,8 +228,10 @@ def embedding_dedup(
     infinite = float("inf")
     fit = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & F.forall(
         "v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < infinite), F.lit(False))) & F.exists("v", lambda x: x != 0)
+    narrow = vectors.select(vector_col).dtypes[0][1] == "array<float>"  # these lose nothing when they travel as floats
     rows = scratch.keep(v.select("row", "id", "label", F.when(
-        F.coalesce(fit, F.lit(False)), F.transform("v", lambda x: x + 0.0)).alias("v")), "rows")
+        F.coalesce(fit, F.lit(False)), F.transform("v", lambda x: x + 0.0)).cast(
+        "array<float>" if narrow else "array<double>").alias("v")), "rows")
     distinct = scratch.keep(rows.filter("v is not null").groupBy("label", F.col("v").alias("embedding")).agg(
         F.min("row").alias("rep"), F.count("*").alias("copies")), "distinct")
     widest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0

@@ -87,3 +87,34 @@ def test_recall_is_calibrated(count):
     assert same.all(2).any(1).mean() > 0.998
     g = E.directions(3, E.DIRECTIONS, dim)
     assert ((np.abs(x @ g - y @ g) <= E.window(0.93)).sum(1) >= E.least_count(0.9999)).mean() > 0.998
+
+
+def test_directions_are_drawn_once_a_pack_and_not_once_a_cell(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).astype(np.float32).tolist(), i % 40) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    distinct = vectors.selectExpr("vec_id rep", "label", "embedding", "1L copies")
+    celled = E.cells(distinct, 1, 1, 0.93)
+    drawn, kept = E.directions, tmp_path / "drawn"
+    try:
+        def counted(seed, *rest):
+            if seed == 3:
+                with kept.open("a") as f:
+                    f.write("x")
+            return drawn(seed, *rest)
+
+        E.directions = counted
+        E.count_links(celled, 0.93, 0.9999).collect()
+    finally:
+        E.directions = drawn
+    assert 1 <= len(kept.read_text()) < 40  # of some hundred cells
+
+
+def test_stripes_of_a_cell_give_every_pair_once():
+    rng = np.random.default_rng(5)
+    x = E.unit(rng.standard_normal(24) + rng.normal(0, 0.1, (E.STRIPE * 2 + 9, 24)))
+    p, n = (x @ E.directions(3, E.DIRECTIONS, 24)).astype(np.float32), len(x)
+    for side in (np.zeros(n, int), np.arange(n) % 2):
+        i, j = E.linked(x, p, np.zeros((n, 3), np.int64), 0, side, E.window(0.93), E.least_count(0.9999), 0.93)
+        want = np.triu(x @ x.T >= 0.93, 1) if not side.any() else (x @ x.T >= 0.93) & (side[:, None] < side[None])
+        assert sorted(zip(i.tolist(), j.tolist())) == list(zip(*(k.tolist() for k in np.nonzero(want))))
