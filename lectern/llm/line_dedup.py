@@ -11,6 +11,9 @@ with the smallest of them, so a key of any size gives as many pairs as it has li
 among the rest are formed only between lines that are not yet in one component.  Two lines become a pair only
 if most of their minima agree, which a few bits of each tell inside the join; pairs are then verified by their
 shingles.  A union-find over verified pairs gives the components, of each of which one line stays.
+
+Shingles of 5 characters and less are many, and unrelated lines share some.  They are dealt into parts, so that a
+shingle meets the few minima of its part only, and a band takes more minima (``part_signatures``).
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from lectern.sources.tables import Scratch
 WIDTH = 8
 #: Bands of ROWS minima each: at similarity 0.8 some band agrees with a chance of 99.7 %.
 BANDS, ROWS = 8, 3
-#: The same chance for shingles of 5 characters and less.  Unrelated lines share more of these (up to a tenth
-#: at 5), so a band takes more minima to keep them apart.  A minimum is in two bands, two bands share one at most.
+#: The same chance for ``signatures`` of shingles of 5 characters and less.  Unrelated lines share more of these (up to
+#: a tenth at 5), so a band takes more minima to keep them apart; ``line_dedup`` takes ``part_signatures`` for them.  A minimum is in two bands, two bands share one at most.
 NARROW_COLUMNS, NARROW_ROWS = 8, 4
 #: Bits of a minimum in the sketch of a line, and the chance that a pair at the threshold has too many that differ.
 BITS, OVERLOOKED = 4, 1e-4
