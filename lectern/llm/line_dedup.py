@@ -12,6 +12,10 @@ among the rest are formed only between lines that are not yet in one component.
 if most of their minima agree, which a few bits of each tell inside the join; pairs are then verified by their
 shingles.  A union-find over verified pairs gives the components, of each of which one line stays.
 
+Families of lines a little less similar than the threshold hold many pairs of different components, and their number grows with
+the square of a family.  For shingles of 5 characters and less these pairs are told apart inside the join by ``odd`` sketches, which never
+pass over a pair that reaches the threshold.
+
 Shingles of 5 characters and less are many, and unrelated lines share some.  They are dealt into parts, so that a
 shingle meets the few minima of its part only, and a band takes more minima (``part_signatures``).
 """
@@ -47,6 +51,8 @@ PART_BANDS = [[0, 1, 2, 3, 4, 5], [3, 4, 5, 6, 7, 8], [0, 1, 2, 6, 7, 8]]
 #: Keys exchanged at once, and minima that may differ in the sketches of a pair: more than these did in at most one in
 #: 10,000 simulated pairs at 0.8 of 20 to 600 shingles.
 KEYS_AT_ONCE, PARTS_DIFFER = 12, 29
+#: Longs of an odd sketch: at 2,048 bits it tells 0.72 from 0.8 up to some 1,500 shingles.
+ODD_LONGS = 32
 _MASKS = [random.Random(5 + j).randrange(-2 ** 31, 2 ** 31) for j in range(max(BANDS * ROWS, NARROW_COLUMNS * NARROW_ROWS))]
 CLASS = ["d1", "d2"]
 
@@ -136,14 +142,22 @@ def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
         sketch(names[:n // 2]).alias("s1"), sketch(names[n // 2:]).alias("s2"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, threshold: float,
-             scratch: Scratch, name: str, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets have at least the threshold's Jaccard similarity."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def texts_of(used: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line) of the classes in ``used`` (id)."""
     named = classes.select("id", *CLASS).join(used, "id")
-    texts = lines.select(*CLASS, "line").join(named, CLASS).dropDuplicates(["id"]).select("id", "line")
-    texts = scratch.keep(texts, f"{name}-texts")
+    return lines.select(*CLASS, "line").join(named, CLASS).dropDuplicates(["id"]).select("id", "line")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch, name: str,
+             width: int = WIDTH, texts: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have at least the threshold's Jaccard similarity.
+
+    ``texts`` (id, line) saves looking for the lines of the pairs.
+    """
+    pairs = scratch.keep(pairs, f"{name}-pairs")
+    if texts is None:
+        used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = scratch.keep(texts_of(used, classes, lines), f"{name}-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     sets = both.select("a", "b", shingles(F.col("la"), width).alias("x"), shingles(F.col("lb"), width).alias("y"))
@@ -255,31 +269,84 @@ def first_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(_alike("x", "y")).select("a", "b")
 
 
-def other_pairs(shared: DataFrame, classes: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) under a key that may be similar and are in different components of ``near``."""
+def odd_sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, odd) of lines (id, line): the number of distinct shingles, and bits that as many of them as is odd fall on.
+
+    Where two sketches differ, the shingles that only one of the lines has fall on a bit an odd number of times, so the lines differ
+    in as many shingles at least.
+    """
+    h = texts.select("id", F.explode(shingles(F.col("line"), width)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    told = h.groupBy("id", F.col("h").bitwiseAND(ODD_LONGS - 1).alias("at")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    each = [F.coalesce(F.max(F.when(F.col("at") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(ODD_LONGS)]
+    return told.groupBy("id").agg(F.sum("n").alias("n"), F.array(*each).alias("odd"))
+
+
+def _flat(name: str, n: int) -> list[Column]:
+    """The longs of an array as columns that are never null: a join condition over them is short enough for Java to compile."""
+    return [F.coalesce(F.col(name)[k], F.lit(0).cast("long")).alias(f"{name}_{k}") for k in range(n)]
+
+
+def _flat_alike() -> Column:
+    """``_alike`` for the sides x and y of a join, from flat columns and ``short``, which tells of a part without shingles."""
+    apart = sum((differing(F.col(f"x.s_{p}"), F.col(f"y.s_{p}")) for p in range(PARTS)), F.lit(0))
+    return F.col("x.short") | F.col("y.short") | (apart <= PARTS_DIFFER)
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether odd sketches leave room for the threshold: at J, lines of n and m shingles differ in (1 - J) / (1 + J) of n + m."""
+    apart = sum((F.bit_count(F.col(f"x.odd_{k}").bitwiseXOR(F.col(f"y.odd_{k}"))) for k in range(ODD_LONGS)), F.lit(0))
+    return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) + F.lit(1e-6)
+
+
+def other_pairs(shared: DataFrame, classes: DataFrame, near: DataFrame, scratch: Scratch,
+                texts: DataFrame | None = None, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """Pairs (a, b) under a key that may be similar and are in different components of ``near``.
+
+    With ``texts`` (id, line) those that have such a partner get odd sketches, which leave few pairs below the threshold.
+    """
     at = shared.select("key", "id").join(near, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     at = scratch.keep(at, "placed")
     split = at.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
     loose = at.join(split.select("key").hint("shuffle_hash"), "key", "left_semi").join(classes.select("id", "s"), "id")
     loose = scratch.keep(loose, "loose")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g"))
-    met = loose.alias("x").join(loose.alias("y"), same & _alike("x.s", "y.s"))
+    scratch.forget("placed")
+    short = F.exists("s", lambda e: e.isNull()).alias("short")
+    sides = ["key", "id", F.coalesce("g", "id").alias("g"), F.coalesce(short, F.lit(True)).alias("short"), *_flat("s", PARTS)]
+    same, told, extra = F.col("x.key") == F.col("y.key"), _flat_alike(), []
+    if texts is not None:
+        lines = loose.select(*sides)
+        met = lines.alias("x").join(lines.alias("y"), same & (F.col("x.g") != F.col("y.g")) & told, "left_semi")
+        met = scratch.keep(met.select("key", "id"), "met")
+        sketches = odd_sketches(texts.join(met.select("id").distinct(), "id", "left_semi"), width)
+        loose = scratch.keep(loose.join(met, ["key", "id"], "left_semi").join(sketches, "id"), "sketched")
+        for done in ("loose", "met"):
+            scratch.forget(done)
+        extra = [F.coalesce("n", F.lit(0).cast("long")).alias("n"), *_flat("odd", ODD_LONGS)]
+        told = told & _may_reach(threshold)
+    lines = loose.select(*sides, *extra)
+    # components come first: most pairs of a large family are of one
+    met = lines.alias("x").join(lines.alias("y"), same & (F.col("x.g") < F.col("y.g")) & told)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def similar_lines(lines: DataFrame, threshold: float, scratch: Scratch, width: int) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (id, digests) and the components (id, component) of those that are similar to others."""
-    narrow = width <= 5
+    narrow, texts = width <= 5, None
     classes = scratch.keep(part_signatures(lines, width) if narrow else signatures(lines, width), "classes")
     if narrow:
         shared = shared_keys(classes, scratch)
+        classes = scratch.keep(classes.drop("keys"), "named")  # keys are most of what lies on disk
+        scratch.forget("classes")
         stars = scratch.keep(first_pairs(shared, classes), "stars")
+        texts = scratch.keep(texts_of(shared.select("id").distinct(), classes, lines), "texts")
     else:
         stars = close_to_first(classes, threshold, scratch, width)
-    tied = scratch.keep(verified(stars, classes, lines, threshold, scratch, "stars", width), "tied")
+    tied = scratch.keep(verified(stars, classes, lines, threshold, scratch, "stars", width, texts), "tied")
     near = components(tied, scratch, "near")
     if narrow:
-        cross = other_pairs(shared, classes, near, scratch)
+        scratch.forget("stars-pairs")
+        cross = other_pairs(shared, classes, near, scratch, texts, threshold, width)
     else:
         grouped = scratch.keep(classes.join(near, "id", "left").withColumn("g", F.coalesce("component", "id")).drop(
             "component"), "grouped")
@@ -287,7 +354,11 @@ def similar_lines(lines: DataFrame, threshold: float, scratch: Scratch, width: i
         classes = grouped
         cross = close_across(classes, threshold, scratch, width)
     cross = cross.join(stars, ["a", "b"], "left_anti")  # those were compared already
-    across = scratch.keep(verified(cross, classes, lines, threshold, scratch, "across", width), "across")
+    across = scratch.keep(verified(cross, classes, lines, threshold, scratch, "across", width, texts), "across")
+    if narrow:
+        for done in ("texts", "stars", "across-pairs", "sketched",
+                     *(f"shared-{at}" for at in range(0, PARTS * len(PART_BANDS), KEYS_AT_ONCE))):
+            scratch.forget(done)
     return classes, components(tied.union(across), scratch, "groups")
 
 

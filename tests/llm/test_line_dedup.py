@@ -169,3 +169,35 @@ def test_parts_find_pairs_and_pass_over_unlike_ones(spark):
     found = sum(p in pairs for p in wanted)
     assert len(wanted) > 900 and found >= 0.995 * len(wanted)
     assert sum(p[0] >= 2_000 for p in rest) < 200  # of 499,500 pairs of lines that share a half
+
+
+def test_a_family_below_the_threshold_gives_few_pairs(spark):
+    from lectern.sources.tables import Scratch
+
+    rng = random.Random(9)
+    base = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(400)]
+    texts = []
+    for _ in range(120):  # any two share some 0.72 of their shingles
+        own = list(base)
+        for at in rng.sample(range(400), 14):
+            own[at] = chr(0xAC00 + rng.randrange(9_000))
+        texts.append("".join(own))
+    texts += [texts[k][:200] + "7" + texts[k][201:] for k in range(40)]  # and some are copies but for one character
+    wanted = {(a, b) for b in range(160) for a in range(b) if similar(texts[a], texts[b])}
+    close = {(a, b) for b in range(160) for a in range(b) if (a, b) not in wanted}
+    lines = L.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text")
+    scratch = Scratch(spark, "test-family", lean=True)
+    classes = scratch.keep(L.part_signatures(lines, 5), "classes")
+    shared = L.shared_keys(classes, scratch)
+    named = {r["id"]: r["doc_id"] for r in classes.join(lines, L.CLASS).select("id", "doc_id").collect()}
+    held = L.texts_of(classes.select("id"), classes, lines)
+    near = spark.createDataFrame([], "id long, component long")
+    pairs = {tuple(sorted((named[r["a"]], named[r["b"]]))) for r in L.other_pairs(shared, classes, near, scratch, held).collect()}
+    assert len(wanted) >= 40 and len(wanted - pairs) <= 0.01 * len(wanted)
+    assert len(close) > 12_000 and len(pairs & close) < 600  # of which the sketches of minima alone leave thousands
+    sketches = {named[r["id"]]: r for r in L.odd_sketches(held, 5).collect()}
+    sets = [{t[k:k + 5] for k in range(len(t) - 4)} for t in texts]
+    for a, b in [*wanted, *close]:
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count()
+                    for x, y in zip(sketches[a]["odd"], sketches[b]["odd"]))
+        assert apart <= len(sets[a] ^ sets[b]) and sketches[a]["n"] == len(sets[a])
