@@ -231,3 +231,37 @@ def test_one_shard_is_in_memory_at_a_time(spark, tmp_path, monkeypatch):
         del shard
     assert len(held) > 3 and not any(alive)
     assert S.SHARD_POSTINGS <= 1_000_000
+
+
+def test_a_bar_of_all_shards_spares_a_shard_its_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators.segments import Asked, Batch
+
+    n = 6400
+    shard = Shard(pa.array(range(n)), np.full(n, 10), None, 10.0, 1.5, 0.75)
+    starts = np.arange(0, n, 64)
+    lists = {"blocks": np.arange(100), "max_tf": np.ones(100, np.int32), "starts": starts, "docs": np.arange(n), "tfs": np.ones(n, np.int32)}
+    shard.add(pa.RecordBatch.from_pydict({"term": ["common"], "df": [n]} | {k: pa.array([v], pa.list_(pa.int32())) for k, v in lists.items()}))
+    shard.close()
+    reached = shard.best([("common", 1.0)], 1, 9)[1][0]
+    shard.scored = 0
+    assert len(shard.best([("common", 1.0)], 1, 9, reached + 1)[0]) == 0 and shard.scored == 0
+    assert shard.best([("common", 1.0)], 1, 9, reached)[1][0] == reached and shard.scored > 0
+    weighted = pa.table({"query_id": [1], "term": ["common"], "weight": [1.0]})
+    batch = Batch(shard, Asked(weighted, pa.table({"query_id": [1], "floor": [reached + 1]}), None))
+    batch.bars = None  # the bars of a first reading are not looked for again
+    assert not [d for _, docs, _ in batch.best(1, 9) for d in docs]
+
+
+def test_keyword_and_hybrid_search_share_one_search(spark, tmp_path, monkeypatch):
+    rows, docs = corpus(spark, 0, 300, 5)
+    index = SegmentedIndex.build(docs, str(tmp_path / "i"), shard_postings=300)
+    queries = asked(spark)
+    apart = told(R.keyword_search(queries, index, 3)), told(R.hybrid_search(queries, index, None, 3))
+    searches, search = [], SegmentedIndex.search
+    monkeypatch.setattr(SegmentedIndex, "search", lambda self, *a, **b: searches.append(b.get("floors")) or search(self, *a, **b))
+    lexical = R.lexical_scores(queries, index, 3)
+    assert (told(R.keyword_search(queries, index, 3, lexical)), told(R.hybrid_search(queries, index, None, 3, lexical=lexical))) == apart
+    assert [f is None for f in searches] == [True, False]  # one for the best, one for what reaches a floor
