@@ -103,8 +103,8 @@ def accepted(value: Column, ok, row) -> Column:
     return T.let(value, lambda v: F.when(v.isNotNull() & ok(v), F.array(row(v))))
 
 
-def parse_mcq(replies: DataFrame, key: str, seed: str = "options") -> DataFrame:
-    """Accepted multiple choice questions of (key, raw, ...) rows; the others are dropped.
+def mcq_rows(raw: Column, key: Column, seed: str = "options") -> Column:
+    """An array with the question that a reply holds if it is accepted, else null.
 
     Four distinct options of more than one character, none a placeholder; labels are
     stripped and the options shuffled.
@@ -125,16 +125,21 @@ def parse_mcq(replies: DataFrame, key: str, seed: str = "options") -> DataFrame:
         )
 
     def row(c):
-        mixed = shuffled_options(c["options"], c["index"], seed, F.col(key))
+        mixed = shuffled_options(c["options"], c["index"], seed, key)
         return T.let(mixed, lambda m: F.struct(
             T.trim_spaces(c["question"]).alias("question"), m["options"].alias("options"),
             m["correct_index"].alias("correct_index"),
             F.coalesce(c["explanation"], F.lit(K.DEFAULT_EXPLANATION)).alias("explanation"),
         ))
 
-    cleaned = T.let(_decode_mcq(F.col("raw")), lambda q: F.when(q.isNotNull(), clean(q)))
+    cleaned = T.let(_decode_mcq(raw), lambda q: F.when(q.isNotNull(), clean(q)))
+    return accepted(cleaned, ok, row)
+
+
+def parse_mcq(replies: DataFrame, key: str, seed: str = "options") -> DataFrame:
+    """Accepted multiple choice questions of (key, raw, ...) rows (``mcq_rows``); the others are dropped."""
     return replies.select(
-        *[c for c in replies.columns if c != "raw"], F.inline(accepted(cleaned, ok, row)))
+        *[c for c in replies.columns if c != "raw"], F.inline(mcq_rows(F.col("raw"), F.col(key), seed)))
 
 
 def parse_training_mcq(replies: DataFrame) -> DataFrame:

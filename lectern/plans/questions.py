@@ -54,7 +54,7 @@ def make_questions(
             "attempt", F.col("attempt") + wave * WAVE)
         keyed = replies.join(texts, "prompt_id").withColumn("reply_id", F.concat_ws(
             ":", "prompt_id", F.col("attempt").cast("string"), F.col("seq").cast("string")))
-        accepted = V.best_of_n(X.parse_mcq(keyed, "reply_id"), "prompt_id")
+        accepted = V.best_replies(keyed, "prompt_id", "reply_id")
         best = materialize(accepted if best is None else best.unionByName(accepted), "accepted")
     return best.withColumn("difficulty", F.lit(difficulty)).withColumnRenamed("prompt_id", "chunk_id")
 

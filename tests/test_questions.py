@@ -446,3 +446,28 @@ def test_a_summary_reply_is_parsed_once(spark):
         plan = rows.select(read.alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") + plan.count("parse_json") == 1
         assert "from_json" not in plan
+
+
+def test_replies_after_the_one_that_settles_are_not_read(spark, monkeypatch):
+    import random
+
+    good = {"options": ["the tide", "the moon", "the wind", "the rock"], "correctIndex": 1, "explanation": "It stands in the content given."}
+    reply = lambda question, **more: json.dumps(good | {"question": question} | more)
+    rows = []
+    for key in range(300):
+        texts = ["no reply", reply("the author says What of the tide?"), reply("what moves the water of the sea each day?"),
+                 reply("What moves the water of the sea each day?"), reply("What moves the water of the sea by night?"),
+                 reply("Why", options=["a"])]
+        random.Random(key).shuffle(texts)
+        rows += [(str(key), n // 3, n, raw, "s", "the moon moves the water", f"{key}:{n}") for n, raw in enumerate(texts[: key % 7])]
+    replies = spark.createDataFrame(
+        rows, "prompt_id string, attempt int, seq int, raw string, source string, text string, reply_id string").repartition(5)
+    want = V.best_of_n(X.parse_mcq(replies, "reply_id"), "prompt_id")
+    got = V.best_replies(replies, "prompt_id", "reply_id")
+    assert got.columns == want.columns and want.count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    read = X.mcq_rows
+    monkeypatch.setattr(X, "mcq_rows", lambda raw, *a: F.when(raw == "late", F.raise_error(F.lit("read"))).otherwise(read(raw, *a)))
+    late = spark.createDataFrame([("1", n, n, reply("What moves the water of the sea by night?") if n == 1 else ["none", "", "late"][n], "s", "t", f"1:{n}")
+                                  for n in (2, 1, 0)], replies.schema)
+    assert V.best_replies(late, "prompt_id", "reply_id").first()["seq"] == 1
