@@ -194,7 +194,7 @@ def test_a_family_below_the_threshold_gives_few_pairs(spark):
     near = spark.createDataFrame([], "id long, component long")
     pairs = {tuple(sorted((named[r["a"]], named[r["b"]]))) for r in L.other_pairs(shared, classes, near, scratch, held).collect()}
     assert len(wanted) >= 40 and len(wanted - pairs) <= 0.01 * len(wanted)
-    assert len(close) > 12_000 and len(pairs & close) < 600  # of which the sketches of minima alone leave thousands
+    assert len(close) > 12_000 and len(pairs & close) < 600  # few of the pairs below the threshold are left
     sketches = {named[r["id"]]: r for r in L.odd_sketches(held, 5).collect()}
     sets = [{t[k:k + 5] for k in range(len(t) - 4)} for t in texts]
     for a, b in [*wanted, *close]:
